@@ -101,7 +101,7 @@ def differing(docs: DataFrame, state: DataFrame, digest: Callable[[Column], Colu
     many = state.filter("n > 1").select("digest", F.col("keep.doc_id").alias("keep_id"), F.ceil(F.col("n") / rows_a_part).cast("int").alias("parts"))
     texts = docs.select("doc_id", normalised(F.col("text")).alias("norm")).withColumn("digest", digest(F.col("norm")))
     hits = cut(texts.join(many, "digest"), "dedup-hits")
-    kept = hits.filter("doc_id = keep_id").groupBy("digest", "parts").agg(F.first("norm").alias("kept_norm"))
+    kept = hits.filter("doc_id <=> keep_id").groupBy("digest", "parts").agg(F.first("norm").alias("kept_norm"))
     kept = kept.select("digest", "kept_norm", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
     part = F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int")
     return hits.withColumn("part", part).join(kept, ["digest", "part"]).filter("norm <> kept_norm").select("doc_id", "digest")
@@ -112,6 +112,7 @@ def keep_first(docs: DataFrame, columns: list[str]) -> DataFrame:
     from pyspark.sql import Window
 
     found = dedup(docs).filter("kept").select("doc_id", "digest")
-    d = docs.withColumn("digest", sha256(normalised(F.col("text")))).join(found, ["doc_id", "digest"], "left_semi")
+    d = docs.withColumn("digest", sha256(normalised(F.col("text")))).alias("d")
+    d = d.join(found.alias("f"), (F.col("d.digest") == F.col("f.digest")) & F.col("d.doc_id").eqNullSafe(F.col("f.doc_id")), "left_semi")
     again = F.row_number().over(Window.partitionBy("doc_id", "digest").orderBy("doc_id"))
     return d.withColumn("_again", again).filter("_again = 1").select(*columns)

@@ -16,7 +16,8 @@ components are compared too, so every pair that shares a band is either compared
 joined. Centres come first because they join a group of n in n comparisons, not n * n.
 
 Cases: null, empty and wordless texts are each a class of their own; a text of fewer than five
-words is one shingle; rows that repeat a doc_id are one document; an empty table gives an
+words is one shingle; rows that repeat a doc_id are one document;
+rows without doc_id are kept and in no class; an empty table gives an
 empty result; other columns play no part.
 """
 
@@ -214,11 +215,12 @@ def classes(docs: DataFrame, *, threshold: float = THRESHOLD) -> DataFrame:
     level = docs.sparkSession.sparkContext.broadcast(document_frequencies(docs))  # 2^DF_BITS bytes
     signed = cut(sign(docs, level), "near-signed")
     some = F.min_by(F.struct(F.col("doc_id").alias("rep"), "weight", "bands"), F.col("doc_id"))
-    reps = cut(signed.filter("digest is not null").groupBy("digest").agg(some.alias("r")).select("digest", "r.*"), "near-reps")
+    reps = cut(signed.filter("digest is not null and doc_id is not null").groupBy("digest").agg(some.alias("r")).select("digest", "r.*"), "near-reps")
     groups = links(docs, reps, level, threshold=threshold)
     known = reps.join(groups, reps["rep"] == groups["node"], "left").select("digest", F.coalesce("component", "rep").alias("class_id"))
     d = signed.select("doc_id", "digest").join(known, "digest", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
-    return d.withColumn("kept", F.col("doc_id") == F.col("class_id"))
+    d = d.withColumn("class_id", F.when(F.col("doc_id").isNotNull(), F.col("class_id")))
+    return d.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("class_id")))
 
 
 def keep_one(docs: DataFrame, columns: list[str]) -> DataFrame:
