@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, licences, mixing, near_dedup, packing, quality, warc
+from . import exact_dedup, hnsw, html_text, licences, mixing, near_dedup, packing, quality, warc
 from .common import table
 
 
@@ -17,6 +17,15 @@ def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.rate(docs.select("doc_id", "text"), model).drop("text")
 
 
+def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.main_text(table(spark, sf_dir, "pages"))
+
+
+def op3_hnsw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    return hnsw.nearest(rows, rows.filter(F.col("vec_id") % 50 == 0), k=5)
+
+
 def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.classes(table(spark, sf_dir, "documents"))
 
@@ -44,7 +53,7 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_classifier, op4_near_dedup, op5_mixing, op6_licences, op7_best_fit_packing, op8_exact_dedup, op9_warc)}
+    return {f.__name__: f for f in (op1_quality_classifier, op2_html_text, op3_hnsw, op4_near_dedup, op5_mixing, op6_licences, op7_best_fit_packing, op8_exact_dedup, op9_warc)}
 
 
 def oracle_sql() -> dict[str, str]:
