@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, hnsw, html_text, licences, mixing, near_dedup, packing, quality, warc
+from . import exact_dedup, hnsw, html_text, licences, mixing, near_dedup, packing, quality, token_shards, warc
 from .common import table
 
 
@@ -52,8 +52,12 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", F.octet_length("payload").cast("long").alias("payload_bytes"), "payload_digest", "record_type", "refers_to")
 
 
+def op10_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_shards.materialise(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_classifier, op2_html_text, op3_hnsw, op4_near_dedup, op5_mixing, op6_licences, op7_best_fit_packing, op8_exact_dedup, op9_warc)}
+    return {f.__name__: f for f in (op1_quality_classifier, op2_html_text, op3_hnsw, op4_near_dedup, op5_mixing, op6_licences, op7_best_fit_packing, op8_exact_dedup, op9_warc, op10_token_shards)}
 
 
 def oracle_sql() -> dict[str, str]:
