@@ -44,16 +44,22 @@ def fold(rows: DataFrame) -> DataFrame:
     return rows.groupBy("digest").agg(first.alias("keep"), F.count(F.lit(1)).alias("n"))
 
 
-def stream_state(rows_path: str, schema, spark, files_per_batch: int = 64) -> DataFrame:
-    """Stream the rows through the keyed state; the state's last row for each digest."""
+def stream_state(rows_path: str, schema, spark, files_per_batch: int = 64, keys_a_store: int = 200_000) -> DataFrame:
+    """Stream the rows through the keyed state; the state's last row for each digest.
+
+    Each state partition is a RocksDB instance that sets 4 MB aside for its manifest, so their
+    number follows the rows, one for ``keys_a_store`` and at least one a core.
+    """
+    stores = max(spark.sparkContext.defaultParallelism, -(-spark.read.schema(schema).parquet(rows_path).count() // keys_a_store))
     base, found = scratch(spark, "dedup-state"), scratch(spark, "dedup-seen")
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(rows_path)
 
     def keep(batch: DataFrame, number: int) -> None:  # a batch that runs again writes the same folder
         batch.write.mode("overwrite").parquet(f"{found}/batch={number}")
 
-    before = {k: spark.conf.get(k, None) for k in _STATE}
-    for k, v in _STATE.items():
+    settings = _STATE | {"spark.sql.streaming.internal.stateStore.partitions": str(stores)}
+    before = {k: spark.conf.get(k, None) for k in settings}
+    for k, v in settings.items():
         spark.conf.set(k, v)
     try:
         out = fold(stream)
