@@ -12,7 +12,8 @@ No source is gathered in one task: running sums come from two levels, ranks insi
 
 Cases: null text counts as empty (size 0, taken 0); null source is a source of its own, the
 last; sources without words get target 0; an empty table gives an empty result; rows that
-repeat are drawn each on its own; other columns are carried along.
+repeat are drawn each on its own; other columns are carried along,
+those with the answer's names replaced.
 """
 
 from __future__ import annotations
@@ -51,7 +52,7 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: float =
 def mix(docs: DataFrame, *, weights: tuple[int, ...] = (1, 2, 3), cap: float = 3.0, seed: str = "mix-1", cells: int = 256) -> DataFrame:
     """Every row of ``docs`` with size, source_size, target, copies (times it is emitted) and taken (size * copies)."""
     own = [c for c in docs.columns if c not in ("size", "source_size", "target", "copies", "taken")]
-    d = docs.select(*own, word_count(F.col("text")).alias("size")).withColumns({"_null": F.col("source").isNull(), "_source": F.coalesce("source", F.lit(""))})
+    d = docs.select(F.struct(*own).alias("row"), word_count(F.col("text")).alias("size"), F.col("source").isNull().alias("_null"), F.coalesce("source", F.lit("")).alias("_source"), "doc_id")
     digits = F.col("size").cast("string")
     d = d.withColumns({"_class": F.length(digits) * 10 + F.substring(digits, 1, 1).cast("int"), "_cell": hash_bucket(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), cells)})
     counted = d.groupBy(*_KEYS).agg(F.count(F.lit(1)).alias("_n"), F.sum("size").alias("_size"))
@@ -63,7 +64,7 @@ def mix(docs: DataFrame, *, weights: tuple[int, ...] = (1, 2, 3), cap: float = 3
     rank = F.row_number().over(Window.partitionBy(*_KEYS).orderBy("size", "doc_id"))
     d = d.join(places, _KEYS).withColumn("_rank", rank + F.col("_before")).withColumns({"_rate": rate, "_offset": offset})
     d = d.withColumn("copies", (F.floor(F.col("_offset") + F.col("_rate") * F.col("_rank")) - F.floor(F.col("_offset") + F.col("_rate") * (F.col("_rank") - 1))).cast("long"))
-    return d.select(*own, "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    return d.select("row.*", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
 def emit(mixed: DataFrame, columns: list[str]) -> DataFrame:

@@ -11,7 +11,8 @@ among all labels; scoring reads every document whole.
 Cases: null and empty texts have no features and score 0; rows that repeat score alike;
 ids without a label are scored only; a label that disagrees with another counts with the
 lower quality and the higher toxicity; with labels of one grade or none, nothing is rejected;
-other columns are left alone.
+other columns are left alone, those with the
+answer's names replaced.
 """
 
 from __future__ import annotations
@@ -183,6 +184,7 @@ def train(docs: DataFrame, labels: DataFrame, *, per_grade: int = 1000) -> Ordin
 def rate(docs: DataFrame, model: Ordinal, *, min_grade: int = 1, min_tail: float = 0.5) -> DataFrame:
     """Every row of ``docs`` with score, p_ge_1, p_ge_2, expected_grade and kept (P(grade >= min_grade) >= min_tail)."""
     shared = docs.sparkSession.sparkContext.broadcast((model.weights, model.thresholds))  # 2^BITS floats
+    docs = docs.select([c for c in docs.columns if c not in ("score", "p_ge_1", "p_ge_2", "expected_grade", "kept", "_text")])  # these are the answer's
     schema = type(docs.schema)([*docs.schema.fields]).add("score", "double").add("p_ge_1", "double").add("p_ge_2", "double").add("expected_grade", "double").add("kept", "boolean")
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
