@@ -86,19 +86,21 @@ def segments(page: str) -> Iterator[tuple[str, str, bool, str]]:
         if not name or m["raw"]:
             yield ("tag:" + (name or "other"), "", False, "")
             continue
-        block = name if name in BLOCKS else ""
+        block, inside = name if name in BLOCKS else "", False
         if m["end"] or m["end2"]:
             _close(stack, name)
+            inside = bool(stack and stack[-1][1])
         else:
             if name in _CLOSES_P:
                 _leave(stack, {"p"})
             if name in _SAME and name != "p":
                 _leave(stack, _SAME[name])
+            above = stack[-1] if stack else ("", "", False)
+            inside = bool(above[1])
             if name not in VOID:
-                above = stack[-1] if stack else ("", "", False)
                 kind = above[1] or _kind(name, m["attrs"] or m["attrs2"] or "", above[2])
                 stack.append((name, kind, above[2] or name in ("article", "main")))
-        yield ("tag:" + name, "", False, block)
+        yield ("tag:inner" if inside else "tag:" + name, "", False, block)
     if at < len(page):
         yield _text(page[at:], stack)
 
@@ -150,9 +152,10 @@ def learn(pages: list[tuple[str, str]]) -> dict[str, float]:
     for kind in counts[True] | counts[False]:
         odds = math.log((counts[True][kind] + 0.5) / (counts[False][kind] + 0.5))
         if kind.startswith("tag"):
-            scores[kind] = min(-0.05, max(-1.0, odds / 4 - 0.25))
+            # tags within an element that is left out anyway count little, so a long form does not cut an article in two
+            scores[kind] = -0.05 if kind == "tag:inner" else min(-0.05, max(-1.0, odds / 4 - 0.25))
         else:
-            scores[kind] = max(-0.4, min(1.0, odds / 2))
+            scores[kind] = max(-0.2, min(1.0, odds / 2))
     return scores
 
 
