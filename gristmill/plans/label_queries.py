@@ -149,17 +149,20 @@ def l1_judgement_target(spark, sf):
 
 @query()
 def l2_judgement_fields(spark, sf):
-    """The judge's JSON per document, checked against the sentence and its context."""
-    d = table(spark, sf, "documents").select("doc_id", F.left("text", F.lit(120)).alias("sentence"), F.left("text", F.lit(600)).alias("context"))
+    """The judge's JSON per sentence, checked against the sentence and the chunk around it."""
+    from ..functions.text import chunk, json_snippet, start_of
+    from .text_queries import sentence_rows
+
+    d = sentence_rows(spark, sf)
+    start = start_of(F.col("sentence"), F.col("text"))
+    d = d.select("doc_id", "sent_i", "sentence", chunk(F.col("text"), start, start + F.length("sentence"), F.length("sentence") + 100).alias("context"))
     part = "struct<section_content:string,necessary_chunk_quote:string,section_quote:string,result:boolean,has_factual_information:boolean>"
     section = f"struct<conflicting:{part},grounded:{part},cannot_really_answer:{part}>"
     one = F.struct(F.when(F.col("doc_id") % 4 != 0, F.col("sentence")).otherwise(F.lit("another text")).alias("section_content"), F.substring("context", 11, 40).alias("necessary_chunk_quote"), F.substring("sentence", 5, 30).alias("section_quote"), (F.col("doc_id") % 3 == 0).alias("result"), F.lit(True).alias("has_factual_information"))
     reply = F.concat(F.lit("```json"), F.to_json(F.struct(one.alias("conflicting"), one.alias("grounded"), one.alias("cannot_really_answer"))), F.lit("```"))
-    from ..functions.text import json_snippet
-
     d = d.withColumn("section", F.from_json(json_snippet(reply), section))
     d = d.withColumn("pred", L.judgement(F.col("section"), F.col("sentence"), F.col("context")))
-    return d.select("doc_id", "pred.*", L.from_judgement(F.col("doc_id") % 2 == 1, F.col("pred")).alias("target"))
+    return d.select("doc_id", "sent_i", "pred.*", L.from_judgement(F.col("doc_id") % 2 == 1, F.col("pred")).alias("target"))
 
 
 @query(f"WITH {LABELLED} SELECT id, {_TARGET_SQL} AS label FROM {_HUMAN_SQL}")

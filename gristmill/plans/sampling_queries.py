@@ -11,6 +11,7 @@ from ..operators.ranking import first_per, global_rank
 from ..sources.io import table
 from .registry import query
 from .standins import LABELLED, SCORED, labelled, scored
+from .text_queries import SENTENCES, sentence_rows
 
 _FACTORS = {"chunk_size": (350, 550, 750), "chunks_per_prompt": (1, 3, 5), "template": ("question_first", "context_first", "reminder"), "uglified": (False,)}
 _FACTOR_SQL = "CASE i // 9 % 3 WHEN 0 THEN 350 WHEN 1 THEN 550 ELSE 750 END AS chunk_size, CASE i // 3 % 3 WHEN 0 THEN 1 WHEN 1 THEN 3 ELSE 5 END AS chunks_per_prompt, CASE i % 3 WHEN 0 THEN 'question_first' WHEN 1 THEN 'context_first' ELSE 'reminder' END AS template, false AS uglified"
@@ -135,9 +136,9 @@ def f6_robustness_grid(spark, sf):
     return d.groupBy("x.factor", "x.level", "split").agg(F.count(F.lit(1)).alias("n"), F.count("target").alias("valid"))
 
 
-@query("SELECT doc_id, CASE WHEN length(text) >= 3112 THEN 'long' WHEN length(text) + length(left(text, 500)) < 3112 THEN 'short' END AS bucket FROM documents")
+@query("SELECT doc_id, CASE WHEN length(text) >= 3112 THEN 'long' WHEN length(text) + length(last) < 3112 THEN 'short' END AS bucket FROM (SELECT doc_id, text, regexp_extract(text, '([^\n]*)$', 1) AS last FROM documents)")
 def f7_length_buckets(spark, sf):
-    d = models.by_length(table(spark, sf, "documents"), F.col("text"), F.left("text", F.lit(500)))
+    d = models.by_length(table(spark, sf, "documents"), F.col("text"), F.substring_index("text", "\n", -1))
     return d.select("doc_id", "bucket")
 
 
@@ -193,11 +194,12 @@ def j6_other_passages(spark, sf):
     return joins.other_passages(table(spark, sf, "documents").select("doc_id", "source"), "doc_id", "source", 3, "others", draws=16)
 
 
-@query(r"SELECT doc_id FROM documents WHERE regexp_replace(regexp_replace(left(text, 40), '^[\s\p{Z}]+', ''), '[\s\p{Z}]+$', '') IN (SELECT regexp_replace(regexp_replace('  ' || left(text, 40), '^[\s\p{Z}]+', ''), '[\s\p{Z}]+$', '') FROM documents WHERE doc_id % 3 = 0)")
+@query(f"WITH {SENTENCES} SELECT doc_id, sent_i FROM sen WHERE sentence IN (SELECT sentence FROM sen WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1))")
 def j8_trimmed_exists(spark, sf):
-    d = table(spark, sf, "documents").select("doc_id", F.left("text", F.lit(40)).alias("t"))
-    known = d.filter("doc_id % 3 = 0").select(F.concat(F.lit("  "), F.col("t")).alias("t"))
-    return joins.trimmed_exists(d, known, "t").select("doc_id")
+    """Sentences that occur in documents of good quality, white space around them aside."""
+    d = sentence_rows(spark, sf).select("doc_id", "sent_i", "sentence")
+    known = joins.only_known(d, table(spark, sf, "labels").filter("quality = 1"), "doc_id").select(F.concat(F.lit("  "), F.col("sentence"), F.lit("\n")).alias("sentence"))
+    return joins.trimmed_exists(d, known, "sentence").select("doc_id", "sent_i")
 
 
 @query("SELECT size, k, template FROM (VALUES (350), (550), (750)) a(size), (VALUES (1), (3), (5)) b(k), (VALUES ('question_first'), ('context_first'), ('reminder')) c(template)")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import articles, sampling
 from ..sources import io
 from ..sources.io import table
+from ..streaming.ingest import ingest_days
 from .registry import query
 
 
@@ -77,6 +78,16 @@ def io8_day_partitions(spark, sf):
     return d.filter("created_date >= '2024-01-10' and created_date < '2024-01-12'").select("event_id", "created_date")
 
 
+@query("SELECT ts::DATE AS created_date, count(*) AS n FROM events GROUP BY ALL")
+def io8_day_stream(spark, sf):
+    """Day partitions filled by a stream over arriving files."""
+    base = io.work_folder(spark, "stream")
+    table(spark, sf, "events").select("event_id", "ts").write.parquet(f"{base}/in")
+    schema = spark.read.parquet(f"{base}/in").schema
+    ingest_days(spark, f"{base}/in", schema, f"{base}/out", f"{base}/state", "ts")
+    return spark.read.parquet(f"{base}/out").groupBy("created_date").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("SELECT event_type, count(*) AS n FROM events GROUP BY event_type")
 def io11_materialised(spark, sf):
     path = io.work_folder(spark, "cache")

@@ -94,12 +94,12 @@ def s7_valid_sentences(spark, sf):
 
 @query(
     f"""WITH {SENTENCES}, src AS (SELECT source, min(doc_id) AS first_id FROM documents WHERE lang = 'en' GROUP BY source)
-SELECT doc_id, sent_i, first_id, sentence FROM sen JOIN src USING (source) WHERE doc_id % 4 <> 0 AND length(sentence) >= 20 AND left(sentence, 1) NOT IN (':', '[', ']', '(', ')', '{{', '}}') AND right(sentence, 1) NOT IN (':', '[', ']', '(', ')', '{{', '}}')"""
+SELECT doc_id, sent_i, first_id, sentence FROM sen JOIN src USING (source) WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1) AND length(sentence) >= 20 AND left(sentence, 1) NOT IN (':', '[', ']', '(', ')', '{{', '}}') AND right(sentence, 1) NOT IN (':', '[', ']', '(', ')', '{{', '}}')"""
 )
 def s8_all_sentences(spark, sf):
     """Sources of one kind joined to good responses, a row a valid sentence."""
     sources = table(spark, sf, "documents").filter("lang = 'en'").groupBy("source").agg(F.min("doc_id").alias("first_id"))
-    good = table(spark, sf, "documents").filter("doc_id % 4 <> 0")
+    good = joins.only_known(table(spark, sf, "documents"), table(spark, sf, "labels").filter("quality = 1"), "doc_id")
     d = joins.responses_with_sources(good, sources, "source")
     d = d.select("doc_id", "first_id", F.posexplode(X.sentences(F.col("text"))).alias("sent_i", "sentence"))
     return d.filter(X.valid_sentence(F.col("sentence"))).select("doc_id", "sent_i", "first_id", "sentence")
@@ -126,7 +126,7 @@ def wikitext():
     again = F.when(F.col("doc_id") % 5 == 0, s('<ref name="a">{{cite book|title=Other}}</ref>')).otherwise(s(""))
     return c(
         part(0), s('<ref name="b"/>'), part(1), s('<ref name="a">{{cite web|url=http://x.org/?q=1|access-date='), date, s("|date=21 March 2023|date="), date, s("}}</ref><ref>{{cite news|Title=no|archive-date=not a date}}</ref>"), part(2),
-        s('<ref name="a"/> '), part(3), s('<ref name="note">{{x}}</ref><ref name="b">{{cite map|accessdate=March 4, 2024}}</ref>'), again, part(4), s(" [[Link|label]] ''bold'' end."),
+        s('<ref name="a"/> '), part(3), s('<ref name="note">{{x}}</ref><ref name="b">{{cite map|accessdate=March 4, 2024}}</ref>'), again, F.substring(t, F.lit(161), F.length(t)), s(" [[Link|label]] ''bold'' end."),
     )
 
 
@@ -140,25 +140,32 @@ def p3_references(spark, sf):
 
 @query(
     f"""WITH d AS (SELECT doc_id, {_DATE} AS d FROM documents)
-SELECT doc_id, d::TIMESTAMP AS earliest_access_date, d::TIMESTAMP AS earliest_date, NULL::TIMESTAMP AS earliest_archive_date, 1 AS n FROM d WHERE doc_id % 2 = 0"""
+SELECT doc_id, d::TIMESTAMP AS earliest_access_date, d::TIMESTAMP AS earliest_date, NULL::TIMESTAMP AS earliest_archive_date, 1 AS n FROM d"""
 )
 def p9_passage_dates(spark, sf):
     """Dates of the references named a, grouped by anchor; of equal fields the last counts, unreadable dates do not."""
-    d = table(spark, sf, "documents").filter("doc_id % 2 = 0").select("doc_id", wikitext().alias("wiki"))
+    d = table(spark, sf, "documents").select("doc_id", wikitext().alias("wiki"))
     r = articles.references(d, "doc_id", "wiki").filter("name = 'a' and i = 1")
     return articles.passages(r, ["doc_id", "anchor_index"]).select("doc_id", "earliest_access_date", "earliest_date", "earliest_archive_date", F.size("references").alias("n"))
 
 
-@query(r"SELECT doc_id, regexp_replace(text, '<ref[^>/]*>.*?</ref>|<ref[^>]*/>', '', 'gis') AS text FROM (SELECT doc_id, substr(text, 1, 50) || '<ref name=x>{{a|b=c}}</ref>' || substr(text, 51, 50) || '<REF name=x /> end' AS text FROM documents)")
+_BARE = r"regexp_replace(text, '[<>/]', ' ', 'g')"
+
+
+def _bare():
+    return F.regexp_replace("text", "[<>/]", " ")
+
+
+@query(f"SELECT doc_id, regexp_replace(replace({_BARE}, '. ', '.<ref name=x>{{{{a|b=c}}}}</ref> <REF name=x /> '), '<ref[^>/]*>.*?</ref>|<ref[^>]*/>', '', 'gis') AS text FROM documents")
 def p2_without_references(spark, sf):
-    t = F.concat(F.substring("text", 1, 50), F.lit("<ref name=x>{{a|b=c}}</ref>"), F.substring("text", 51, 50), F.lit("<REF name=x /> end"))
+    t = F.replace(_bare(), F.lit(". "), F.lit(".<ref name=x>{{a|b=c}}</ref> <REF name=x /> "))
     return table(spark, sf, "documents").select("doc_id", X.without_references(t).alias("text"))
 
 
-@query("SELECT doc_id, left(t, 30) || '<ref>a</ref> ' || 'x' || '<ref name=q/> ' || 'y' AS text FROM (SELECT doc_id, replace(replace(text, '<', ' '), '>', ' ') AS t FROM documents)")
+@query(f"SELECT doc_id, replace({_BARE}, '. ', '.<ref>a</ref> x<ref name=q/> y') AS text FROM documents")
 def p1_space_after_references(spark, sf):
-    t = F.replace(F.replace(F.col("text"), F.lit("<"), F.lit(" ")), F.lit(">"), F.lit(" "))
-    return table(spark, sf, "documents").select("doc_id", X.space_after_references(F.concat(F.left(t, F.lit(30)), F.lit("<ref>a</ref>x<ref name=q/>y"))).alias("text"))
+    t = F.replace(_bare(), F.lit(". "), F.lit(".<ref>a</ref>x<ref name=q/>y"))
+    return table(spark, sf, "documents").select("doc_id", X.space_after_references(t).alias("text"))
 
 
 @query()
@@ -187,17 +194,17 @@ def p10_has_link(spark, sf):
     return table(spark, sf, "documents").select("doc_id", X.has_link(t).alias("linked"))
 
 
-@query(r"SELECT page_id, url_decode(string_split(regexp_replace(u, '[?#].*$', ''), '/')[-1]) AS title FROM (SELECT page_id, url || '/A%20b_' || page_id || '+c?x=1' AS u FROM pages WHERE NOT contains(url, '#') AND NOT contains(url, '?'))")
+@query(r"SELECT page_id, url_decode(string_split(regexp_replace(u, '[?#].*$', ''), '/')[-1]) AS title FROM (SELECT page_id, url || '/A%20b_' || page_id || '+c?x=1' AS u FROM pages)")
 def p11_url_title(spark, sf):
     u = F.concat("url", F.lit("/A%20b_"), F.col("page_id").cast("string"), F.lit("+c?x=1"))
-    return table(spark, sf, "pages").filter("not contains(url, '#') and not contains(url, '?')").select("page_id", X.title_of(u).alias("title"))
+    return table(spark, sf, "pages").select("page_id", X.title_of(u).alias("title"))
 
 
-@query(f"SELECT doc_id, {_strip('CASE WHEN strpos(t, chr(10)) = 0 THEN t ELSE t END')} AS section FROM (SELECT doc_id, substr(text, 21, 40) AS t FROM documents)")
+@query(f"SELECT doc_id, {_strip("substr(text, 21)")} AS section FROM (SELECT doc_id, replace(text, '=', ' ') AS text FROM documents)")
 def p12_section_before(spark, sf):
-    content = F.concat(F.lit("Intro\n== One ==\n"), F.substring("text", 1, 20), F.lit("\n== Two ==\n"), F.substring("text", 21, 40), F.lit("PASSAGE"))
-    start = F.length(F.concat(F.lit("Intro\n== One ==\n"), F.substring("text", 1, 20), F.lit("\n== Two ==\n"), F.substring("text", 21, 40)))
-    return table(spark, sf, "documents").select("doc_id", X.section_before(content, start).alias("section"))
+    t = F.replace(F.col("text"), F.lit("="), F.lit(" "))
+    before = F.concat(F.lit("Intro\n== One ==\n"), F.substring(t, 1, 20), F.lit("\n== Two ==\n"), F.substring(t, F.lit(21), F.length(t)))
+    return table(spark, sf, "documents").select("doc_id", X.section_before(F.concat(before, F.lit("PASSAGE")), F.length(before)).alias("section"))
 
 
 def _chunk_sql(before: str, after: str) -> str:
@@ -238,19 +245,20 @@ def p16_simplify(spark, sf):
     return table(spark, sf, "documents").select("doc_id", X.simplify(F.col("text")).alias("text"))
 
 
-@query(f"SELECT item_id, doc_id FROM (SELECT item_id, {_SIMPLE.format(x='substr(text, 10, 60)')} AS p FROM benchmark) b JOIN (SELECT doc_id, {_SIMPLE.format(x='text')} AS w FROM documents WHERE doc_id % 10 = 1) d ON contains(w, p)")
+_QUOTE = "CASE doc_id % 3 WHEN 0 THEN substr(text, 10, 60) WHEN 1 THEN '' ELSE 'not in: ' || substr(text, 10, 60) END"
+
+
+@query(f"SELECT doc_id, contains({_SIMPLE.format(x='text')}, {_SIMPLE.format(x=_QUOTE)}) AS held FROM documents")
 def p17_containment(spark, sf):
-    """Quotes of the benchmark found in documents (a fixed set of quotes against the documents)."""
-    b = table(spark, sf, "benchmark").select("item_id", F.substring("text", 10, 60).alias("part"))
-    d = table(spark, sf, "documents").filter("doc_id % 10 = 1").select("doc_id", "text")
-    return d.join(b, X.is_in(F.col("part"), F.col("text"))).select("item_id", "doc_id")
+    return table(spark, sf, "documents").select("doc_id", X.is_in(F.expr(_QUOTE), F.col("text")).alias("held"))
 
 
 @query()
 def p18_similarity(spark, sf):
-    """Ratio of matching characters of each document's two halves."""
-    d = table(spark, sf, "documents").select("doc_id", F.substring("text", 1, 150).alias("a"), F.substring("text", 20, 150).alias("b"))
-    return d.select("doc_id", F.round(X.similarity("a", "b"), 9).alias("ratio"), (X.similarity("a", "b") >= 0.95).alias("similar"))
+    """Ratio of matching characters of each sentence and the one before it."""
+    d = sentence_rows(spark, sf).select("doc_id", "sent_i", "sentence", F.lag("sentence").over(Window.partitionBy("doc_id").orderBy("sent_i")).alias("before"))
+    d = d.filter("before is not null").withColumn("ratio", X.similarity("sentence", "before"))
+    return d.select("doc_id", "sent_i", F.round("ratio", 9).alias("ratio"), (F.col("ratio") >= 0.95).alias("similar"))
 
 
 _REPLY = "CASE event_id % 3 WHEN 0 THEN 'Here it is: ```json' || props || '``` done' WHEN 1 THEN props ELSE 'no json' END"
@@ -280,17 +288,17 @@ def p21_uglify(spark, sf):
 
 
 @query(
-    """SELECT doc_id, 'You answer from given chunks.' AS system, '### Chunk 1: ' || source || chr(10) || left(text, 40) || chr(10) || chr(10) || '### Chunk 2: ' || lang || chr(10) || right(text, 40) || chr(10) || chr(10) || 'Question: Why?' || chr(10) || 'Say so if the chunks hold no answer.' AS user_text FROM documents"""
+    """SELECT doc_id, 'You answer from given chunks.' AS system, '### Chunk 1: ' || source || chr(10) || text || chr(10) || chr(10) || '### Chunk 2: ' || lang || chr(10) || text || chr(10) || chr(10) || 'Question: Why?' || chr(10) || 'Say so if the chunks hold no answer.' AS user_text FROM documents"""
 )
 def p22_prompts(spark, sf):
-    chunks = F.array(F.struct(F.col("source").alias("title"), F.left("text", F.lit(40)).alias("content")), F.struct(F.col("lang").alias("title"), F.right(F.col("text"), F.lit(40)).alias("content")))
+    chunks = F.array(F.struct(F.col("source").alias("title"), F.col("text").alias("content")), F.struct(F.col("lang").alias("title"), F.col("text").alias("content")))
     d = table(spark, sf, "documents").select("doc_id", X.prompt("reminder", F.lit("Why?"), chunks).alias("p"))
     return d.select("doc_id", F.expr("p[0].content").alias("system"), F.expr("p[1].content").alias("user_text"))
 
 
-@query("""SELECT doc_id, 'Question: Why {{now}}?' || chr(10) || 'Section 1: ' || replace(replace(left(text, 30), '{', '{{'), '}', '}}') || chr(10) || 'Section 2: {{}}' || chr(10) || 'Reply as JSON: {"section_1": {"conflicting": null, "grounded": null, "no_clear_answer": null}, "section_2": {"conflicting": null, "grounded": null, "no_clear_answer": null}}' AS prompt FROM documents""")
+@query("""SELECT doc_id, 'Question: Why {{now}}?' || chr(10) || 'Section 1: ' || replace(replace(text, '{', '{{'), '}', '}}') || chr(10) || 'Section 2: {{}}' || chr(10) || 'Reply as JSON: {"section_1": {"conflicting": null, "grounded": null, "no_clear_answer": null}, "section_2": {"conflicting": null, "grounded": null, "no_clear_answer": null}}' AS prompt FROM documents""")
 def p23_judge_prompt(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", X.judge_prompt(F.lit("Why {now}?"), F.array(F.left("text", F.lit(30)), F.lit("{}"))).alias("prompt"))
+    return table(spark, sf, "documents").select("doc_id", X.judge_prompt(F.lit("Why {now}?"), F.array(F.col("text"), F.lit("{}"))).alias("prompt"))
 
 
 @query(r"SELECT doc_id, len(list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> '')) AS n_tokens FROM documents")
