@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranking import running_sums
+
 STEPS = 101
 SWEPT = ("accuracy", "kappa", "mcc", "f1_hallucinated", "f1_grounded")
 
@@ -81,23 +83,21 @@ def at_thresholds(scored: DataFrame, thresholds: DataFrame, by: Sequence[str], o
 
 
 def curve(scored: DataFrame, by: Sequence[str], positive: int = 1) -> DataFrame:
-    """Points of the ROC and precision-recall curves, one a distinct score, from the highest down."""
+    """Points of the ROC and precision-recall curves, one a distinct score, from the highest down: p and n at the score, tp and fp from it up."""
     good = (F.col("y") == positive).cast("long")
     points = scored.groupBy(*by, "score").agg(F.sum(good).alias("p"), F.sum(1 - good).alias("n"))
-    w = Window.partitionBy(*by).orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    every = Window.partitionBy(*by)
-    return points.select(*by, "score", F.sum("p").over(w).alias("tp"), F.sum("n").over(w).alias("fp"), F.sum("p").over(every).alias("pos"), F.sum("n").over(every).alias("neg"))
+    totals = points.groupBy(*by).agg(F.sum("p").alias("pos"), F.sum("n").alias("neg"))  # a row a group
+    d = running_sums(points, -F.col("score"), [F.desc("score")], {"tp": F.col("p"), "fp": F.col("n")}, by)
+    return d.join(totals, list(by)).select(*by, "score", "p", "n", "tp", "fp", "pos", "neg")
 
 
 def areas(scored: DataFrame, by: Sequence[str], positive: int = 1) -> DataFrame:
     """roc_auc and pr_auc, both by trapezoids; pr starts at recall 0 with precision 1."""
-    c = curve(scored, by, positive)
-    w = Window.partitionBy(*by).orderBy(F.desc("score"))
-    tpr, fpr, precision = F.col("tp") / F.col("pos"), F.col("fp") / F.col("neg"), F.col("tp") / (F.col("tp") + F.col("fp"))
-    step = c.select(*by, tpr.alias("r"), fpr.alias("f"), precision.alias("p"), F.lag(tpr, 1, 0.0).over(w).alias("r0"), F.lag(fpr, 1, 0.0).over(w).alias("f0"), F.lag(precision, 1, 1.0).over(w).alias("p0"))
-    return step.groupBy(*by).agg(
-        F.round(F.sum((F.col("f") - F.col("f0")) * (F.col("r") + F.col("r0")) / 2), 9).alias("roc_auc"),
-        F.round(F.sum((F.col("r") - F.col("r0")) * (F.col("p") + F.col("p0")) / 2), 9).alias("pr_auc"),
+    tp, fp, tp0, fp0 = F.col("tp"), F.col("fp"), F.col("tp") - F.col("p"), F.col("fp") - F.col("n")
+    first = F.when(tp0 + fp0 > 0, tp0 / F.nullif(tp0 + fp0, F.lit(0))).otherwise(F.lit(1.0))
+    return curve(scored, by, positive).groupBy(*by).agg(
+        F.round(F.sum((fp - fp0) / F.col("neg") * (tp + tp0) / F.col("pos") / 2), 9).alias("roc_auc"),
+        F.round(F.sum((tp - tp0) / F.col("pos") * (tp / (tp + fp) + first) / 2), 9).alias("pr_auc"),
     )
 
 

@@ -2,24 +2,42 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def global_rank(df: DataFrame, key: str, *more: str, name: str = "rank", parts: int = 256) -> DataFrame:
-    """Row number from 0 by a numeric key and tiebreaks, nulls first: ranks inside quantile ranges plus the ranges' running counts.
+def running_sums(df: DataFrame, number: Column, order: Sequence[Column | str], sums: dict[str, Column], by: Sequence[str] = (), parts: int = 256) -> DataFrame:
+    """Running totals (rows up to and with each one) in ``order``, each group of ``by`` for itself.
 
-    The ranges come from approximate quantiles; which they are does not change the result. Rows of one key stay
-    in one range, so the key should be close to unique.
+    ``number`` must not fall along the order; it deals the rows to ranges by approximate quantiles, which do not change
+    the result. Totals run inside (group, range) and the ranges' own totals are added, so neither a group nor the
+    whole table is one task. Rows of one number stay in one range.
     """
-    bounds = df.agg(F.percentile_approx(F.col(key).cast("double"), [i / parts for i in range(1, parts)], 10_000)).first()[0] or []
-    bounds = sorted(set(bounds))
+    d = df.withColumn("_number", number.cast("double"))
+    bounds = sorted(set(d.agg(F.percentile_approx("_number", [i / parts for i in range(1, parts)], 10_000)).first()[0] or []))
     cuts = F.array(*map(F.lit, bounds)) if bounds else F.array().cast("array<double>")
-    ranged = df.withColumn("_range", F.coalesce(F.size(F.filter(cuts, lambda b: b < F.col(key).cast("double"))), F.lit(0)))
-    counts = ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
-    before = counts.select("_range", F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))  # ``parts`` rows
-    within = F.row_number().over(Window.partitionBy("_range").orderBy(F.col(key).asc_nulls_first(), *more))
-    return ranged.join(F.broadcast(before), "_range").withColumn(name, F.col("_before") + within - 1).drop("_range", "_before")
+    d = d.withColumn("_range", F.coalesce(F.size(F.filter(cuts, lambda b: b < F.col("_number"))), F.lit(0)))
+    d = d.withColumns({f"_v_{n}": c for n, c in sums.items()})
+    before = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    totals = d.groupBy(*by, "_range").agg(*[F.sum(f"_v_{n}").alias(f"_t_{n}") for n in sums])  # at most ``parts`` rows a group
+    totals = totals.select(*[F.col(c).alias(f"_by_{c}") for c in by], F.col("_range").alias("_r"), *[F.coalesce(F.sum(f"_t_{n}").over(before), F.lit(0)).alias(f"_t_{n}") for n in sums])
+    same = [F.col(c).eqNullSafe(F.col(f"_by_{c}")) for c in by] + [F.col("_range") == F.col("_r")]
+    within = Window.partitionBy(*by, "_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    d = d.join(totals, same).withColumns({n: F.col(f"_t_{n}") + F.sum(f"_v_{n}").over(within) for n in sums})
+    return d.drop("_number", "_range", "_r", *[f"_by_{c}" for c in by], *[f"_{k}_{n}" for n in sums for k in "vt"])
+
+
+def text_number(text: Column) -> Column:
+    """The first six bytes as a number: never falls along the order of UTF-8 strings."""
+    return F.conv(F.rpad(F.hex(F.substring(text.cast("binary"), 1, 6)), 12, "0"), 16, 10).cast("double")
+
+
+def global_rank(df: DataFrame, key: str, *more: str, name: str = "rank", parts: int = 256) -> DataFrame:
+    """Row number from 0 by a numeric key and tiebreaks, nulls first."""
+    order = [F.col(key).asc_nulls_first(), *more]
+    return running_sums(df, F.col(key), order, {name: F.lit(1)}, parts=parts).withColumn(name, F.col(name) - 1)
 
 
 def first_per(df: DataFrame, keys: list[str], order: list[Column], n: int = 1) -> DataFrame:

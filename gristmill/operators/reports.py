@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .ranking import running_sums
+
 
 def label_stats(df: DataFrame, *by: str) -> DataFrame:
     """Rows, valid ones and their share, positives and their rate among the valid."""
@@ -56,8 +58,8 @@ def balanced_threshold(short: DataFrame, long: DataFrame, length: str) -> DataFr
     """The least t among the lengths where the long rows of at least t and the short rows below t are nearest in number."""
     counts = short.groupBy(length).agg(F.count(F.lit(1)).alias("s"), F.lit(0).alias("l")).unionByName(long.groupBy(length).agg(F.lit(0).alias("s"), F.count(F.lit(1)).alias("l")))
     per = counts.groupBy(length).agg(F.sum("s").alias("s"), F.sum("l").alias("l"))  # a row a length
-    w = Window.orderBy(length)
-    d = per.select(F.col(length).alias("t"), F.coalesce(F.sum("s").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("below"), F.sum("l").over(w.rowsBetween(Window.currentRow, Window.unboundedFollowing)).alias("above"))
+    d = running_sums(per, F.col(length), [length], {"s_to": F.col("s"), "l_to": F.col("l")}).crossJoin(F.broadcast(per.agg(F.sum("l").alias("all"))))  # one row
+    d = d.select(F.col(length).alias("t"), (F.col("s_to") - F.col("s")).alias("below"), (F.col("all") - F.col("l_to") + F.col("l")).alias("above"))
     diff = F.abs(F.col("above") - F.col("below"))
     return d.agg(F.min(F.struct(diff.alias("diff"), "t", "above", "below")).alias("x")).select("x.t", "x.above", "x.below")
 

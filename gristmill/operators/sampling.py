@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.keys import md5_int
-from .ranking import first_per, global_rank
+from .ranking import first_per, global_rank, running_sums, text_number
 
 
 def factorial(df: DataFrame, key: str, factors: dict[str, Sequence]) -> DataFrame:
@@ -52,9 +52,13 @@ def trim_parity(df: DataFrame, key: str, *more: str) -> DataFrame:
 def group_split(df: DataFrame, group: str, train: float = 0.7, val: float = 0.85) -> DataFrame:
     """``split`` so that no group straddles two: borders are the groups at floor(n * share) in string order of the group."""
     counts = df.groupBy(group).agg(F.count(F.lit(1)).alias("_n")).withColumn("_key", F.col(group).cast("string"))
-    upto = F.sum("_n").over(Window.orderBy("_key", group).rowsBetween(Window.unboundedPreceding, Window.currentRow))  # a row a group
-    cum = counts.withColumn("_end", upto).withColumn("_start", upto - F.col("_n")).withColumn("_all", F.sum("_n").over(Window.partitionBy()))
-    border = lambda share: F.max(F.when((F.col("_start") <= F.floor(F.col("_all") * F.lit(share))) & (F.floor(F.col("_all") * F.lit(share)) < F.col("_end")), F.col("_start"))).over(Window.partitionBy())
+    cum = running_sums(counts, text_number(F.col("_key")), [F.col("_key").asc_nulls_first(), group], {"_end": F.col("_n")})
+    cum = cum.withColumn("_start", F.col("_end") - F.col("_n"))
+    total = df.agg(F.count(F.lit(1)).alias("_all"))
+    holds = lambda share: F.max(F.when((F.col("_start") <= F.floor(F.col("_all") * F.lit(share))) & (F.floor(F.col("_all") * F.lit(share)) < F.col("_end")), F.col("_start")))
+    borders = cum.crossJoin(F.broadcast(total)).agg(holds(train).alias("_b1"), holds(val).alias("_b2"))  # one row each
+    cum = cum.crossJoin(F.broadcast(borders))
+    border = {train: F.col("_b1"), val: F.col("_b2")}.__getitem__
     split = F.when(F.col("_start") < border(train), "train").when(F.col("_start") < border(val), "val").otherwise("test")
     return df.join(cum.select(F.col(group).alias("_g"), split.alias("split")), F.col(group).eqNullSafe(F.col("_g"))).drop("_g")
 

@@ -74,7 +74,7 @@ def a12_a13_areas_grounded(spark, sf):
 
 @query(
     f"""WITH {SCORED}, c AS (SELECT grp, score, sum(y) AS p, sum(1 - y) AS n FROM scored GROUP BY ALL)
-SELECT grp, score, sum(p) OVER w AS tp, sum(n) OVER w AS fp, sum(p) OVER (PARTITION BY grp) AS pos, sum(n) OVER (PARTITION BY grp) AS neg FROM c WINDOW w AS (PARTITION BY grp ORDER BY score DESC)"""
+SELECT grp, score, p, n, sum(p) OVER w AS tp, sum(n) OVER w AS fp, sum(p) OVER (PARTITION BY grp) AS pos, sum(n) OVER (PARTITION BY grp) AS neg FROM c WINDOW w AS (PARTITION BY grp ORDER BY score DESC)"""
 )
 def a12_curve_points(spark, sf):
     return metrics.curve(scored(spark, sf), ["grp"])
