@@ -3,12 +3,12 @@
 Each source is given a share of all words; a document's expected copies are its source's
 target over its source's size. The expected copies are summed up along the source, one offset
 in [0, 1) is added, and a document is emitted once for each integer that the running sum
-crosses. Within a source the order is by leading digit of the size, then by a hash cell, then
+crosses. Within a source the order is by the size's first two digits, then by a hash cell, then
 by size, so every stretch of similar sizes is drawn from in the same proportion.
 
 No source is gathered in one task: running sums come from two levels, ranks inside
 (source, size class, hash cell) and running counts over those cells. There are at most
-``9 * digits * cells`` cells a source, however large the data.
+``90 * digits * cells`` cells a source, however large the data.
 
 Cases: null text counts as empty (size 0, taken 0); null source is a source of its own, the
 last; sources without words get target 0; an empty table gives an empty result; rows that
@@ -54,7 +54,7 @@ def mix(docs: DataFrame, *, weights: tuple[int, ...] = (1, 2, 3), cap: float = 3
     own = [c for c in docs.columns if c not in ("size", "source_size", "target", "copies", "taken")]
     d = docs.select(F.struct(*own).alias("row"), word_count(F.col("text")).alias("size"), F.col("source").isNull().alias("_null"), F.coalesce("source", F.lit("")).alias("_source"), "doc_id")
     digits = F.col("size").cast("string")
-    d = d.withColumns({"_class": F.length(digits) * 10 + F.substring(digits, 1, 1).cast("int"), "_cell": hash_bucket(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), cells)})
+    d = d.withColumns({"_class": F.length(digits) * 100 + F.substring(digits, 1, 2).cast("int"), "_cell": hash_bucket(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), cells)})
     counted = d.groupBy(*_KEYS).agg(F.count(F.lit(1)).alias("_n"), F.sum("size").alias("_size"))
     share = targets(counted.groupBy("_null", "_source").agg(F.sum("_size").alias("source_size")), weights, cap)
     before = Window.partitionBy("_null", "_source").orderBy("_class", "_cell").rowsBetween(Window.unboundedPreceding, -1)
@@ -76,7 +76,7 @@ def mix_sql(docs: str = "documents", columns: str = "", *, seed: str = "mix-1",
     """DuckDB's form of ``mix``, over a table or a subquery."""
     return rf"""
 WITH d AS (SELECT *, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size, source IS NULL AS sn, coalesce(source, '') AS sv FROM {docs} AS src),
-e AS (SELECT *, len(size::VARCHAR) * 10 + substr(size::VARCHAR, 1, 1)::INT AS cl, {bucket_sql("coalesce(doc_id::VARCHAR, '')", cells)} AS ce FROM d),
+e AS (SELECT *, len(size::VARCHAR) * 100 + substr(size::VARCHAR, 1, 2)::INT AS cl, {bucket_sql("coalesce(doc_id::VARCHAR, '')", cells)} AS ce FROM d),
 s AS (SELECT sn, sv, sum(size)::BIGINT AS source_size FROM d GROUP BY ALL),
 w AS (SELECT *, ((row_number() OVER (ORDER BY sn, sv) - 1) % 3 + 1)::DOUBLE AS w, source_size * 3.0::DOUBLE AS top FROM s),
 l AS (SELECT *, ((sum(source_size) OVER ())::DOUBLE - coalesce(sum(top) OVER b, 0)) / (sum(w) OVER () - coalesce(sum(w) OVER b, 0)) AS lev FROM w
