@@ -174,6 +174,12 @@ def judge_prompt(question: Column, answer_sections: Column) -> Column:
     return F.concat(F.lit("Question: "), safe(question), F.lit("\n"), listed, F.lit("\nReply as JSON: {"), form, F.lit("}"))
 
 
+def comparison_prompt(chunks: Column, question: Column, answer: Column) -> Column:
+    """Request to list an answer's mistakes against the chunks, by kind, with a quote from either side."""
+    form = 'Chunks:\n%s\nQuestion: %s\n\nAnswer: %s\n\nList what in the answer is without ground in the chunks (NOT_GROUNDED) or against them (CONFLICTING), as JSON: {"has_mistakes": null, "mistakes": [{"type": null, "output_quote": null, "chunks_quote": null}]}'
+    return F.format_string(form, numbered_chunks(chunks), question, answer)
+
+
 @F.pandas_udf(T.DoubleType())
 def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     """Ratio of matching characters by difflib, with its own heuristics; equal texts are not compared."""

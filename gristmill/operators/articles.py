@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.text import REFERENCE, any_date, reference_fields, strip
+from ..functions.text import REFERENCE, any_date, has_link, reference_fields, sentences, strip, strip_markup, without_references
 
 
 def references(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -112,6 +112,24 @@ def passages(refs: DataFrame, keys: list[str]) -> DataFrame:
     return d.groupBy(*keys).agg(F.min("access_date").alias("earliest_access_date"), F.min("date").alias("earliest_date"), F.min("archive_date").alias("earliest_archive_date"), F.array_sort(F.collect_list(info)).alias("references"))
 
 
+def assemble(df: DataFrame, key: str, wikitext: str) -> DataFrame:
+    """Wikitext to cited passages: (key, start, end, contains_article, earliest dates, references) in the readable content.
+
+    Each reference is led to the sentence that ends at its anchor; references of one sentence make a passage,
+    whose place in the content without markup is found by its unique beginning and ending.
+    """
+    w = F.col(wikitext)
+    d = df.select(key, w.alias("_w"), sentences(without_references(w)).alias("_s"), strip_markup(without_references(w)).alias("content"))
+    refs = references(df, key, wikitext).join(d, key).withColumn("_span", span_in("_w", "_s", "anchor_index"))
+    found = refs.filter("_span.start > 0 and _span.end > 0")
+    place = found.select(key, "i", "values", "content", F.col("_span.start").alias("_a"), F.col("_span.end").alias("_b"), F.substring(F.col("_w"), F.col("_span.start") + 1, F.col("_span.end") - F.col("_span.start")).alias("_t"))
+    grouped = passages(place, [key, "_a", "_b", "_t", "content"])
+    plain = without_references(F.col("_t"))
+    grouped = grouped.withColumn("contains_article", has_link(plain)).withColumn("_p", strip(strip_markup(plain)))
+    grouped = grouped.withColumn("start", start_in("content", "_p")).withColumn("end", end_in("content", "_p"))
+    return grouped.filter("start is not null and end is not null").drop("_a", "_b", "_t", "_p", "content")
+
+
 def useful_passages(passage_data: Column, cutoff: Column, least: int = 50) -> Column:
     """Passages without links, long enough, with references that are all dated at the cutoff or after."""
     fresh = lambda r: F.coalesce((r["access_date"] >= cutoff) & (r["date"] >= cutoff) & (r["archive_date"].isNull() | (r["archive_date"] >= cutoff)), F.lit(False))

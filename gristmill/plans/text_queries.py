@@ -168,6 +168,13 @@ def p1_space_after_references(spark, sf):
     return table(spark, sf, "documents").select("doc_id", X.space_after_references(t).alias("text"))
 
 
+@query()
+def io13_articles(spark, sf):
+    """Cited passages of articles, from wikitext to places in the readable content."""
+    d = table(spark, sf, "documents").select("doc_id", F.concat(F.lit("Lead. "), F.replace(wikitext(), F.lit("<ref"), F.lit(".<ref"))).alias("wiki"))
+    return articles.assemble(d, "doc_id", "wiki").select("doc_id", "start", "end", "contains_article", "earliest_access_date", "earliest_date", F.size("references").alias("n"))
+
+
 @query()
 def p5_p6_passage_bounds(spark, sf):
     """Where the shortest beginning and ending of a passage that are unique in the document stand."""
@@ -301,6 +308,12 @@ def p23_judge_prompt(spark, sf):
     return table(spark, sf, "documents").select("doc_id", X.judge_prompt(F.lit("Why {now}?"), F.array(F.col("text"), F.lit("{}"))).alias("prompt"))
 
 
+@query("""SELECT doc_id, 'Chunks:' || chr(10) || '### Chunk 1: ' || source || chr(10) || text || chr(10) || chr(10) || chr(10) || 'Question: Why?' || chr(10) || chr(10) || 'Answer: ' || lang || chr(10) || chr(10) || 'List what in the answer is without ground in the chunks (NOT_GROUNDED) or against them (CONFLICTING), as JSON: {"has_mistakes": null, "mistakes": [{"type": null, "output_quote": null, "chunks_quote": null}]}' AS prompt FROM documents""")
+def p24_comparison_prompt(spark, sf):
+    chunks = F.array(F.struct(F.col("source").alias("title"), F.col("text").alias("content")))
+    return table(spark, sf, "documents").select("doc_id", X.comparison_prompt(chunks, F.lit("Why?"), F.col("lang")).alias("prompt"))
+
+
 @query(r"SELECT doc_id, len(list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> '')) AS n_tokens FROM documents")
 def p25_token_count(spark, sf):
     return table(spark, sf, "documents").select("doc_id", X.token_count(F.col("text")).alias("n_tokens"))

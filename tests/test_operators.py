@@ -180,6 +180,16 @@ def test_passage_span():
     assert articles.passage_span(article, s, 0) == (None, None)
 
 
+def test_assemble(spark):
+    ref = "<ref>{{cite web|access-date=2024-01-0%d|date=2023-05-01}}</ref>"
+    wiki = "A short lead without a source here.\nThe ''old'' bridge was closed in spring." + ref % 9 + ref % 5 + "\nIt lies by the [[river]] north of town." + ref % 7 + "\nNobody cites this one."
+    r = articles.assemble(spark.createDataFrame([(1, wiki), (2, None), (3, "no refs")], "id long, w string"), "id", "w").orderBy("start").collect()
+    content = "A short lead without a source here.\nThe old bridge was closed in spring.\nIt lies by the river north of town.\nNobody cites this one."
+    assert [content[x.start : x.end] for x in r] == ["The old bridge was closed in spring.", "It lies by the river north of town."]
+    assert [x.contains_article for x in r] == [False, True] and [len(x.references) for x in r] == [2, 1]
+    assert str(r[0].earliest_access_date.date()) == "2024-01-05"
+
+
 # --- sampling ------------------------------------------------------------------------------------
 
 
