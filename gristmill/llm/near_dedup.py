@@ -2,18 +2,21 @@
 
 A text is the multiset of its runs of five words (letters and digits, lower case); a shingle's weight is its count
 in the text times an inverse document frequency from all documents. The frequency form is
-linear, 1 - df/N in sixteenths: with the logarithmic form the shingles that a group of a
-thousand near copies shares would weigh a third of those that its members have alone, and
-pairs that share nine tenths of their text would fall below the threshold. Frequencies are
+linear and damped, 1 - df / (8 N) in 64ths: with the logarithmic form the shingles that a group
+of a thousand near copies shares would weigh a third of those that its members have alone, and
+pairs that share nine tenths of their text would fall below the threshold. Damped, a group that holds a
+third of all documents moves a similarity of 0.8 by less than 0.01. Frequencies are
 counted over hashed buckets, a vector of fixed size whose noise, shingles a document over
 buckets, does not grow with the corpus.
 
-``bands * rows`` consistent weighted samples (k, t) a text are cut into bands. Texts with equal
+``BANDS * ROWS`` consistent weighted samples (k, t) a text are cut into bands: a pair at the threshold shares one
+with probability 0.9993, a pair at a third with 0.03. Texts with equal
 words are one class from the start. In every bucket of a band one text is the centre, another in
 every band, and each text is held against its centres by weighted Jaccard similarity of the
 whole texts. Links make components; then all pairs of a bucket that are still in different
 components are compared too, so every pair that shares a band is either compared or already
-joined. Centres come first because they join a group of n in n comparisons, not n * n.
+joined. Centres come first because they join a group of n in n comparisons, not n * n. What is left of large
+buckets is compared block against block, so that a task holds two blocks and a text travels once a block.
 
 Cases: null, empty and wordless texts are each a class of their own; a text of fewer than five
 words is one shingle; rows that repeat a doc_id are one document;
@@ -36,11 +39,11 @@ from .common import cut, mix64, shingles, word_hashes
 from .components import components
 
 WORDS, THRESHOLD = 5, 0.8
-BANDS, ROWS = 16, 4
+BANDS, ROWS = 24, 6
 DF_BITS = 18
-LEVELS = 16
+LEVELS, DAMPING = 64, 8
 _POOL = 1 << 16
-_CHUNK = 1024
+_CHUNK = 512
 _rng = np.random.default_rng(20260202)
 _MULTIPLIERS = _rng.integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)
 _R, _C = _rng.gamma(2, 1, _POOL), _rng.gamma(2, 1, _POOL)
@@ -59,7 +62,7 @@ def bucket(shingle: np.ndarray) -> np.ndarray:
 
 
 def document_frequencies(docs: DataFrame) -> np.ndarray:
-    """Weights of the buckets in sixteenths, 1 to 16, from the frequencies over all documents."""
+    """Weights of the buckets in 64ths, from the frequencies over all documents."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, n = np.zeros(1 << DF_BITS, np.int64), 0
@@ -78,12 +81,12 @@ def document_frequencies(docs: DataFrame) -> np.ndarray:
     docs_n = max(1, int(n[at == -1].sum()))
     df = np.zeros(1 << DF_BITS)
     df[at[at >= 0]] = n[at >= 0]
-    return np.clip(np.rint((1 - df / docs_n) * LEVELS), 1, LEVELS).astype(np.uint8)
+    return np.clip(np.rint((1 - df / docs_n / DAMPING) * LEVELS), 1, LEVELS).astype(np.uint8)
 
 
 @lru_cache(maxsize=64)
 def _samples(weight: int) -> tuple[np.ndarray, np.ndarray]:
-    """Ioffe's sampling for a weight in sixteenths, for each drawing of (r, c, beta): ln a and t."""
+    """Ioffe's sampling for a weight in 64ths, for each drawing of (r, c, beta): ln a and t."""
     log = np.log(weight / LEVELS)
     t = np.floor(log / _R + _BETA)
     return (np.log(_C) - _R * (t - _BETA) - _R).astype(np.float32), t.astype(np.int64)
@@ -99,12 +102,14 @@ def signature(own: np.ndarray, weights: np.ndarray) -> np.ndarray:
         part = own[weights == w]
         for at in range(0, len(part), _CHUNK):
             some = part[at : at + _CHUNK]
-            draw = (some[:, None] * _MULTIPLIERS[None, :]) >> np.uint64(48)
-            values = a[draw]
-            i = values.argmin(axis=0)
-            low, k = values[i, lane], some[i]
+            draw = _MULTIPLIERS[:, None] * some[None, :]
+            draw >>= np.uint64(48)
+            draw = draw.view(np.int64)
+            values = a.take(draw, mode="clip")
+            i = values.argmin(axis=1)
+            low, k = values[lane, i], some[i]
             better = (low < best) | ((low == best) & (k < key))
-            best, key, step = np.where(better, low, best), np.where(better, k, key), np.where(better, t[draw[i, lane]], step)
+            best, key, step = np.where(better, low, best), np.where(better, k, key), np.where(better, t[draw[lane, i]], step)
     return mix64(key ^ mix64(step.astype(np.uint64) + _MULTIPLIERS))
 
 
@@ -177,7 +182,7 @@ def near(x: str, y: str, threshold: float):
     return F.least(x, y) >= F.greatest(x, y) * F.lit(threshold)
 
 
-def links(docs: DataFrame, reps: DataFrame, level, *, threshold: float = THRESHOLD, star_rounds: int = 4, few: int = 8) -> DataFrame:
+def links(docs: DataFrame, reps: DataFrame, level, *, threshold: float = THRESHOLD, few: int = 16, block: int = 256) -> DataFrame:
     """(node, component) over documents with different words (reps: rep, weight, bands)."""
     rows = reps.select("rep", "weight", F.explode("bands").alias("key"))
     centre = F.min_by(F.struct("rep", "weight"), F.xxhash64("rep", "key")).alias("c")
@@ -186,28 +191,65 @@ def links(docs: DataFrame, reps: DataFrame, level, *, threshold: float = THRESHO
     pairs = live.filter(F.col("rep") != F.col("c.rep")).filter(near("weight", "c.weight", threshold)).select(*_pair("rep", "c.rep")).distinct()
     tested = cut(pairs, "near-pairs")
     found = cut(verify(tested, docs, level, threshold), "near-links")
-    for turn in range(star_rounds + 1):
-        groups = components(found)
-        own = live.select("key", "rep", "weight").join(groups, live["rep"] == groups["node"], "left").select("key", "rep", "weight", F.coalesce("component", "rep").alias("component"))
-        split = own.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("key")
-        apart = cut(own.join(split, "key"), "near-apart")
-        sizes = apart.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(((F.sum("n") * F.sum("n") - F.sum(F.col("n") * F.col("n"))) / 2).alias("n"))
-        left = sizes.agg(F.sum("n")).first()[0] or 0
-        if not left:
-            return groups
-        last = turn == star_rounds or left <= few * apart.count()
-        x, y = apart.alias("x"), apart.alias("y")
-        if last:
-            met = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.rep") < F.col("y.rep")) & (F.col("x.component") != F.col("y.component")))
-        else:  # many are apart: other centres first
-            hub = apart.groupBy("key").agg(F.min_by(F.struct("rep", "weight", "component"), F.xxhash64("rep", "key", F.lit(turn))).alias("h")).select("key", "h.*")
-            met = x.join(hub.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.component") != F.col("y.component")))
-        more = met.filter(near("x.weight", "y.weight", threshold)).select(*_pair("x.rep", "y.rep")).distinct().join(tested, ["a", "b"], "left_anti")
-        more = cut(more, "near-pairs")
-        found = cut(found.unionByName(verify(more, docs, level, threshold)), "near-links")
-        if last:
-            return components(found)
-        tested = tested.unionByName(more)
+    groups = components(found)
+    own = live.select("key", "rep", "weight").join(groups, live["rep"] == groups["node"], "left").select("key", "rep", "weight", F.coalesce("component", "rep").alias("component"))
+    split = own.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("n")).filter("lo < hi").select("key", "n")
+    apart = cut(own.join(split, "key"), "near-apart")
+    if apart.isEmpty():
+        return groups
+    # small buckets: their pairs, each compared once
+    x, y = apart.filter(F.col("n") <= few).alias("x"), apart.filter(F.col("n") <= few).alias("y")
+    met = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.rep") < F.col("y.rep")) & (F.col("x.component") != F.col("y.component")) & near("x.weight", "y.weight", threshold))
+    more = cut(met.select(*_pair("x.rep", "y.rep")).distinct().join(tested, ["a", "b"], "left_anti"), "near-pairs")
+    all_links = found.unionByName(verify(more, docs, level, threshold))
+    large = apart.filter(F.col("n") > few)
+    if not large.isEmpty():
+        all_links = all_links.unionByName(verify_blocks(large, docs, level, threshold, block))
+    return components(cut(all_links, "near-links"))
+
+
+def verify_blocks(apart: DataFrame, docs: DataFrame, level, threshold: float, block: int) -> DataFrame:
+    """(a, b, similarity) of all pairs of a bucket in different components: blocks of the bucket meet in pairs.
+
+    A text travels once for each block it meets, not once for each text; a task holds two blocks.
+    """
+    blocks = F.ceil(F.col("n") / block).cast("int")
+    d = apart.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    d = d.join(docs.select(F.col("doc_id").alias("rep"), "text"), "rep")
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
+    d = d.select("key", "rep", "weight", "component", "text", "own", other)
+    d = d.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rep", "weight", "component", "text")
+
+    def compare(part: pa.Table) -> pa.Table:
+        i, j = part["i"][0].as_py(), part["j"][0].as_py()
+        own, reps, comps = (part[c].to_numpy() for c in ("own", "rep", "component"))
+        sets = [weigh(t.as_py())[1:] for t in part["text"]]
+        size = np.array([int((n * level.value[bucket(s)].astype(np.int64)).sum()) for s, n in sets])
+        # each shingle's holders, then for each text the weight that it shares with every other
+        flat = np.concatenate([s for s, _ in sets]) if sets else np.empty(0, np.uint64)
+        counts = np.concatenate([n for _, n in sets]) if sets else np.empty(0, np.int64)
+        holder = np.repeat(np.arange(len(sets)), [len(s) for s, _ in sets])
+        order = np.argsort(flat, kind="stable")
+        keys, begin = np.unique(flat[order], return_index=True)
+        end = np.append(begin[1:], len(flat))
+        holder, held = holder[order], counts[order]
+        out: list[list] = [[], [], []]
+        for k, (s, n) in enumerate(sets):
+            if i != j and own[k] != i:
+                continue
+            at = np.searchsorted(keys, s)
+            spans = end[at] - begin[at]
+            take = np.repeat(begin[at] - np.cumsum(spans) + spans, spans) + np.arange(spans.sum())
+            w = np.minimum(held[take], np.repeat(n, spans)) * np.repeat(level.value[bucket(s)].astype(np.int64), spans)
+            shared = np.bincount(holder[take], w, len(sets))
+            similar = shared / np.maximum(size[k] + size - shared, 1)
+            ok = (similar >= threshold) & (comps != comps[k]) & ((own == j) if i != j else (np.arange(len(sets)) > k))
+            for m in np.flatnonzero(ok):
+                for column, v in zip(out, (min(reps[k], reps[m]), max(reps[k], reps[m]), similar[m])):
+                    column.append(v)
+        return pa.table([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.float64()))], names=["a", "b", "similarity"])
+
+    return d.groupBy("key", "i", "j").applyInArrow(compare, "a long, b long, similarity double")
 
 
 def classes(docs: DataFrame, *, threshold: float = THRESHOLD) -> DataFrame:
