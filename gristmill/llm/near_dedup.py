@@ -190,6 +190,8 @@ def links(docs: DataFrame, reps: DataFrame, level, *, threshold: float = THRESHO
     live = cut(rows.join(many, "key").select("key", "rep", "weight", "c"), "near-buckets")
     pairs = live.filter(F.col("rep") != F.col("c.rep")).filter(near("weight", "c.weight", threshold)).select(*_pair("rep", "c.rep")).distinct()
     tested = cut(pairs, "near-pairs")
+    # only texts that share a band with another are looked at again: one shuffle of all texts, then theirs alone
+    docs = cut(docs.select("doc_id", "text").join(live.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi"), "near-texts")
     found = cut(verify(tested, docs, level, threshold), "near-links")
     groups = components(found)
     own = live.select("key", "rep", "weight").join(groups, live["rep"] == groups["node"], "left").select("key", "rep", "weight", F.coalesce("component", "rep").alias("component"))
@@ -209,7 +211,7 @@ def links(docs: DataFrame, reps: DataFrame, level, *, threshold: float = THRESHO
 
 
 def verify_blocks(apart: DataFrame, docs: DataFrame, level, threshold: float, block: int) -> DataFrame:
-    """(a, b, similarity) of all pairs of a bucket in different components: blocks of the bucket meet in pairs.
+    """(a, b, similarity) of a link between any two components of a bucket that have one: blocks of the bucket meet in pairs.
 
     A text travels once for each block it meets, not once for each text; a task holds two blocks.
     """
@@ -234,6 +236,7 @@ def verify_blocks(apart: DataFrame, docs: DataFrame, level, threshold: float, bl
         end = np.append(begin[1:], len(flat))
         holder, held = holder[order], counts[order]
         out: list[list] = [[], [], []]
+        joined: set[tuple[int, int]] = set()  # one link joins two components, more add nothing
         for k, (s, n) in enumerate(sets):
             if i != j and own[k] != i:
                 continue
@@ -245,6 +248,10 @@ def verify_blocks(apart: DataFrame, docs: DataFrame, level, threshold: float, bl
             similar = shared / np.maximum(size[k] + size - shared, 1)
             ok = (similar >= threshold) & (comps != comps[k]) & ((own == j) if i != j else (np.arange(len(sets)) > k))
             for m in np.flatnonzero(ok):
+                two = (min(comps[k], comps[m]), max(comps[k], comps[m]))
+                if two in joined:
+                    continue
+                joined.add(two)
                 for column, v in zip(out, (min(reps[k], reps[m]), max(reps[k], reps[m]), similar[m])):
                     column.append(v)
         return pa.table([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.float64()))], names=["a", "b", "similarity"])
