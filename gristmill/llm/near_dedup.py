@@ -203,11 +203,21 @@ def links(docs: DataFrame, reps: DataFrame, level, *, threshold: float = THRESHO
     x, y = apart.filter(F.col("n") <= few).alias("x"), apart.filter(F.col("n") <= few).alias("y")
     met = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.rep") < F.col("y.rep")) & (F.col("x.component") != F.col("y.component")) & near("x.weight", "y.weight", threshold))
     more = cut(met.select(*_pair("x.rep", "y.rep")).distinct().join(tested, ["a", "b"], "left_anti"), "near-pairs")
-    all_links = found.unionByName(verify(more, docs, level, threshold))
+    fresh = verify(more, docs, level, threshold)
     large = apart.filter(F.col("n") > few)
     if not large.isEmpty():
-        all_links = all_links.unionByName(verify_blocks(large, docs, level, threshold, block))
-    return components(cut(all_links, "near-links"))
+        fresh = fresh.unionByName(verify_blocks(large, docs, level, threshold, block))
+    return merged(groups, cut(fresh, "near-links"))
+
+
+def merged(groups: DataFrame, fresh: DataFrame) -> DataFrame:
+    """Components (node, component) joined up by further links (a, b): only the components that those touch are gone through again."""
+    of = lambda x: groups.select(F.col("node").alias(x), F.col("component").alias(f"of_{x}"))
+    ends = fresh.select("a", "b").join(of("a"), "a", "left").join(of("b"), "b", "left")
+    again = components(ends.select(F.coalesce("of_a", "a").alias("a"), F.coalesce("of_b", "b").alias("b")))
+    up = again.select(F.col("node").alias("old"), F.col("component").alias("new"))
+    moved = groups.join(up, groups["component"] == up["old"], "left").select("node", F.coalesce("new", "component").alias("component"))
+    return moved.unionByName(again.join(groups.select("node"), "node", "left_anti"))
 
 
 def verify_blocks(apart: DataFrame, docs: DataFrame, level, threshold: float, block: int) -> DataFrame:
