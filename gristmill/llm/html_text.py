@@ -2,10 +2,11 @@
 
 A page is a sequence of tags and words. A word scores by where it stands, a tag by its name; the scores
 are log odds of content against the rest, counted on labelled pages (``labelled_pages``) and clipped,
-so words of running text are positive and tags and words in menus, adverts, forms and the like negative.
-One linear scan (Kadane's) finds the contiguous region with the greatest sum. Elements within it that
-are never content are left out, character references are decoded, white space in a block becomes one
-space, and blocks are joined by one space.
+so words of running text are positive, and links and the tags around them negative.
+One linear scan (Kadane's) finds the contiguous region with the greatest sum. Menus, adverts, forms and
+the like, scripts and comments are left out wherever they stand and score 0, so a long one does not cut an
+article in two. Character references are decoded, white space in a block becomes one space, and blocks
+are joined by one space.
 
 Cases: null and empty html give an empty text; a page without positive words gives an empty text;
 pages may break off anywhere; elements may be left open; of equal regions the first is taken;
@@ -33,6 +34,8 @@ _TOKEN = re.compile(
 )
 _ATTR = re.compile(r"(class|id|role|hidden|aria-hidden|style)\s*(?:=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.I)
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+#: Score kind of all that is left out: elements that are never content, with their tags and words, scripts and comments.
+OUT = "out"
 BLOCKS = frozenset(
     "address article aside blockquote body br button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre section select summary table tbody td tfoot th thead title tr ul".split()
 )
@@ -84,23 +87,22 @@ def segments(page: str) -> Iterator[tuple[str, str, bool, str]]:
         at = m.end()
         name = (m["name"] or m["name2"] or m["raw"] or "").lower()
         if not name or m["raw"]:
-            yield ("tag:" + (name or "other"), "", False, "")
+            yield (OUT, "", False, "")
             continue
-        block, inside = name if name in BLOCKS else "", False
+        block = name if name in BLOCKS else ""
         if m["end"] or m["end2"]:
-            _close(stack, name)
-            inside = bool(stack and stack[-1][1])
+            kind = _close(stack, name)
         else:
             if name in _CLOSES_P:
                 _leave(stack, {"p"})
             if name in _SAME and name != "p":
                 _leave(stack, _SAME[name])
             above = stack[-1] if stack else ("", "", False)
-            inside = bool(above[1])
+            kind = above[1]
             if name not in VOID:
-                kind = above[1] or _kind(name, m["attrs"] or m["attrs2"] or "", above[2])
+                kind = kind or _kind(name, m["attrs"] or m["attrs2"] or "", above[2])
                 stack.append((name, kind, above[2] or name in ("article", "main")))
-        yield ("tag:inner" if inside else "tag:" + name, "", False, block)
+        yield (OUT if kind else "tag:" + name, "", False, block)
     if at < len(page):
         yield _text(page[at:], stack)
 
@@ -108,20 +110,22 @@ def segments(page: str) -> Iterator[tuple[str, str, bool, str]]:
 def _text(raw: str, stack: list) -> tuple[str, str, bool, str]:
     if not stack:
         return ("word:root", html.unescape(raw), True, "")
-    kind = stack[-1][1]
-    if kind:
-        return ("word:" + kind, html.unescape(raw), False, "")
+    if stack[-1][1]:
+        return (OUT, html.unescape(raw), False, "")
     name = next((n for n, _, _ in reversed(stack) if n == "a" or n in BLOCKS), "root")
     return ("word:" + ("h" if re.fullmatch("h[1-6]", name) else name), html.unescape(raw), True, "")
 
 
-def _close(stack: list, name: str) -> None:
+def _close(stack: list, name: str) -> str:
+    """Close the last open element of this name; the kind of what the tag ends or, if it ends nothing, of what it stands in."""
     for i in range(len(stack) - 1, -1, -1):
         if stack[i][0] == name:
+            kind = stack[i][1]
             del stack[i:]
-            return
+            return kind
         if name not in _SCOPE and stack[i][0] in _SCOPE:
-            return
+            break
+    return stack[-1][1] if stack else ""
 
 
 def _leave(stack: list, names: set[str]) -> None:
@@ -149,14 +153,13 @@ def learn(pages: list[tuple[str, str]]) -> dict[str, float]:
                 counts[seen == 1][kind] += len(text.split()) if kind.startswith("word") else 1
         assert seen == 2, marks
     scores = {}
-    for kind in counts[True] | counts[False]:
+    for kind in (counts[True] | counts[False]).keys() - {OUT}:
         odds = math.log((counts[True][kind] + 0.5) / (counts[False][kind] + 0.5))
         if kind.startswith("tag"):
-            # tags within an element that is left out anyway count little, so a long form does not cut an article in two
-            scores[kind] = -0.05 if kind == "tag:inner" else min(-0.05, max(-1.0, odds / 4 - 0.25))
+            scores[kind] = min(-0.05, max(-1.0, odds / 4 - 0.25))
         else:
             scores[kind] = max(-0.2, min(1.0, odds / 2))
-    return scores
+    return scores | {OUT: 0.0}
 
 
 #: For kinds that no labelled page holds.
@@ -179,7 +182,9 @@ def extract(page: str | None, scores: dict[str, float]) -> str:
     found = list(segments(page or ""))
     each = []
     for kind, text, _, _ in found:
-        if kind.startswith("word"):
+        if kind == OUT:
+            each.append(0.0)
+        elif kind.startswith("word"):
             each.append(scores.get(kind, DEFAULT_WORD) * len(text.split()))
         else:
             each.append(scores.get(kind, DEFAULT_TAG))

@@ -93,6 +93,16 @@ def test_html_pages(page, text):
     assert html_text.extract(page, SCORES) == text
 
 
+@pytest.mark.parametrize("start,end", [("<aside>", "</aside>"), ("<nav>", "</nav>"), ("<form>", "</form>"), ("<div class=ad>", "</div>"), ("<div class=cookie-notice>", "</div>"), ("<section id=comments>", "</section>"), ("<aside><p><a>", "</a></p></aside>" * 2)])
+def test_html_left_out_elements_do_not_cut_an_article(start, end):
+    block = start + "<label>skip</label> " * 100 + "skip " * 500 + end
+    slots = "<!-- slot --><script>track()</script>" * 40
+    body = "<p>" + "A body of many words in a row. " * 3 + "</p>"
+    want = " ".join(["Six words stand in this heading"] + ["A body of many words in a row."] * 3 + ["The last word."])
+    page = f"<nav>menu</nav><article><h1>Six words stand in this heading</h1>{block}{slots}{block}{body}{block}<p>The last word.</p></article>{block}<footer>gone</footer>"
+    assert html_text.extract(page, SCORES) == want
+
+
 def test_html_labelled_pages_are_recovered():
     for before, content, after in PAGES:
         want = " ".join(re.sub(r"<[^>]*>", " ", content).split())
