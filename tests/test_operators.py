@@ -258,6 +258,19 @@ def test_other_passages(spark):
     assert set(per) == set(range(200)) and all(len(set(o)) == 3 and all(v % 5 != k % 5 for v in o) for k, o in per.items())
 
 
+@pytest.mark.parametrize("groups", [lambda i: 0 if i % 10 else i, lambda i: None if i < 80 else i % 3, lambda i: str(i % 2) if i < 6 else "x", lambda i: int(i == 7), lambda i: 1])
+def test_other_passages_of_a_group_that_holds_most_rows(spark, groups):
+    of = {i: groups(i) for i in range(120)}
+    kind = "string" if isinstance(of[0], str) else "long"
+    r = joins.other_passages(spark.createDataFrame(list(of.items()), f"id long, g {kind}"), "id", "g", 3, "s", draws=4).collect()
+    per = {i: [] for i in of}
+    for x in sorted(r, key=lambda x: x.j):
+        assert x.j == len(per[x.id])
+        per[x.id].append(x.other)
+    for i, others in per.items():
+        assert len(set(others)) == len(others) == min(3, sum(g != of[i] for g in of.values())) and all(of[o] != of[i] for o in others)
+
+
 # --- metrics -----------------------------------------------------------------------------------------
 
 
