@@ -5,6 +5,7 @@ from __future__ import annotations
 import itertools
 from collections.abc import Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -138,21 +139,33 @@ def imbalance(counts: dict[tuple, int], columns: int) -> float:
 
 
 def balance_plan(counts: dict[tuple, int], max_err: float = 1e-4, steps: int = 10_000, window: int = 100, gain: float = 0.005) -> dict[tuple, int]:
-    """Copies to add to each combination: greedily the one that lowers the imbalance most, cut where it was least."""
-    now, added = dict(counts), []
-    width = len(next(iter(counts)))
-    scores = [imbalance(now, width)]
+    """Copies to add to each combination: greedily the one that lowers the imbalance most, cut where it was least.
+
+    A copy changes one value's count in each column, so a step works out each value's term once and adds them up by combination.
+    """
+    combos, added = list(counts), []
+    total, per, at = sum(counts.values()), [], []
+    for c in range(len(combos[0])):
+        place = {v: i for i, v in enumerate(dict.fromkeys(combo[c] for combo in combos))}
+        at.append(np.array([place[combo[c]] for combo in combos]))
+        per.append([0] * len(place))
+        for combo, n in counts.items():
+            per[c][place[combo[c]]] += n
+    scores = [imbalance(counts, len(per))]
     while scores[-1] > max_err and len(added) < steps:
-        best, low = None, None
-        for combo in counts:
-            now[combo] += 1
-            s = imbalance(now, width)
-            now[combo] -= 1
-            if low is None or s < low:
-                best, low = combo, s
-        now[best] += 1
-        added.append(best)
-        scores.append(low)
+        after, total = np.zeros(len(combos)), total + 1
+        for own, places in zip(per, at):  # added up in the order of imbalance(), so equal scores stay equal
+            terms = []
+            for i, n in enumerate(own):
+                own[i] = n + 1
+                terms.append(((max(own) - min(own)) / total) ** 2)
+                own[i] = n
+            after += np.array(terms)[places]
+        best = int(after.argmin())
+        for own, places in zip(per, at):
+            own[places[best]] += 1
+        added.append(combos[best])
+        scores.append(float(after[best]))
         if len(scores) > window and scores[-window - 1] - scores[-1] <= gain:
             break
     keep = min(range(len(scores)), key=lambda i: (scores[i], i))

@@ -72,9 +72,9 @@ def g7_oversample(spark, sf):
 @query()
 def g8_multi_oversample(spark, sf):
     """Copies per trait combination until the traits are balanced."""
-    cols = ["quantization", "answerable", "chunk_size", "target"]
+    cols = ["quantization", "answerable", "chunk_size", "chunks_per_prompt", "template", "target"]
     d = labelled(spark, sf).filter("target is not null").select("id", *cols)
-    return sampling.multi_oversample(d, cols, "id", steps=2000)
+    return sampling.multi_oversample(d, cols, "id")
 
 
 @query()

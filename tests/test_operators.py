@@ -227,6 +227,33 @@ def test_balance_plan_lowers_imbalance():
     assert sampling.imbalance(after, 2) <= 1e-4 < sampling.imbalance(counts, 2)
 
 
+def test_balance_plan_takes_the_best_step_each_time():
+    rng = random.Random(2)
+    for _ in range(20):
+        counts = {c: rng.randint(1, 30) for c in itertools.product("ab", (None, 1, 2), (0, 1)) if rng.random() < 0.8}
+        now, scores, added = dict(counts), [sampling.imbalance(counts, 3)], []
+        while scores[-1] > 1e-4 and len(added) < 150:
+            tried = [sampling.imbalance({**now, c: n + 1}, 3) for c, n in now.items()]
+            added.append(list(now)[tried.index(min(tried))])
+            now[added[-1]] += 1
+            scores.append(min(tried))
+        kept = added[: scores.index(min(scores))]
+        assert sampling.balance_plan(counts, steps=150, gain=-1.0) == {c: kept.count(c) for c in kept}
+
+
+def test_multi_oversample_query_takes_all_steps_and_columns(spark, tmp_path):
+    from gristmill.plans import registry
+
+    d = spark.range(10_000).selectExpr("id AS doc_id", "'t' AS text", "'en' AS lang", "'src1' AS source", "1 AS n_chars")
+    d.write.parquet(f"{tmp_path}/documents.parquet")
+    d.selectExpr("doc_id", "1 AS quality", "int(hash(doc_id, 7) % 100 in (0, 1, 2, 3, 4, 5, -1, -2, -3, -4, -5, -6)) AS toxic").write.parquet(f"{tmp_path}/labels.parquet")
+    r = registry.queries()["g8_multi_oversample"](spark, str(tmp_path)).cache()
+    assert {"quantization", "answerable", "chunk_size", "chunks_per_prompt", "template", "target"} <= set(r.columns)
+    assert r.count() > 12_000
+    shares = [x.n for x in r.groupBy("target").agg(F.count("*").alias("n")).collect()]
+    assert ((max(shares) - min(shares)) / sum(shares)) ** 2 < 0.2
+
+
 def test_multi_oversample_keeps_nulls_and_every_row(spark):
     rows = [(i, None if i % 3 else "int4", int(i % 4 == 0)) for i in range(60)]
     d = spark.createDataFrame(rows, "id long, q string, y int")
