@@ -26,13 +26,14 @@ from pyspark.sql import DataFrame
 
 _TOKEN = re.compile(
     r"<!--.*?(?:--!?>|\Z)"
-    r"|<(?P<raw>script|style|noscript|template|textarea|iframe|svg|math|object|canvas)\b(?:\"[^\"]*\"|'[^']*'|[^'\">])*+>.*?(?:</(?P=raw)\s*>|\Z)"
+    r"|<(?P<raw>script|style|noscript|textarea|iframe)\b(?:\"[^\"]*\"|'[^']*'|[^'\">])*+>.*?(?:</(?P=raw)\s*>|\Z)"
     r"|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>(?:\"[^\"]*\"|'[^']*'|[^'\">])*+)>"
     r"|<(?P<end2>/?)(?P<name2>[a-zA-Z][^\s/>]*)(?P<attrs2>[^>]*)(?:>|\Z)"
     r"|<[!?/][^>]*(?:>|\Z)",
     re.S | re.I,
 )
-_ATTR = re.compile(r"(class|id|role|hidden|aria-hidden|style)\s*(?:=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.I)
+#: One attribute with its value, so neither the inside of values nor parts of names are read as attributes.
+_ATTR = re.compile(r"([^\s\"'>/=][^\s/>=]*)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>][^\s>]*))?")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Score kind of all that is left out: elements that are never content, with their tags and words, scripts and comments.
 OUT = "out"
@@ -40,7 +41,8 @@ BLOCKS = frozenset(
     "address article aside blockquote body br button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre section select summary table tbody td tfoot th thead title tr ul".split()
 )
 #: Elements that hold no content wherever they stand.
-NEVER = {"nav": "menu", "menu": "menu", "footer": "footer", "aside": "side", "form": "form", "fieldset": "form", "button": "form", "select": "form", "option": "form", "dialog": "notice", "head": "head", "title": "head"}
+EMBEDDED = frozenset("svg math object canvas template".split())
+NEVER = {**dict.fromkeys(EMBEDDED, "embedded"), "nav": "menu", "menu": "menu", "footer": "footer", "aside": "side", "form": "form", "fieldset": "form", "button": "form", "select": "form", "option": "form", "dialog": "notice", "head": "head", "title": "head"}
 #: Words of class, id and role that tell what an element is.
 HINTS = {
     "ad": "ad ads advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion",
@@ -80,6 +82,7 @@ def _kind(name: str, attrs: str, inside: bool) -> str:
 def segments(page: str) -> Iterator[tuple[str, str, bool, str]]:
     """Tags and stretches of text in order: (score kind, text, is content, name of a block or empty)."""
     stack: list[tuple[str, str, bool]] = []  # name, kind of the element or what it stands in, in an article
+    ends: dict[str, int] = {}  # where the last end tag of an embedded element stands
     at = 0
     for m in _TOKEN.finditer(page):
         if m.start() > at:
@@ -99,14 +102,23 @@ def segments(page: str) -> Iterator[tuple[str, str, bool, str]]:
                 _leave(stack, _SAME[name])
             above = stack[-1] if stack else ("", "", False)
             kind = above[1]
-            if name not in VOID:
-                kind = kind or _kind(name, m["attrs"] or m["attrs2"] or "", above[2])
+            attrs = m["attrs"] or m["attrs2"] or ""
+            if name in EMBEDDED and name not in ends:
+                ends[name] = max((x.start() for x in re.finditer(f"</{name}\\b", page, re.I)), default=-1)
+            if name in EMBEDDED and (ends[name] < at or name in ("svg", "math") and _self_closed(attrs)):
+                kind = NEVER[name]  # nothing stands in it
+            elif name not in VOID:
+                kind = kind or _kind(name, attrs, above[2])
                 stack.append((name, kind, above[2] or name in ("article", "main")))
         yield (OUT if kind else "tag:" + name, "", False, block)
     if at < len(page):
         yield _text(page[at:], stack)
 
 
+def _self_closed(attrs: str) -> bool:
+    return attrs.endswith("/") and not re.search(r"=\s*[^\s\"'][^\s]*\Z|=\s*\Z", attrs)
+
+
 def _text(raw: str, stack: list) -> tuple[str, str, bool, str]:
     if not stack:
         return ("word:root", html.unescape(raw), True, "")
@@ -123,7 +135,7 @@ def _close(stack: list, name: str) -> str:
             kind = stack[i][1]
             del stack[i:]
             return kind
-        if name not in _SCOPE and stack[i][0] in _SCOPE:
+        if name not in _SCOPE and name not in EMBEDDED and stack[i][0] in _SCOPE:
             break
     return stack[-1][1] if stack else ""
 
@@ -134,7 +146,7 @@ def _leave(stack: list, names: set[str]) -> None:
         if stack[i][0] in names:
             del stack[i:]
             return
-        if stack[i][0] in _SCOPE:
+        if stack[i][0] in _SCOPE or stack[i][0] in EMBEDDED:
             return
 
 

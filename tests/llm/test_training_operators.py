@@ -87,6 +87,12 @@ SCORES = html_text.learn(PAGES)
         ("<body><p>cut off in the middle of a tag<p", "cut off in the middle of a tag"),
         ('<p title="a > b">quoted</p>', "quoted"),
         ("<p>5 < 6 and 7 > 6</p>", "5 < 6 and 7 > 6"),
+        ('<p>before the icon <svg viewBox="0 0 1 1"/> after it</p><p>more words <svg><title>no</title><path d="x"/></svg> here</p>', "before the icon after it more words here"),
+        ("<div><p>one two three <object data=x>and</p><p>four five six</div><p>seven eight</p>", "one two three and four five six seven eight"),
+        ("<p>one two three <object data=x><p>no</p><object>no</object> no</object> four five</p>", "one two three four five"),
+        ("<p>one two <template><div>no<p>no</div></template><math><mi>x</mi></math><canvas>no</canvas> three</p>", "one two three"),
+        ("<p>walk to <b title='so hidden'>the <i data-id=sidebar>old <u data-x='a class=ad b'>valley</u></i></b> and <span onclick=f('x',hidden)>back</span></p>", "walk to the old valley and back"),
+        ("<p>all here <b class=note id='x' HIDDEN>no</b><b data-a='1'class=\"ad\">no</b><b hidden>no</b> is kept</p>", "all here is kept"),
     ],
 )
 def test_html_pages(page, text):
@@ -103,6 +109,11 @@ def test_html_left_out_elements_do_not_cut_an_article(start, end):
     assert html_text.extract(page, SCORES) == want
 
 
+@pytest.mark.parametrize("attrs", ["href='/the-hidden-valley'", 'href="/post?id=comment"', "href=/post?class=ad", "data-id=sidebar data-hidden=1"])
+def test_html_attributes_are_read_by_name(attrs):
+    assert html_text.extract(f"<p>Many words are around <a {attrs}>this link</a> and many more stand behind it</p>", {**SCORES, "word:a": 0.5}) == "Many words are around this link and many more stand behind it"
+
+
 def test_html_labelled_pages_are_recovered():
     for before, content, after in PAGES:
         want = " ".join(re.sub(r"<[^>]*>", " ", content).split())
