@@ -80,7 +80,7 @@ def _vectors(spark, sf):
 def v6_v9_perceptron(spark, sf):
     """Train on vectors, thresholds from train, metrics on all splits."""
     d = _vectors(spark, sf)
-    model = models.train(d.filter("split = 'train'"), 64, hidden=(32, 16), max_iter=40)
+    model = models.train(d.filter("split = 'train'"), 64)
     s = models.predict(model, d).withColumn("grp", F.lit("all"))
     best = metrics.best_thresholds(metrics.sweep(s.filter("split = 'train'"), ["grp"]), ["grp"])
     return metrics.at_thresholds(s, best, ["grp", "split"], ["grp"])
@@ -95,6 +95,6 @@ def v12_saved_model(spark, sf):
 
     d = _vectors(spark, sf)
     path = work_folder(spark, "model")
-    models.train(d.filter("split = 'train'"), 64, hidden=(8,), max_iter=10).save(path)
+    models.train(d.filter("split = 'train'"), 64).save(path)
     s = models.predict(MultilayerPerceptronClassificationModel.load(path), d)
     return s.select("vec_id", F.round("score", 9).alias("score"))

@@ -298,6 +298,20 @@ def test_other_passages_of_a_group_that_holds_most_rows(spark, groups):
         assert len(set(others)) == len(others) == min(3, sum(g != of[i] for g in of.values())) and all(of[o] != of[i] for o in others)
 
 
+@pytest.mark.parametrize("name", ["v6_v9_perceptron", "v12_saved_model"])
+def test_registered_perceptrons_are_whole(spark, monkeypatch, name):
+    from gristmill.operators import models
+    from gristmill.plans import registry
+
+    def asked(**given):
+        raise InterruptedError(given["layers"], given["maxIter"])
+
+    monkeypatch.setattr(models, "MultilayerPerceptronClassifier", asked)
+    with pytest.raises(InterruptedError) as e:
+        registry.queries()[name](spark, "/root/testdata/sf0.001")
+    assert e.value.args == ([64, 256, 128, 64, 2], 100)
+
+
 # --- metrics -----------------------------------------------------------------------------------------
 
 
