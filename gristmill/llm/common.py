@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,13 +36,59 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/gristmill-{name}-{uuid.uuid4().hex}"
 
 
+#: While a table is written: shuffle files go as soon as the write ends, as nothing reads them again; and a join with a
+#: short written table lets Catalyst build a Bloom filter of it, of at most 8 MB, that rows are held against before they are shuffled.
+_WRITING = {
+    "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
+    "spark.sql.optimizer.runtime.bloomFilter.enabled": "true",
+    "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold": "0",
+    "spark.sql.optimizer.runtime.bloomFilter.creationSideThreshold": "1PB",
+    "spark.sql.optimizer.runtime.bloomFilter.expectedNumItems": "4000000",
+    "spark.sql.optimizer.runtime.bloomFilter.maxNumBits": "67108864",
+}
+
+
+@contextmanager
+def writing(spark: SparkSession) -> Iterator[None]:
+    """Within it the settings above hold; those of the session are put back."""
+    before = {k: spark.conf.get(k, None) for k in _WRITING}
+    for k, v in _WRITING.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def cut(df: DataFrame, name: str) -> DataFrame:
     """Write a table to the shared folder and read it again: the lineage ends there, and lost executors cost no recomputation."""
     path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
+    with writing(df.sparkSession):
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def drop(*tables: DataFrame) -> None:
+    """Delete tables made by ``cut`` that nothing reads any more."""
+    for t in tables:
+        for path in {f.rsplit("/", 1)[0] for f in t.inputFiles()[:1]}:
+            there = t.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            there.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(there, True)
+
+
+def located(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``_file`` and ``_row``: the file that a row stands in and its number there, the same however files are split.
+
+    Rows that don't come straight from files are written to the shared folder first.
+    """
+    where = [F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row")]
+    try:
+        return docs.select(*docs.columns, *where)
+    except AnalysisException:
+        return cut(docs, "located").select(*docs.columns, *where)
+
+
 def hash_bucket(key: Column, n: int) -> Column:
     """0 to n - 1 from the first 32 bits of the key's MD5; DuckDB has the same (``bucket_sql``)."""
     return (F.conv(F.substring(F.md5(key.cast("string").cast("binary")), 1, 8), 16, 10).cast("long") % n).cast("int")

@@ -246,21 +246,23 @@ def test_near_dedup_in_blocks(spark):
     sets = {i: near_dedup.weigh(t)[1:] for i, t in texts.items()}
     want = {(a, b) for a, b in itertools.combinations(texts, 2) if a % 7 != b % 7 and near_dedup.similarity(sets[a], sets[b], level.value) >= 0.8}
     apart = spark.createDataFrame([(1, i, 100, i % 7, 60) for i in texts], "key long, rep long, weight long, component long, n long")
-    got = near_dedup.verify_blocks(apart, docs, level, 0.8, 16).collect()
+    reps = near_dedup.sign(docs, level).withColumnRenamed("doc_id", "rep")
+    got = near_dedup.verify_blocks(apart, docs, reps, level, 0.8, 16).collect()
     assert {(r.a, r.b) for r in got} <= want
     assert {frozenset((r.a % 7, r.b % 7)) for r in got} == {frozenset((a % 7, b % 7)) for a, b in want}
 
 
 def test_weighted_samples_agree_as_often_as_texts_are_similar():
     rng = np.random.default_rng(1)
-    level = np.full(1 << near_dedup.DF_BITS, near_dedup.LEVELS, np.uint8)
+    level = rng.integers(1, near_dedup.LEVELS + 1, 1 << near_dedup.DF_BITS).astype(np.uint8)
     same, share = [], []
+    weight = lambda x: level[near_dedup.bucket(x)].astype(np.int64)
     for _ in range(60):
         a = np.unique(rng.integers(0, 1 << 63, 400, dtype=np.uint64))
         b = np.sort(np.concatenate([a[:300], np.unique(rng.integers(0, 1 << 63, 100, dtype=np.uint64))]))
         na, nb = rng.integers(1, 4, len(a)), np.ones(len(b), int)
         share.append(near_dedup.similarity((a, na), (b, nb), level))
-        same.append(np.mean(near_dedup.signature(a, na * near_dedup.LEVELS) == near_dedup.signature(b, nb * near_dedup.LEVELS)))
+        same.append(np.mean(near_dedup.signature(a, na * weight(a)) == near_dedup.signature(b, nb * weight(b))))
     assert abs(np.mean(same) - np.mean(share)) < 0.02
 
 
