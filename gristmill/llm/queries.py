@@ -48,8 +48,7 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = warc.round_trip(table(spark, sf_dir, "pages"))
-    return found.select("page_id", F.octet_length("payload").cast("long").alias("payload_bytes"), "payload_digest", "record_type", "refers_to")
+    return warc.round_trip(table(spark, sf_dir, "pages"))
 
 
 def op10_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
