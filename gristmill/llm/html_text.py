@@ -1,16 +1,21 @@
 """Operator 2: main text of web pages by maximum-scoring subsequence.
 
-A page is a sequence of tags and words. A word scores by where it stands, a tag by its name; the scores
+A page is a sequence of tags and words. A word scores by the block that it stands in and by whether that is in an article, a tag by its name; the scores
 are log odds of content against the rest, counted on labelled pages (``labelled_pages``) and clipped,
 so words of running text are positive, and links and the tags around them negative.
-One linear scan (Kadane's) finds the contiguous region with the greatest sum. Menus, adverts, forms and
-the like, scripts and comments are left out wherever they stand and score 0, so a long one does not cut an
-article in two. Character references are decoded, white space in a block becomes one space, and blocks
-are joined by one space.
+One linear scan (Kadane's) finds the contiguous region with the greatest sum; in time, too, a page is linear.
+
+What is never content wherever it stands scores 0, so a long one does not cut an article in two, and is not in the text:
+scripts, comments, embedded objects, and elements whose name says so (menus, forms, ...), or that are hidden. A word of a class, id or role
+(``sidebar``, ``ad``) says so only where the page agrees: not of an element that holds most of the page's words and its heading or article, not if the name
+says ``with-`` or ``no-`` something, and of a paragraph or inline element only for adverts. Where articles (or ``main``) carry the page, by a first heading in them or a third of its words,
+what stands outside of them counts as left out too, so several articles are one region. A line that begins with a copyright sign outside an article is a notice.
+
+Character references are decoded, white space in a block becomes one space, and blocks are joined by one space.
 
 Cases: null and empty html give an empty text; a page without positive words gives an empty text;
-pages may break off anywhere; elements may be left open; of equal regions the first is taken;
-rows that repeat are extracted each on its own; other columns play no part.
+pages may break off anywhere; elements may be left open and nested to any depth; very long pages are read whole; of equal regions the first is taken;
+rows that repeat are extracted each on its own; an empty table gives an empty result; other columns play no part.
 """
 
 from __future__ import annotations
@@ -18,6 +23,7 @@ from __future__ import annotations
 import html
 import math
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
@@ -55,115 +61,183 @@ HINTS = {
     "header": "header masthead topbar",
 }
 _HINT = {w: kind for kind, words in HINTS.items() for w in words.split()}
-_KEPT = frozenset("html body main article".split())
+_KEPT = frozenset("html body main".split())
 _CLOSES_P = BLOCKS - {"br", "button", "option", "select", "title", "head", "td", "th", "tr", "caption", "legend", "summary"}
 _SAME = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "td": {"td", "th"}, "th": {"td", "th"}, "tr": {"tr", "td", "th"}, "option": {"option"}, "p": {"p"}}
-_SCOPE = frozenset("article aside body div dl footer form header html li main nav ol section table td th ul blockquote figure".split())
+_SCOPE = frozenset("article aside body div dl footer form header html li main nav ol section table td th ul blockquote figure".split()) | EMBEDDED
+#: Elements of running text, whose names' words tell of adverts at most.
+_RUNNING = frozenset("p h1 h2 h3 h4 h5 h6 pre blockquote li dt dd td th tr figure figcaption caption span b i em strong a u q s cite code small sub sup abbr mark time label font".split())
+#: Pieces of names that tell how a page is laid out, not what an element is.
+_LAYOUT = frozenset("with without has have no not is open opened closed enabled disabled allow allowed show hide content".split())
+_NOTICE = re.compile(r"\s*(?:\u00a9|\(c\)\s|copyright\b)", re.I)
+
+
+def _hint(value: str) -> str:
+    """What the words of a class, id or role tell."""
+    for name in value.split():
+        words = [w for w in re.split(r"[^a-z0-9]+", name) if w]
+        if not _LAYOUT.intersection(words):
+            for w in words:
+                if w in _HINT:
+                    return _HINT[w]
+    return ""
 
 
-def _kind(name: str, attrs: str, inside: bool) -> str:
-    """What an element is if it is not content, else an empty string. inside: it stands in an article."""
-    if name in NEVER:
-        return NEVER[name]
-    if name == "header":
-        return "" if inside else "header"
+def _told(name: str, attrs: str, inside: bool) -> tuple[bool, str]:
+    """Whether an element is never content, and what its class, id and role tell of it. inside: it stands in an article."""
+    if name in NEVER or name == "header" and not inside:
+        return True, ""
+    hint = ""
     if attrs and name not in _KEPT:
         for m in _ATTR.finditer(attrs):
             key, value = m[1].lower(), (m[2] or "").strip("\"'").lower()
             if key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and re.search(r"display\s*:\s*none", value):
-                return "hidden"
-            if key in ("class", "id", "role"):
-                for w in re.split(r"[^a-z0-9]+", value):
-                    if w in _HINT and not (inside and _HINT[w] == "header"):
-                        return _HINT[w]
-    return ""
+                return True, ""
+            if key in ("class", "id", "role") and not hint:
+                hint = _hint(value)
+    if hint == "header" and inside or name in _RUNNING and hint != "ad" or name == "article" and hint not in ("ad", "comment", "side"):
+        hint = ""
+    return False, hint
 
 
-def segments(page: str) -> Iterator[tuple[str, str, bool, str]]:
-    """Tags and stretches of text in order: (score kind, text, is content, name of a block or empty)."""
-    stack: list[tuple[str, str, bool]] = []  # name, kind of the element or what it stands in, in an article
-    ends: dict[str, int] = {}  # where the last end tag of an embedded element stands
-    at = 0
-    for m in _TOKEN.finditer(page):
-        if m.start() > at:
-            yield _text(page[at : m.start()], stack)
-        at = m.end()
-        name = (m["name"] or m["name2"] or m["raw"] or "").lower()
-        if not name or m["raw"]:
-            yield (OUT, "", False, "")
-            continue
-        block = name if name in BLOCKS else ""
-        if m["end"] or m["end2"]:
-            kind = _close(stack, name)
-        else:
+class Page:
+    """Tags and stretches of text in order, and the elements that they stand in; an element is a run of them."""
+
+    def __init__(self, page: str):
+        self.kinds: list[str] = []  # tag:name, word:block, or OUT
+        self.texts: list[str] = []
+        self.blocks: list[bool] = []  # a tag of a block
+        self.at: list[int] = []  # the element
+        self.names, self.parents, self.never, self.hints, self.inside, self.above, self.first, self.last = [""], [-1], [False], [""], [False], ["root"], [0], [0]
+        self.stack, self.open, self.scopes = [0], {}, [0]  # open elements; where the open ones of each name stand in the stack; where those that bound others do
+        self._read(page)
+        self._close(1)
+        self.last[0] = len(self.kinds)
+
+    def _add(self, kind: str, text: str, block: bool) -> None:
+        self.kinds.append(kind)
+        self.texts.append(text)
+        self.blocks.append(block)
+        self.at.append(self.stack[-1])
+
+    def _close(self, depth: int) -> None:
+        while len(self.stack) > depth:
+            e = self.stack.pop()
+            self.last[e] = len(self.kinds)
+            self.open[self.names[e]].pop()
+            if self.scopes[-1] == len(self.stack):
+                self.scopes.pop()
+
+    def _end(self, names: set[str] | frozenset[str], bounded: bool) -> None:
+        """Close the last open element of these names; bounded: if it stands within the block that now stands open."""
+        found = max((self.open[n][-1] for n in names if self.open.get(n)), default=0)
+        if found and not (bounded and found < self.scopes[-1]):
+            self._close(found)
+
+    def _start(self, name: str, attrs: str) -> None:
+        e, above = len(self.names), self.stack[-1]
+        never, hint = _told(name, attrs, self.inside[above])
+        self.names.append(name)
+        self.parents.append(above)
+        self.never.append(never or self.never[above])
+        self.hints.append(hint)
+        self.inside.append(self.inside[above] or name in ("article", "main"))
+        self.above.append("h" if re.fullmatch("h[1-6]", name) else name if name == "a" or name in BLOCKS else self.above[above])
+        self.first.append(len(self.kinds))
+        self.last.append(len(self.kinds))
+        if name in _SCOPE:
+            self.scopes.append(len(self.stack))
+        self.open.setdefault(name, []).append(len(self.stack))
+        self.stack.append(e)
+
+    def _text(self, raw: str) -> None:
+        e = self.stack[-1]
+        self._add(OUT if self.never[e] else "word:" + self.above[e], html.unescape(raw), False)
+
+    def _read(self, page: str) -> None:
+        ends: dict[str, int] = {}  # where the last end tag of an embedded element stands
+        at = 0
+        for m in _TOKEN.finditer(page):
+            if m.start() > at:
+                self._text(page[at : m.start()])
+            at = m.end()
+            name = (m["name"] or m["name2"] or m["raw"] or "").lower()
+            if not name or m["raw"]:
+                self._add(OUT, "", False)
+                continue
+            block, kind = name in BLOCKS, "tag:" + name
+            if m["end"] or m["end2"]:
+                self._add(OUT if self.never[self.stack[-1]] else kind, "", block)
+                self._end({name}, name not in _SCOPE)
+                continue
             if name in _CLOSES_P:
-                _leave(stack, {"p"})
+                self._end({"p"}, True)
             if name in _SAME and name != "p":
-                _leave(stack, _SAME[name])
-            above = stack[-1] if stack else ("", "", False)
-            kind = above[1]
+                self._end(_SAME[name], True)
             attrs = m["attrs"] or m["attrs2"] or ""
             if name in EMBEDDED and name not in ends:
                 ends[name] = max((x.start() for x in re.finditer(f"</{name}\\b", page, re.I)), default=-1)
             if name in EMBEDDED and (ends[name] < at or name in ("svg", "math") and _self_closed(attrs)):
-                kind = NEVER[name]  # nothing stands in it
-            elif name not in VOID:
-                kind = kind or _kind(name, attrs, above[2])
-                stack.append((name, kind, above[2] or name in ("article", "main")))
-        yield (OUT if kind else "tag:" + name, "", False, block)
-    if at < len(page):
-        yield _text(page[at:], stack)
-
+                self._add(OUT, "", False)  # nothing stands in it
+            elif name in VOID:
+                self._add(OUT if self.never[self.stack[-1]] else kind, "", block)
+            else:
+                self._start(name, attrs)
+                self._add(OUT if self.never[self.stack[-1]] else kind, "", block)
+        if at < len(page):
+            self._text(page[at:])
 
-def _self_closed(attrs: str) -> bool:
-    return attrs.endswith("/") and not re.search(r"=\s*[^\s\"'][^\s]*\Z|=\s*\Z", attrs)
+    def settle(self) -> None:
+        """Decide by the whole page what hints and articles say, and give each piece its final kind."""
+        sums = [0]  # words that may be content before each piece
+        for kind, text in zip(self.kinds, self.texts):
+            sums.append(sums[-1] + (len(text.split()) if kind != OUT else 0))
+        words = lambda e: sums[self.last[e]] - sums[self.first[e]]
+        real = [e for e in range(1, len(self.names)) if not self.never[e]]
+        anchors = [self.first[e] for e in real if self.names[e] in ("h1", "main") or self.names[e] == "article" and not self.hints[e]]
 
+        def holds(e: int) -> bool:
+            """It holds most of the page, with its heading or article if there is one."""
+            own = bisect_left(anchors, self.last[e]) - bisect_left(anchors, self.first[e])
+            return 2 * words(e) > sums[-1] and (own > 0 or not anchors)
 
-def _text(raw: str, stack: list) -> tuple[str, str, bool, str]:
-    if not stack:
-        return ("word:root", html.unescape(raw), True, "")
-    if stack[-1][1]:
-        return (OUT, html.unescape(raw), False, "")
-    name = next((n for n, _, _ in reversed(stack) if n == "a" or n in BLOCKS), "root")
-    return ("word:" + ("h" if re.fullmatch("h[1-6]", name) else name), html.unescape(raw), True, "")
+        out, within = list(self.never), [False] * len(self.names)
+        for e in real:
+            out[e] = out[self.parents[e]] or bool(self.hints[e]) and not holds(e)
+            within[e] = within[self.parents[e]] or not out[e] and self.names[e] in ("article", "main")
+        left = [0, 0]
+        for kind, text, e in zip(self.kinds, self.texts, self.at):
+            if kind != OUT and not out[e]:
+                left[within[e]] += len(text.split())
+        carry = 2 * left[1] >= max(left[0], 1) or any(within[e] and self.names[e] == "h1" for e in real)
+        for i, (kind, text, e) in enumerate(zip(self.kinds, self.texts, self.at)):
+            if kind == OUT or out[e] or carry and left[1] and not within[e] or not within[e] and _NOTICE.match(text):
+                self.kinds[i] = OUT
+            elif within[e]:
+                self.kinds[i] = kind + "@article"
 
 
-def _close(stack: list, name: str) -> str:
-    """Close the last open element of this name; the kind of what the tag ends or, if it ends nothing, of what it stands in."""
-    for i in range(len(stack) - 1, -1, -1):
-        if stack[i][0] == name:
-            kind = stack[i][1]
-            del stack[i:]
-            return kind
-        if name not in _SCOPE and name not in EMBEDDED and stack[i][0] in _SCOPE:
-            break
-    return stack[-1][1] if stack else ""
+def segments(page: str) -> Iterator[tuple[str, str, bool]]:
+    """Tags and stretches of text in order: (score kind, text, is a block's tag)."""
+    read = Page(page)
+    read.settle()
+    return zip(read.kinds, read.texts, read.blocks)
 
 
-def _leave(stack: list, names: set[str]) -> None:
-    """Close the last open element of these names within the block that now stands open."""
-    for i in range(len(stack) - 1, -1, -1):
-        if stack[i][0] in names:
-            del stack[i:]
-            return
-        if stack[i][0] in _SCOPE or stack[i][0] in EMBEDDED:
-            return
+def _self_closed(attrs: str) -> bool:
+    return attrs.endswith("/") and not re.search(r"=\s*[^\s\"'][^\s]*\Z|=\s*\Z", attrs)
 
 
-def learn(pages: list[tuple[str, str]]) -> dict[str, float]:
-    """Scores from labelled pages (html, with the content between two marks): clipped log odds of each kind."""
+def learn(pages: list[tuple[str, str, str]]) -> dict[str, float]:
+    """Scores from labelled pages (what stands before the content, the content, what stands after): clipped log odds of each kind."""
     counts = {True: Counter(), False: Counter()}
-    for page in pages:
-        before, content, after = page
-        marks, seen = (len(before), len(before) + len(content)), 0
-        for kind, text, _, _ in segments(before + "\x02" + content + "\x03" + after):
-            if "\x02" in text or "\x03" in text:
-                for part in re.split("([\x02\x03])", text):
-                    seen += part in ("\x02", "\x03")
-                    counts[seen == 1][kind] += len(part.split()) if part not in ("\x02", "\x03") else 0
-            else:
-                counts[seen == 1][kind] += len(text.split()) if kind.startswith("word") else 1
-        assert seen == 2, marks
+    for before, content, after in pages:
+        seen = 0
+        for kind, text, _ in segments(before + "\x02" + content + "\x03" + after):
+            for part in re.split("([\x02\x03])", text) if text else [""]:
+                seen += part in ("\x02", "\x03")
+                counts[seen == 1][kind] += (0 if part in ("\x02", "\x03") else len(part.split())) if kind.startswith("word") else 1
+        assert seen == 2, (before, content)
     scores = {}
     for kind in (counts[True] | counts[False]).keys() - {OUT}:
         odds = math.log((counts[True][kind] + 0.5) / (counts[False][kind] + 0.5))
@@ -174,8 +248,14 @@ def learn(pages: list[tuple[str, str]]) -> dict[str, float]:
     return scores | {OUT: 0.0}
 
 
-#: For kinds that no labelled page holds.
-DEFAULT_WORD, DEFAULT_TAG = 0.3, -0.25
+#: For kinds that no labelled page holds: words, tags, and both in articles.
+DEFAULT_WORD, DEFAULT_TAG, ARTICLE_WORD, ARTICLE_TAG = 0.3, -0.25, 0.5, -0.05
+
+
+def _default(kind: str) -> float:
+    if kind.endswith("@article"):
+        return ARTICLE_WORD if kind.startswith("word") else ARTICLE_TAG
+    return DEFAULT_WORD if kind.startswith("word") else DEFAULT_TAG
 
 
 def best_region(scores: list[float]) -> tuple[int, int]:
@@ -193,15 +273,12 @@ def best_region(scores: list[float]) -> tuple[int, int]:
 def extract(page: str | None, scores: dict[str, float]) -> str:
     found = list(segments(page or ""))
     each = []
-    for kind, text, _, _ in found:
-        if kind == OUT:
-            each.append(0.0)
-        elif kind.startswith("word"):
-            each.append(scores.get(kind, DEFAULT_WORD) * len(text.split()))
-        else:
-            each.append(scores.get(kind, DEFAULT_TAG))
+    for kind, text, _ in found:
+        score = scores.get(kind)
+        score = _default(kind) if score is None else score
+        each.append(score * len(text.split()) if kind.startswith("word") else score)
     start, end = best_region(each)
-    parts = [" " if block else text if content else "" for _, text, content, block in found[start:end]]
+    parts = [" " if block else text if kind != OUT else "" for kind, text, block in found[start:end]]
     return " ".join("".join(parts).split())
 
 
