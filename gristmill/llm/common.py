@@ -77,12 +77,16 @@ def drop(*tables: DataFrame) -> None:
             there.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(there, True)
 
 
+#: A row's locator: the file that it stands in and its number there.
+AT = ["_at_file", "_at_row"]
+
+
 def located(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``_file`` and ``_row``: the file that a row stands in and its number there, the same however files are split.
+    """``docs`` with each row's locator, which is the same however files are split.
 
     Rows that don't come straight from files are written to the shared folder first.
     """
-    where = [F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row")]
+    where = [F.col("_metadata.file_path").alias(AT[0]), F.col("_metadata.row_index").alias(AT[1])]
     try:
         return docs.select(*docs.columns, *where)
     except AnalysisException:
