@@ -1,17 +1,17 @@
 """Operator 10: training-order materialisation of token ids into fixed-stride binary shards.
 
-Documents are tokenised and laid end to end, each ended by END, in sequences of ``length`` ids; the last
-sequence of an input partition is filled up with PAD. Sequence i of the n has the global slot
-``permute(i)``, a keyed Feistel network over the least even power of two that holds n, walked
+Documents are tokenised once, into a written table, and laid end to end in the order of their files and rows, each ended by END, in sequences of ``length`` ids; the
+last sequence of all is filled up with PAD. That order, and so every byte of the shards, does not depend on how files are split or on what runs where.
+Sequence i of the n has the global slot ``permute(i)``, a keyed Feistel network over the least even power of two that holds n, walked
 until it lands below n: a bijection of [0, n) that any worker computes alone, with no shuffle
-table. A slot's shard and place follow by division, so a reader seeks to any slot and resumes
-there. Two passes over the text: one counts the sequences of each partition, the other lays
-them out again and sends each to its shard; a partition that differs from its count fails the
+table. Slots are dealt out in ranges: a partition holds whole shards, neighbouring ones if there are more than ``most_parts``, none shares
+one with another, and it writes them in order. A slot's shard and place follow by division, so a reader seeks to any slot and resumes
+there. A sequence that is not whole when it is written fails the
 job rather than write a wrong shard. A shard file is written under a temporary name and
 renamed, so a task that runs again leaves the same file.
 
-Cases: null and empty texts are one END; n = 0 writes nothing; rows that repeat are laid out each on its
-own; long texts span many sequences; other columns play no part.
+Cases: null and empty texts are one END; n = 0 writes nothing; rows that repeat, with their doc_id or without one, are laid out each on its
+own; very long texts span many sequences; an empty table gives an empty index; other columns play no part.
 """
 
 from __future__ import annotations
@@ -23,17 +23,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import tokens
-from .common import scratch
+from .common import AT, drop, located, scratch, writing
 
 PAD = 50256
 MAGIC = b"GMSHARD1"
 HEADER = 32
 ROUNDS = 6
+TOKENS = "file string, run long, at long, n int, doc_id long, ids binary"
+PARTS = "slot long, offset int, doc_ids array<long>, ids binary"
 INDEX = "slot long, shard int, byte_offset long, length int, ids_crc32 long, doc_ids array<long>"
 
 
@@ -59,89 +61,119 @@ def permute(index: np.ndarray, n: int, key: str) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def lay_out(batches: Iterator[pa.RecordBatch], length: int, path: str) -> Iterator[tuple[np.ndarray, list[int]]]:
-    """Sequences of ``length`` ids from (doc_id, text) batches, the last one shorter, with the documents in each."""
-    held, docs, n = [], [], 0
-    for batch in batches:
-        for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-            ids = tokens.encode(text.as_py(), path)
-            at = 0
-            while at < len(ids):
-                some = ids[at : at + length - n]
-                held.append(some)
-                docs.append(doc)
-                n, at = n + len(some), at + len(some)
-                if n == length:
-                    yield np.concatenate(held), docs
-                    held, docs, n = [], [], 0
-    if n:
-        yield np.concatenate(held), docs
-
-
-def write(docs: DataFrame, path: str, *, key: str = "order-1", length: int = 2048, per_shard: int = 2048, vocabulary: str | None = None) -> DataFrame:
+def tokenise(docs: DataFrame, vocabulary: str) -> DataFrame:
+    """Written table of file, run, at, n, doc_id, ids: a run is what a task reads of a file, known by its first row; at is where the document's ids begin in it."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, last, run, at = None, -1, 0, 0
+        for b in batches:
+            out: list[list] = [[] for _ in range(6)]
+            held = 0
+            for doc, text, file, row in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist(), b.column(3).to_pylist()):
+                if file != now or row <= last:
+                    now, run, at = file, row, 0
+                last = row
+                ids = tokens.encode(text.as_py(), vocabulary)
+                for column, x in zip(out, (file, run, at, len(ids), doc, ids.astype("<u2").tobytes())):
+                    column.append(x)
+                at, held = at + len(ids), held + len(ids)
+                if held > 1 << 22:
+                    yield _batch(out, TOKENS)
+                    out, held = [[] for _ in out], 0
+            yield _batch(out, TOKENS)
+
+    path = scratch(docs.sparkSession, "tokens")
+    d = located(docs.select("doc_id", "text")).select("doc_id", "text", *AT)
+    d.mapInArrow(each, TOKENS).write.option("compression", "zstd").option("parquet.compression.codec.zstd.level", "6").parquet(path)
+    return docs.sparkSession.read.schema(TOKENS).parquet(path)
+
+
+def _batch(columns: list[list], schema: str) -> pa.RecordBatch:
+    kinds = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "binary": pa.binary(), "array<long>": pa.list_(pa.int64())}
+    fields = [f.split() for f in schema.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array(c, kinds[k]) for c, (_, k) in zip(columns, fields)], names=[n for n, _ in fields])
+
+
+def write(docs: DataFrame, path: str, *, key: str = "order-1", length: int = 2048, per_shard: int = 2048, most_parts: int = 20_000, vocabulary: str | None = None) -> DataFrame:
     """Write the shards into the folder; the index, a row a sequence: slot, shard, byte_offset, length, ids_crc32, doc_ids."""
-    vocabulary = vocabulary or tokens.default_path()
     spark = docs.sparkSession
-    source = docs.select("doc_id", "text")
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = 0
+    laid = tokenise(docs, vocabulary or tokens.default_path())
+    runs = sorted((r.file, r.run, r.n) for r in laid.groupBy("file", "run").agg(F.sum("n").alias("n")).collect())  # a row an input split
+    ids = sum(n for _, _, n in runs)
+    total = -(-ids // length)
+    begin = np.cumsum([0, *(n for _, _, n in runs)]).tolist()
+    begins = spark.sparkContext.broadcast({(file, run): at for (file, run, _), at in zip(runs, begin)})
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Parts of sequences, those of neighbouring documents in one row, compressed."""
+        small = zstandard.ZstdCompressor(level=3)
         for b in batches:
-            n += sum(len(tokens.encode(t.as_py(), vocabulary)) for t in b.column(1))
-        yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([-(-n // length)], pa.int64())], names=["part", "n"])
-
-    counts = sorted((r.part, r.n) for r in source.mapInArrow(count, "part int, n long").collect())  # a row an input partition
-    total = sum(n for _, n in counts)
-    starts, at = {}, 0
-    for part, n in counts:
-        starts[part] = (at, n)
-        at += n
-    starts = spark.sparkContext.broadcast(starts)
-
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first, n = starts.value[TaskContext.get().partitionId()]
-        made, held = 0, []
-        for ids, own in lay_out(batches, length, vocabulary):
-            held.append((ids.astype("<u2").tobytes(), list(dict.fromkeys(own)), len(ids)))
-            made += 1
-            if len(held) == 512:
-                yield _rows(held, first + made - len(held), total, key, per_shard)
-                held = []
-        if held:
-            yield _rows(held, first + made - len(held), total, key, per_shard)
-        if made != n:
-            raise RuntimeError(f"a partition gave {n} sequences when counted and {made} when written")
+            parts: list[list] = []  # sequence, offset, documents, ids
+            end = None
+            for file, run, at, doc, raw in zip(*(b.column(c).to_pylist() for c in ("file", "run", "at", "doc_id", "ids"))):
+                start, n, done = begins.value[file, run] + at, len(raw) // 2, 0
+                while done < n:
+                    number, offset = divmod(start + done, length)
+                    some = min(length - offset, n - done)
+                    if offset and end == start + done:
+                        parts[-1][2].append(doc)
+                        parts[-1][3] += raw[2 * done : 2 * (done + some)]
+                    else:
+                        parts.append([number, offset, [doc], bytearray(raw[2 * done : 2 * (done + some)])])
+                    done += some
+                    end = start + done
+                if len(parts) > 4096:  # the last may go on
+                    yield _parts(parts[:-1], total, key, small)
+                    parts = parts[-1:]
+            if parts:
+                yield _parts(parts, total, key, small)
 
     def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out, now = None, None
+        slot, held, own = None, [], []
+
+        def whole() -> list:
+            """Write the record in hand; its row of the index."""
+            nonlocal out, now
+            shard, raw = slot // per_shard, b"".join(held)
+            if shard != now:
+                if out:
+                    out.close()
+                now, out = shard, ShardWriter(path, shard, length, min(per_shard, total - shard * per_shard))
+            return [slot, shard, out.put(slot - shard * per_shard, raw), len(raw) // 2, zlib.crc32(np.frombuffer(raw, "<u2").astype("<u4").tobytes()), list(dict.fromkeys(own))]
+
+        big = zstandard.ZstdDecompressor()
         for b in batches:
-            index: list[list] = [[] for _ in range(6)]
-            for slot, shard, own, n, ids in zip(*(b.column(c).to_pylist() for c in ("slot", "shard", "doc_ids", "length", "ids"))):
-                if shard != now:
-                    if out:
-                        out.close()
-                    now, out = shard, ShardWriter(path, shard, length, min(per_shard, total - shard * per_shard))
-                place = out.put(slot - shard * per_shard, ids)
-                for column, x in zip(index, (slot, shard, place, n, zlib.crc32(np.frombuffer(ids, "<u2").astype("<u4").tobytes()), own)):
-                    column.append(x)
-            kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int64())]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(index, kinds)], names=[c.split()[0] for c in INDEX.split(", ")])
+            rows = []
+            for at, offset, docs_of, raw in zip(*(b.column(c).to_pylist() for c in ("slot", "offset", "doc_ids", "ids"))):
+                if at != slot:
+                    if slot is not None:
+                        rows.append(whole())
+                    slot, held, own = at, [], []
+                if offset != sum(map(len, held)) // 2:
+                    raise RuntimeError(f"a part of the sequence at slot {at} is missing")
+                held.append(big.decompress(raw))
+                own += docs_of
+            yield _batch([list(c) for c in zip(*rows)] or [[] for _ in range(6)], INDEX)
+        if slot is not None:
+            yield _batch([[x] for x in whole()], INDEX)
         if out:
             out.close()
 
-    rows = source.mapInArrow(send, "slot long, shard int, doc_ids array<long>, length int, ids binary")
     shards = max(1, -(-total // per_shard))
-    placed = rows.repartition(shards, "shard").sortWithinPartitions("shard", "slot")
+    wide = -(-shards // most_parts)  # shards of a partition
     found = scratch(spark, "shard-index")
-    placed.mapInArrow(store, INDEX).write.parquet(found)
-    return spark.read.schema(spark.createDataFrame([], INDEX).schema).parquet(found)
+    with writing(spark):
+        placed = laid.mapInArrow(deal, PARTS).withColumn("part", F.expr(f"int(slot div {wide * per_shard})"))
+        placed = placed.repartitionById(-(-shards // wide), "part").sortWithinPartitions("slot", "offset").select("slot", "offset", "doc_ids", "ids")
+        placed.mapInArrow(store, INDEX).write.parquet(found)
+    drop(laid)
+    return spark.read.schema(INDEX).parquet(found)
 
 
-def _rows(held: list[tuple], first: int, total: int, key: str, per_shard: int) -> pa.RecordBatch:
-    ids, docs, lengths = zip(*held)
-    slots = permute(np.arange(first, first + len(held)), total, key)
-    columns = [pa.array(slots), pa.array((slots // per_shard).astype(np.int32)), pa.array(docs, pa.list_(pa.int64())), pa.array(lengths, pa.int32()), pa.array(ids, pa.binary())]
-    return pa.RecordBatch.from_arrays(columns, names=["slot", "shard", "doc_ids", "length", "ids"])
+def _parts(parts: list[list], total: int, key: str, small) -> pa.RecordBatch:
+    slots = permute(np.array([p[0] for p in parts]), total, key).tolist()
+    return _batch([slots, [p[1] for p in parts], [p[2] for p in parts], [small.compress(bytes(p[3])) for p in parts]], PARTS)
 
 
 def _store(path: str):

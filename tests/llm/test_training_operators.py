@@ -556,20 +556,28 @@ def test_permutation(n):
 
 
 def test_token_shards(spark, tmp_path):
+    """Sequence i of the documents laid end to end stands at slot permute(i), however files are split."""
     rng = random.Random(10)
-    rows = [(i, words(rng, rng.randint(0, 80)), "s") for i in range(300)] + [(1000, None, "s"), (1001, "", "s"), (7, words(rng, 3), "s"), (None, "x", "s"), (1002, words(rng, 5000), "s")]
-    d = docs_of(spark, rows).repartition(3).cache()
-    path = (tmp_path / "shards").as_uri()
-    index = token_shards.write(d, path, length=32, per_shard=50)
-    r = sorted(token_shards.check(index, path, 32).collect(), key=lambda x: x.slot)
-    assert [x.slot for x in r] == list(range(len(r))) and all(x.ids_crc32 == x.read_crc32 for x in r)
-    records = list(token_shards.read(path))
-    assert len(records) == len(r)
-    assert [list(x) for x in token_shards.read(path, 77, 133)] == [list(x) for x in records[77:133]]
-    total = sum(len(tokens.encode(t, tokens.default_path())) for _, t, _ in rows)
-    assert sum(x.length for x in r) == total
-    kept = sorted(np.concatenate([rec[: x.length] for rec, x in zip(records, r)]).tolist())
-    assert kept == sorted(np.concatenate([tokens.encode(t, tokens.default_path()) for _, t, _ in rows]).tolist())
+    rows = [(i, words(rng, rng.randint(0, 80)), "s") for i in range(300)] + [(1000, None, "s"), (1001, "", "s"), (7, words(rng, 3), "s"), (None, "x", "s"), (None, "x", "s"), (1002, words(rng, 5000), "s"), (1003, LONG, "s")]
+    rows += [(2000 + i, "tail", "s") for i in range(40)]
+    docs_of(spark, rows).repartition(3).write.option("parquet.block.size", 4096).parquet((tmp_path / "docs").as_uri())
+    d = spark.read.parquet((tmp_path / "docs").as_uri())
+    order = [r.text for r in d.select("text", "_metadata.file_path", "_metadata.row_index").orderBy("file_path", "row_index").collect()]
+    laid = np.concatenate([tokens.encode(t, tokens.default_path()) for t in order])
+    n = -(-len(laid) // 32)
+    want = np.append(laid, [token_shards.PAD] * (n * 32 - len(laid))).reshape(n, 32)[np.argsort(token_shards.permute(np.arange(n), n, "order-1"))]
+    for k, split in enumerate(("8k", "128m")):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+        path = (tmp_path / f"shards{k}").as_uri()
+        index = token_shards.write(d, path, length=32, per_shard=500, most_parts=[20_000, 7][k])
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        r = sorted(token_shards.check(index, path, 32).collect(), key=lambda x: x.slot)
+        assert [x.slot for x in r] == list(range(n)) and all(x.ids_crc32 == x.read_crc32 for x in r)
+        records = list(token_shards.read(path))
+        assert (np.array(records) == want).all()
+        assert [list(x) for x in token_shards.read(path, 777, 1333)] == [list(x) for x in records[777:1333]]
+        assert sum(x.length for x in r) == len(laid) and {i for x in r for i in x.doc_ids} == {i for i, _, _ in rows}
+    assert token_shards.materialise(docs_of(spark, rows[:5])).count() == 1
     assert token_shards.materialise(d.limit(0)).count() == 0
 
 
