@@ -4,16 +4,20 @@ Each source is given a share of all words; a document's expected copies are its
 target over its source's size. The expected copies are summed up along the source, one offset
 in [0, 1) is added, and a document is emitted once for each integer that the running sum
 crosses. Within a source the order is by the size's first two digits, then by a hash cell, then
-by size, so every stretch of similar sizes is drawn from in the same proportion.
+by size, doc_id and the text's MD5, so every stretch of similar sizes is drawn from in the same proportion and reruns agree.
+
+Whole texts are read once, for their sizes, into a slim written table with each row's locator (file and row number); all counting
+and drawing works on that. Texts are moved only by ``draw``, which looks the rows drawn up by locator.
 
 No source is gathered in one task: running sums come from two levels, ranks inside
 (source, size class, hash cell) and running counts over those cells. There are at most
 ``90 * digits * cells`` cells a source, however large the data.
 
-Cases: null text counts as empty (size 0, taken 0); null source is a source of its own, the
+The targets are settled in one task, on a row a source.
+
+Cases: null text counts as empty (size 0, taken 0); very long texts are counted whole; null source is a source of its own, the
 last; sources without words get target 0; an empty table gives an empty result; rows that
-repeat are drawn each on its own; other columns are carried along,
-those with the answer's names replaced.
+repeat are drawn each on its own, and which of equal ones does not matter; other columns play no part in ``mix``, ``draw`` returns those asked for.
 """
 
 from __future__ import annotations
@@ -21,15 +25,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bucket_sql, hash_bucket
+from .common import AT, bucket_sql, cut, hash_bucket, located
 
-#: A word of the size: anything but blanks.
-WORD = r"[^\x20\x09-\x0D]+"
+#: What stands between the words of the size: blanks.
+BETWEEN = r"[\x20\x09-\x0D]+"
 _KEYS = ["_null", "_source", "_class", "_cell"]
 
 
 def word_count(text: Column) -> Column:
-    return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(WORD)).cast("long")
+    return F.size(F.array_remove(F.split(F.coalesce(text, F.lit("")), BETWEEN), "")).cast("long")
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: float = 3.0) -> DataFrame:
@@ -49,10 +53,18 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: float =
     return d.select("_null", "_source", "source_size", F.least(F.col("_top"), F.coalesce(F.col("_level"), F.lit(0.0)) * F.col("_w")).alias("target"))
 
 
-def mix(docs: DataFrame, *, weights: tuple[int, ...] = (1, 2, 3), cap: float = 3.0, seed: str = "mix-1", cells: int = 256) -> DataFrame:
-    """Every row of ``docs`` with size, source_size, target, copies (times it is emitted) and taken (size * copies)."""
-    own = [c for c in docs.columns if c not in ("size", "source_size", "target", "copies", "taken")]
-    d = docs.select(F.struct(*own).alias("row"), word_count(F.col("text")).alias("size"), F.col("source").isNull().alias("_null"), F.coalesce("source", F.lit("")).alias("_source"), "doc_id")
+def sized(own: DataFrame) -> DataFrame:
+    """Written slim table of rows with locators: locator, doc_id, source, size, MD5 of the text."""
+    return cut(own.select(*AT, "doc_id", "source", word_count(F.col("text")).alias("size"), F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("_tie")), "mix-sizes")
+
+
+def mix(docs: DataFrame, **options) -> DataFrame:
+    """Every row of ``docs``: its locator, doc_id, source, size, source_size, target, copies (times it is drawn) and taken (size * copies)."""
+    return settle(sized(located(docs.select("doc_id", "source", "text"))), **options)
+
+
+def settle(sizes: DataFrame, *, weights: tuple[int, ...] = (1, 2, 3), cap: float = 3.0, seed: str = "mix-1", cells: int = 256) -> DataFrame:
+    d = sizes.withColumns({"_null": F.col("source").isNull(), "_source": F.coalesce("source", F.lit(""))})
     digits = F.col("size").cast("string")
     d = d.withColumns({"_class": F.length(digits) * 100 + F.substring(digits, 1, 2).cast("int"), "_cell": hash_bucket(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), cells)})
     counted = d.groupBy(*_KEYS).agg(F.count(F.lit(1)).alias("_n"), F.sum("size").alias("_size"))
@@ -61,15 +73,17 @@ def mix(docs: DataFrame, *, weights: tuple[int, ...] = (1, 2, 3), cap: float = 3
     places = counted.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).select(*_KEYS, "_before").join(share, ["_null", "_source"])
     offset = hash_bucket(F.concat(F.col("_source"), F.col("_null").cast("string"), F.lit(seed)), 65536) / F.lit(65536.0)
     rate = F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(cap))).otherwise(F.lit(0.0))
-    rank = F.row_number().over(Window.partitionBy(*_KEYS).orderBy("size", "doc_id"))
+    rank = F.row_number().over(Window.partitionBy(*_KEYS).orderBy("size", "doc_id", "_tie"))
     d = d.join(places, _KEYS).withColumn("_rank", rank + F.col("_before")).withColumns({"_rate": rate, "_offset": offset})
     d = d.withColumn("copies", (F.floor(F.col("_offset") + F.col("_rate") * F.col("_rank")) - F.floor(F.col("_offset") + F.col("_rate") * (F.col("_rank") - 1))).cast("long"))
-    return d.select("row.*", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    return d.select(*AT, "doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
-def emit(mixed: DataFrame, columns: list[str]) -> DataFrame:
-    """The mix itself: each row as often as it is taken."""
-    return mixed.filter("copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*columns)
+def draw(docs: DataFrame, columns: list[str], **options) -> DataFrame:
+    """The mix itself: these columns of each row as often as it is drawn."""
+    own = located(docs.select(*dict.fromkeys([*columns, "doc_id", "source", "text"])))
+    copies = cut(settle(sized(own), **options).filter("copies > 0").select(*AT, F.col("copies").cast("int").alias("_copies")), "mix-copies")
+    return own.join(copies, AT).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*columns)
 
 
 def mix_sql(docs: str = "documents", columns: str = "", *, seed: str = "mix-1", cells: int = 256) -> str:
@@ -82,7 +96,7 @@ w AS (SELECT *, ((row_number() OVER (ORDER BY sn, sv) - 1) % 3 + 1)::DOUBLE AS w
 l AS (SELECT *, ((sum(source_size) OVER ())::DOUBLE - coalesce(sum(top) OVER b, 0)) / (sum(w) OVER () - coalesce(sum(w) OVER b, 0)) AS lev FROM w
   WINDOW b AS (ORDER BY top / w, sn, sv ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 t AS (SELECT sn, sv, source_size, least(top, coalesce(max(CASE WHEN top / w > lev THEN lev END) OVER (), 0) * w) AS target FROM l),
-r AS (SELECT e.*, t.source_size, t.target, row_number() OVER (PARTITION BY e.sn, e.sv ORDER BY cl, ce, size, doc_id) AS k,
+r AS (SELECT e.*, t.source_size, t.target, row_number() OVER (PARTITION BY e.sn, e.sv ORDER BY cl, ce, size, doc_id, md5(coalesce(text, ''))) AS k,
   {bucket_sql(f"e.sv || e.sn::VARCHAR || '{seed}'", 65536)} / 65536.0::DOUBLE AS u,
   CASE WHEN t.source_size > 0 THEN least(t.target / t.source_size, 3.0::DOUBLE) ELSE 0.0::DOUBLE END AS rate FROM e JOIN t USING (sn, sv)),
 m AS (SELECT *, (floor(u + rate * k) - floor(u + rate * (k - 1)))::BIGINT AS copies FROM r)

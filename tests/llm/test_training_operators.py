@@ -338,8 +338,10 @@ def test_mixing_targets_and_takings(spark):
     assert all(abs(taken[s] - target[s]) <= 0.03 * target[s] + 60 for s in sizes)
     again = mixing.mix(docs_of(spark, rows[::-1]).repartition(3)).collect()
     assert sorted((x.doc_id, x.taken) for x in r) == sorted((x.doc_id, x.taken) for x in again)
-    out = mixing.emit(mixing.mix(docs_of(spark, rows)), ["doc_id", "text"])
-    assert out.count() == sum(x.copies for x in r)
+    out = mixing.draw(docs_of(spark, rows), ["doc_id", "text", "size"]).collect()
+    assert sorted(x.doc_id for x in out) == sorted(i for x in r for i in [x.doc_id] * x.copies) and {x["size"] for x in out} == {7}
+    tied = [(1, f"text {i % 5}", "a") for i in range(50)] + [(2, "w " * 40, "b")]  # one identifier, different texts
+    assert sorted(x.text for x in mixing.draw(docs_of(spark, tied), ["text"]).collect()) == sorted(x.text for x in mixing.draw(docs_of(spark, tied[::-1]).repartition(7), ["text"]).collect())
 
 
 def test_mixing_edges(spark):
@@ -365,7 +367,7 @@ def plain_scan(text, least=0.6):
             base.add(label)
             score = 1.0
     for label, phrase, key in licences.TEMPLATES:
-        p, k = phrase.split(), key.split()
+        p, k = re.findall("[a-z0-9]+", phrase.lower()), key.split()
         first = next(i for i in range(len(p)) if p[i : i + len(k)] == k)
         for s in range(-first, len(w)):
             if s + first >= 0 and w[s + first : s + first + len(k)] == k:
@@ -380,6 +382,13 @@ def test_licences_against_a_plain_scan(spark):
     rng = random.Random(6)
     pieces = [p for p, _ in licences.BASE] + [p for _, p, _ in licences.TEMPLATES] + ["mit", "cc by", "nc", "MIT License", "GNU General Public License, version 3.", "K ſ İ", "under the"]
     rows = [(i, " ".join(rng.choice(pieces).upper() if rng.random() < 0.2 else rng.choice([rng.choice(pieces), words(rng, 3)]) for _ in range(rng.randint(1, 12))), "s") for i in range(150)]
+    for i, (_, text, _) in enumerate(licences.TEMPLATES * 6):  # edited, cut short at either end, in the middle of other words
+        w = text.split()
+        for _ in range(rng.randint(0, 3 + len(w) // 3)):
+            at = rng.randrange(len(w))
+            w[at : at + rng.randint(0, 1)] = words(rng, rng.randint(0, 1)).split()
+            w = w or ["x"]
+        rows.append((300 + i, " ".join(words(rng, 3).split() * (i % 2) + w[rng.choice([0, 0, 1, 5]) :]), "s"))
     rows += [(1000, "under the mit license" * 2, "s"), (1001, "license version 2 apache license version 2", "s"), (1002, "CC-BY-NC cc by nc", "s")] + [(2000 + (i or 0), t, s) for i, t, s in EDGES]
     got = {r.doc_id: tuple(r)[1:] for r in licences.scan(docs_of(spark, rows)).collect()}
     for i, t, _ in rows:
