@@ -27,10 +27,11 @@ def layers_mean(layers: Column, low: float, high: float, dim: int) -> Column:
 
 
 def softmax(logits: Column) -> Column:
-    top = F.array_max(logits)
-    powers = F.transform(logits, lambda x: F.exp(x.cast("double") - top.cast("double")))
+    """The greatest logit and the sum are repeated beside the numbers: inside a lambda they would be worked out anew for each."""
+    beside = lambda x, one: F.array_repeat(one, F.size(x))
+    powers = F.zip_with(logits, beside(logits, F.array_max(logits).cast("double")), lambda x, top: F.exp(x.cast("double") - top))
     total = F.aggregate(powers, F.lit(0.0), lambda a, x: a + x)
-    return F.transform(powers, lambda x: x / total)
+    return F.zip_with(powers, beside(powers, total), lambda x, t: x / t)
 
 
 def entropy(probabilities: Column) -> Column:
