@@ -1,22 +1,152 @@
-"""Training and evaluation of the classifier on vectors with pyspark.ml."""
+"""Training and evaluation of the classifier on vectors: a perceptron by Adam with early stopping, repeated runs as tasks."""
 
 from __future__ import annotations
 
-from pyspark.ml.classification import MultilayerPerceptronClassifier
-from pyspark.ml.functions import array_to_vector, vector_to_array
+import io
+from collections.abc import Iterator
+from dataclasses import dataclass
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.keys import md5_int
+
+HIDDEN = (256, 128, 64)
+#: Rows that a fit takes at most, in the order of their key's MD5; they come to the driver.
+MOST_ROWS = 100_000
+RUN = "run int, model binary, epochs int, val_loss double, val_accuracy double"
+
+
+@dataclass
+class Perceptron:
+    """Layers of (weights, biases): rectified hidden units, one sigmoid at the end."""
+
+    layers: list[tuple[np.ndarray, np.ndarray]]
+
+    @classmethod
+    def new(cls, sizes: list[int], rng: np.random.Generator) -> Perceptron:
+        bound = [n**-0.5 for n in sizes[:-1]]
+        return cls([(rng.uniform(-b, b, (n, m)), rng.uniform(-b, b, m)) for b, n, m in zip(bound, sizes, sizes[1:])])
+
+    def activations(self, x: np.ndarray) -> list[np.ndarray]:
+        out = [x]
+        for w, b in self.layers[:-1]:
+            out.append(np.maximum(out[-1] @ w + b, 0))
+        w, b = self.layers[-1]
+        return [*out, 1 / (1 + np.exp(-np.clip(out[-1] @ w + b, -60, 60)))]
+
+    def score(self, x: np.ndarray) -> np.ndarray:
+        return self.activations(np.asarray(x, float))[-1][:, 0]
+
+    def gradients(self, x: np.ndarray, y: np.ndarray) -> list[np.ndarray]:
+        """Of the mean cross entropy, in the order of ``parameters``."""
+        acts = self.activations(x)
+        delta, out = (acts[-1] - y[:, None]) / len(y), []
+        for (w, _), a in zip(self.layers[::-1], acts[-2::-1]):
+            out += [delta.sum(axis=0), a.T @ delta]
+            delta = (delta @ w.T) * (a > 0)
+        return out[::-1]
+
+    def parameters(self) -> list[np.ndarray]:
+        return [p for layer in self.layers for p in layer]
+
+    def copy(self) -> Perceptron:
+        return Perceptron([(w.copy(), b.copy()) for w, b in self.layers])
+
+    def to_bytes(self) -> bytes:
+        out = io.BytesIO()
+        np.savez(out, *self.parameters())
+        return out.getvalue()
+
+    @classmethod
+    def from_bytes(cls, raw: bytes) -> Perceptron:
+        with np.load(io.BytesIO(raw)) as f:
+            p = [f[f"arr_{i}"] for i in range(len(f.files))]
+        return cls(list(zip(p[::2], p[1::2])))
+
+
+def validate(model: Perceptron, x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
+    """Mean cross entropy and accuracy at one half."""
+    p = model.score(x)
+    return float(-np.log(np.where(y > 0.5, p, 1 - p).clip(1e-44)).mean()), float((np.round(p) == y).mean())
+
+
+def fit(x: np.ndarray, y: np.ndarray, val_x: np.ndarray, val_y: np.ndarray, *, hidden: tuple[int, ...] = HIDDEN, epochs: int = 800, patience: int = 30, rate: float = 2.5e-6, decay: float = 1e-5, dropout: float = 0.15, batch: int = 32, seed: int = 432) -> tuple[Perceptron, int, float, float]:
+    """The model of the epoch with the least validation loss, the epochs run, that loss and its accuracy.
+
+    Adam with the decay added to the gradient, dropout on the input; it stops once the validation loss
+    has not improved in ``patience`` epochs in all since it last did.
+    """
+    rng = np.random.default_rng(seed)
+    model = Perceptron.new([x.shape[1], *hidden, 1], rng)
+    own = model.parameters()
+    first, second, step = [np.zeros_like(p) for p in own], [np.zeros_like(p) for p in own], 0
+    best, least, idle, ran = model.copy(), (np.inf, 0.0), 0, 0
+    for ran in range(1, epochs + 1):
+        order = rng.permutation(len(y))
+        for at in range(0, len(y), batch):
+            rows = order[at : at + batch]
+            kept = rng.random((len(rows), x.shape[1])) >= dropout
+            step += 1
+            for p, g, m, v in zip(own, model.gradients(x[rows] * kept / (1 - dropout), y[rows]), first, second):
+                g = g + decay * p
+                m += 0.1 * (g - m)
+                v += 0.001 * (g * g - v)
+                p -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
+        found = validate(model, val_x, val_y) if len(val_y) else validate(model, x, y)
+        if found[0] < least[0]:
+            best, least, idle = model.copy(), found, 0
+        else:
+            idle += 1
+            if idle >= patience:
+                break
+    return best, ran, *least
+
+
+def sample(rows: DataFrame, key: str, most: int = MOST_ROWS) -> tuple[np.ndarray, np.ndarray]:
+    """At most ``most`` rows (features, y) by the MD5 of their key, on the driver."""
+    got = rows.filter(F.col("y").isNotNull() & F.col("features").isNotNull()).orderBy(md5_int(F.col(key), F.lit("fit")), key).limit(most).select("features", "y").toPandas()
+    x = np.array(got["features"].tolist(), float) if len(got) else np.empty((0, 1))
+    return x, got["y"].to_numpy(float)
+
+
+def train(train_rows: DataFrame, val_rows: DataFrame, key: str, *, runs: int = 1, seed: int = 432, most: int = MOST_ROWS, **options) -> DataFrame:
+    """A row a run: its model, the epochs run, validation loss and accuracy. Runs differ in their seed and are tasks of their own."""
+    spark = train_rows.sparkSession
+    data = spark.sparkContext.broadcast((*sample(train_rows, key, most), *sample(val_rows, key, most)))  # at most 2 * most rows
+
+    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for run in b["run"]:
+                model, *rest = fit(*data.value, seed=seed + int(run), **options)
+                yield pd.DataFrame([(run, model.to_bytes(), *rest)], columns=[c.split()[0] for c in RUN.split(", ")])
+
+    return spark.range(0, runs, 1, runs).select(F.col("id").cast("int").alias("run")).mapInPandas(each, RUN)
+
+
+def predict(models: DataFrame, rows: DataFrame) -> DataFrame:
+    """``rows`` (with ``features``) with run and score, once for each run of ``models``."""
+    known = rows.sparkSession.sparkContext.broadcast([(r.run, bytes(r.model)) for r in models.select("run", "model").collect()])  # a row a run
+    schema = type(rows.schema)([*rows.schema.fields]).add("run", "integer").add("score", "double")
+
+    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own = [(run, Perceptron.from_bytes(raw)) for run, raw in known.value]
+        for b in batches:
+            x = np.array(b["features"].tolist(), float) if len(b) else None
+            for run, model in own:
+                yield b.assign(run=np.int32(run), score=model.score(x) if len(b) else [])
 
-def train(rows: DataFrame, dim: int, *, hidden: tuple[int, ...] = (256, 128, 64), max_iter: int = 100, seed: int = 432):
-    """A perceptron over ``features`` (array) and ``y``: the layers are as given, its hidden units sigmoids and its output a softmax."""
-    x = rows.select(array_to_vector(F.transform("features", lambda v: v.cast("double"))).alias("features"), F.col("y").cast("double").alias("label"))
-    return MultilayerPerceptronClassifier(layers=[dim, *hidden, 2], maxIter=max_iter, seed=seed, tol=1e-5).fit(x)
+    return rows.mapInPandas(each, schema)
 
 
-def predict(model, rows: DataFrame) -> DataFrame:
-    x = rows.withColumn("_x", F.col("features")).withColumn("features", array_to_vector(F.transform("features", lambda v: v.cast("double"))))
-    return model.transform(x).withColumn("score", F.element_at(vector_to_array("probability"), 2)).drop("features", "rawPrediction", "probability", "prediction").withColumnRenamed("_x", "features")
+def largest_fit(fits, low: int = 0, high: int = 8192) -> int:
+    """The largest size from ``low`` on and below ``high`` that fits, by bisection; ``fits`` must not hold again once it has failed, ``low`` is taken to fit."""
+    while high - low > 1:
+        middle = (low + high) // 2
+        low, high = (middle, high) if fits(middle) else (low, middle)
+    return low
 
 
 def leave_out(rows: DataFrame, split: str, trait: Column, value: object) -> DataFrame:

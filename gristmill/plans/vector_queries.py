@@ -54,7 +54,7 @@ def a22_token_probability(spark, sf):
 
 @query("SELECT model, max(tokens) AS most FROM (SELECT user_id % 5 AS model, length(props) AS tokens, value > 20 AS fits FROM events) WHERE fits GROUP BY model")
 def a23_largest_fit(spark, sf):
-    """The largest size that fits, from a table of trials in place of a search on the device."""
+    """The largest size that fits, from a table of trials; ``models.largest_fit`` is the search itself, on a device of the caller's."""
     e = table(spark, sf, "events").select((F.col("user_id") % 5).alias("model"), F.length("props").alias("tokens"), (F.col("value") > 20).alias("fits"))
     return e.filter("fits").groupBy("model").agg(F.max("tokens").alias("most"))
 
@@ -76,25 +76,41 @@ def _vectors(spark, sf):
     return e.select("vec_id", F.col("embedding").alias("features"), (F.col("label") >= 5).cast("int").alias("y"), split.alias("split"))
 
 
+def _trained(spark, sf, runs: int):
+    """The models of the runs, in a written table, and all rows."""
+    from ..sources.io import work_folder
+
+    d = _vectors(spark, sf)
+    path = work_folder(spark, "models")
+    models.train(d.filter("split = 'train'"), d.filter("split = 'val'"), "vec_id", runs=runs).write.parquet(path)
+    return spark.read.parquet(path), d
+
+
+def _evaluated(scores):
+    """Thresholds from the training rows, metrics of all splits."""
+    best = metrics.best_thresholds(metrics.sweep(scores.filter("split = 'train'"), ["run"]), ["run"])
+    return metrics.at_thresholds(scores, best, ["run", "split"], ["run"])
+
+
 @query()
 def v6_v9_perceptron(spark, sf):
-    """Train on vectors, thresholds from train, metrics on all splits."""
-    d = _vectors(spark, sf)
-    model = models.train(d.filter("split = 'train'"), 64)
-    s = models.predict(model, d).withColumn("grp", F.lit("all"))
-    best = metrics.best_thresholds(metrics.sweep(s.filter("split = 'train'"), ["grp"]), ["grp"])
-    return metrics.at_thresholds(s, best, ["grp", "split"], ["grp"])
+    """Train on vectors until the validation loss stops falling, thresholds from train, metrics on all splits."""
+    return _evaluated(models.predict(*_trained(spark, sf, 1)))
 
 
 @query()
-def v12_saved_model(spark, sf):
-    """A model saved to the shared folder and loaded again gives the same scores."""
-    from pyspark.ml.classification import MultilayerPerceptronClassificationModel
+def v8_validation(spark, sf):
+    """Epochs, validation loss and accuracy of a training."""
+    return _trained(spark, sf, 1)[0].select("run", "epochs", F.round("val_loss", 6).alias("val_loss"), F.round("val_accuracy", 6).alias("val_accuracy"))
 
-    from ..sources.io import work_folder
 
-    d = _vectors(spark, sf)
-    path = work_folder(spark, "model")
-    models.train(d.filter("split = 'train'"), 64).save(path)
-    s = models.predict(MultilayerPerceptronClassificationModel.load(path), d)
-    return s.select("vec_id", F.round("score", 9).alias("score"))
+@query()
+def v14_repeated_runs(spark, sf):
+    """Ten trainings with seeds of their own, side by side, and their metrics."""
+    return _evaluated(models.predict(*_trained(spark, sf, 10)))
+
+
+@query()
+def v12_saved_model(spark, sf):
+    """A model saved to the shared folder and loaded again: its scores."""
+    return models.predict(*_trained(spark, sf, 1)).select("vec_id", F.round("score", 9).alias("score"))
