@@ -40,6 +40,20 @@ def global_rank(df: DataFrame, key: str, *more: str, name: str = "rank", parts:
     return running_sums(df, F.col(key), order, {name: F.lit(1)}, parts=parts).withColumn(name, F.col(name) - 1)
 
 
+def rank_within(df: DataFrame, by: Sequence[str], number: Column, order: Sequence[Column | str], name: str) -> DataFrame:
+    """Row number from 1 in ``order`` within each group, however large it is; ``number`` must not fall along the order."""
+    return running_sums(df, number, order, {name: F.lit(1)}, by=by)
+
+
+def rank_by_group(df: DataFrame, group: str, key: str, name: str) -> DataFrame:
+    """Row number from 0 by group (as text, nulls first) and numeric key: ranks within the groups after the rows of the groups before."""
+    sizes = df.groupBy(group).agg(F.count(F.lit(1)).alias("_n")).withColumn("_name", F.col(group).cast("string"))
+    starts = running_sums(sizes, text_number(F.col("_name")), [F.col("_name").asc_nulls_first(), group], {"_end": F.col("_n")})
+    starts = starts.select(F.col(group).alias("_g"), (F.col("_end") - F.col("_n")).alias("_start"))
+    own = rank_within(df, [group], F.col(key), [F.col(key).asc_nulls_first()], "_place")
+    return own.join(starts, F.col(group).eqNullSafe(F.col("_g"))).withColumn(name, F.col("_start") + F.col("_place") - 1).drop("_g", "_start", "_place")
+
+
 def first_per(df: DataFrame, keys: list[str], order: list[Column], n: int = 1) -> DataFrame:
     """The first n rows of each group in a pinned order."""
     rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))

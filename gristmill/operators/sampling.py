@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.keys import md5_int
-from .ranking import first_per, global_rank, running_sums, text_number
+from .ranking import first_per, global_rank, rank_within, running_sums, text_number
 
 
 def factorial(df: DataFrame, key: str, factors: dict[str, Sequence]) -> DataFrame:
@@ -65,10 +65,10 @@ def group_split(df: DataFrame, group: str, train: float = 0.7, val: float = 0.85
 
 
 def undersample(df: DataFrame, target: str, order: list[str], by: Sequence[str] = ()) -> DataFrame:
-    """Equal classes (within ``by``): the first rows of each, as many as the smallest has."""
+    """Equal classes (within ``by``): the first rows of each by ``order`` (the first column a number), as many as the smallest has."""
     counts = df.groupBy(*by, target).agg(F.count(F.lit(1)).alias("_n"))
     least = counts.groupBy(*by).agg(F.min("_n").alias("_least"), F.count(F.lit(1)).alias("_classes"))
-    d = _attach(df, least, by).withColumn("_k", F.row_number().over(Window.partitionBy(*by, target).orderBy(*order)))
+    d = _attach(rank_within(df, [*by, target], F.col(order[0]), order, "_k"), least, by)
     return d.filter((F.col("_k") <= F.col("_least")) & (F.col("_classes") > 1)).drop("_k", "_least", "_classes")
 
 
@@ -76,7 +76,7 @@ def oversample(df: DataFrame, target: str, order: list[str]) -> DataFrame:
     """Equal classes: the smaller is repeated whole, then its first rows once more; ``copy`` counts from 0."""
     counts = df.groupBy(target).agg(F.count(F.lit(1)).alias("_n"))
     d = df.join(F.broadcast(counts.withColumn("_most", F.max("_n").over(Window.partitionBy()))), target)  # a row a class
-    d = d.withColumn("_k", F.row_number().over(Window.partitionBy(target).orderBy(*order)))
+    d = rank_within(d, [target], F.col(order[0]), order, "_k")
     times = F.floor(F.col("_most") / F.col("_n")) + F.when(F.col("_k") <= F.col("_most") % F.col("_n"), 1).otherwise(0)
     return d.withColumn("copy", F.explode(F.sequence(F.lit(0), times.cast("int") - 1))).drop("_k", "_n", "_most")
 
@@ -92,8 +92,9 @@ def stratified(df: DataFrame, strata: list[str], n: int, key: str, seed: str) ->
 
 def permute_labels(df: DataFrame, key: str, target: str, by: list[str], seed: str) -> DataFrame:
     """Labels dealt anew within ``by``: the i-th row by key gets the label of the i-th row by MD5."""
-    own = df.withColumn("_i", F.row_number().over(Window.partitionBy(*by).orderBy(key)))
-    drawn = df.withColumn("_i", F.row_number().over(Window.partitionBy(*by).orderBy(md5_int(F.col(key), F.lit(seed)), key)))
+    draw = md5_int(F.col(key), F.lit(seed))
+    own = rank_within(df, by, F.col(key), [key], "_i")
+    drawn = rank_within(df, by, draw, [draw, key], "_i")
     return own.drop(target).join(drawn.select(*by, "_i", target), [*by, "_i"]).drop("_i")
 
 
@@ -107,18 +108,20 @@ def length_matched(short: DataFrame, long: DataFrame, order: str) -> DataFrame:
 def thin(df: DataFrame, group: str, text: str, order: str) -> DataFrame:
     """One row of each group, in ascending order of groups the one whose first word has been taken least so far.
 
-    Each choice depends on all before it, so it runs in one task over (group, order, first word) alone.
+    Of the rows of a group with one first word only the first can be chosen, so one row a group and word is left before. Each choice
+    depends on all before it, so these run in one task: as many rows as groups have different first words.
     """
     first = F.lower(F.regexp_extract(F.col(text), r"(\S+)", 1))
-    slim = df.select(group, order, first.alias("_w")).filter("_w <> ''")
+    slim = df.select(group, order, first.alias("_w")).filter("_w <> ''").groupBy(group, "_w").agg(F.min(order).alias(order))
 
     def choose(part: pd.DataFrame) -> pd.DataFrame:
         taken: dict[str, int] = {}
         rows = []
-        for _, own in part.sort_values([group, order]).groupby(group, sort=True):
-            best = min(range(len(own)), key=lambda i: (taken.get(own["_w"].iloc[i], 0), i))
-            taken[own["_w"].iloc[best]] = taken.get(own["_w"].iloc[best], 0) + 1
-            rows.append(own.iloc[best][[group, order]])
+        part = part.sort_values([group, order])
+        for g, own in itertools.groupby(zip(part[group], part[order], part["_w"]), key=lambda r: r[0]):
+            _, at, word = min(own, key=lambda r: taken.get(r[2], 0))  # the first of equals
+            taken[word] = taken.get(word, 0) + 1
+            rows.append((g, at))
         return pd.DataFrame(rows, columns=[group, order])
 
     kinds = dict(df.dtypes)
@@ -186,7 +189,7 @@ def multi_oversample(df: DataFrame, columns: list[str], key: str, **limits) -> D
     plan = df.sparkSession.createDataFrame([(*combo, n, counts[combo]) for combo, n in more.items()], schema)
     named = plan.select(*[F.col(c).alias(f"_{c}") for c in columns], "_more", "_size")
     same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in columns]
-    d = df.withColumn("_k", F.row_number().over(Window.partitionBy(*columns).orderBy(key)))
+    d = rank_within(df, columns, F.col(key), [key], "_k")
     d = d.join(F.broadcast(named), same, "left")  # a row a combination
     extra = F.when(F.col("_more").isNull(), 0).otherwise(F.floor(F.col("_more") / F.col("_size")) + F.when(F.col("_k") <= F.col("_more") % F.col("_size"), 1).otherwise(0))
     return d.withColumn("copy", F.explode(F.sequence(F.lit(0), extra.cast("int")))).drop("_k", "_more", "_size", *[f"_{c}" for c in columns])

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.keys import md5_int, md5_sql
 from ..operators import joins, models, sampling
-from ..operators.ranking import first_per, global_rank
+from ..operators.ranking import first_per, rank_by_group
 from ..sources.io import table
 from .registry import query
 from .standins import LABELLED, SCORED, labelled, scored
@@ -177,9 +176,7 @@ def j3_j4_common_keys(spark, sf):
 @query("WITH a AS (SELECT doc_id, row_number() OVER (ORDER BY source, doc_id) - 1 AS art FROM documents), q AS (SELECT event_id, event_id % (SELECT count(*) FROM a) AS art FROM events) SELECT event_id, art, doc_id FROM q JOIN a USING (art)")
 def j5_positional_join(spark, sf):
     """Positions as a key made once over a stable order, then an equi-join."""
-    d = table(spark, sf, "documents").select("doc_id", "source")
-    names = d.select("source").distinct().withColumn("_o", F.row_number().over(Window.orderBy("source")))  # a row a source
-    a = global_rank(d.join(F.broadcast(names), "source"), "_o", "doc_id", name="art").select("art", "doc_id")
+    a = rank_by_group(table(spark, sf, "documents").select("doc_id", "source"), "source", "doc_id", "art").select("art", "doc_id")
     n = a.agg(F.count(F.lit(1)).alias("n"))
     q = table(spark, sf, "events").select("event_id").crossJoin(F.broadcast(n)).select("event_id", (F.col("event_id") % F.col("n")).alias("art"))
     return q.join(a, "art").select("event_id", "art", "doc_id")
