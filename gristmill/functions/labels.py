@@ -61,3 +61,12 @@ def from_mistakes(sentence: Column, mistakes: Column) -> Column:
 def is_positive(prediction: Column) -> Column:
     """0/1 of a mistake label, null for UNKNOWN."""
     return F.when(prediction != "UNKNOWN", (prediction != "CORRECT").cast("int"))
+
+
+def contradictory(has_mistakes: Column, mistakes: Column) -> Column:
+    """Whether the flag does not fit the list: it differs from the list's length (true counts as 1, false as 0) and the list is not empty.
+
+    So a true flag with one mistake fits, with two it does not; an empty list always fits.
+    """
+    n = F.coalesce(F.size(mistakes), F.lit(0))
+    return (F.coalesce(has_mistakes.cast("int"), F.lit(-1)) != n) & (n > 0)

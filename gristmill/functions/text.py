@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -10,8 +12,9 @@ from pyspark.sql import types as T
 SPACE = r"[\s\p{Z}]"
 #: Stands for the full stop after a digit while sentences are split.
 MASK = "\ue000"
-#: Fixed: a reference with content, optionally named, or a use of a named one.
-REFERENCE = r"(?is)<ref(?:\s+name\s*=\s*\"?([^\">/]*?)\"?\s*)?>(.*?)</ref>|<ref\s+name\s*=\s*\"?([^\">/]*?)\"?\s*/>"
+#: Fixed: a reference with content, optionally named, or a use of a named one; of several attributes the last one's value is the name.
+PLAIN_REFERENCE = r'<ref(?:\s*[^>]+\s*=\s*"?([^">\/]*)"?\s*)?\s*>(.*?)<\/ref>|<ref(?:\s*[^>]+\s*=\s*"?([^">]*)"?\s*)?\s*\/>'
+REFERENCE = "(?is)" + PLAIN_REFERENCE
 
 
 def strip(x: Column) -> Column:
@@ -60,9 +63,12 @@ def span_targets(starts: Column, labels: Column) -> Column:
     """0/1 for each sentence: a label marks all from the one its start is in to the one its end is in.
 
     An end equal to a sentence's start reaches that sentence; a start before the first counts as in it.
+    Each label's first and last sentence are found once; what stands inside the last lambda is worked out anew for every sentence.
     """
     rank = lambda at: F.greatest(F.size(F.filter(starts, lambda s: s <= at)) - 1, F.lit(0))
-    return F.transform(starts, lambda _, i: F.exists(labels, lambda l: (i >= rank(l["start"])) & (i <= rank(l["end"]))).cast("int"))
+    bounds = F.transform(labels, lambda l: F.struct(rank(l["start"]).alias("lo"), rank(l["end"]).alias("hi")))
+    places = F.transform(starts, lambda _, i: i)
+    return F.zip_with(places, F.array_repeat(bounds, F.size(starts)), lambda i, own: F.exists(own, lambda b: (i >= b["lo"]) & (i <= b["hi"])).cast("int"))
 
 
 def chunk(content: Column, start: Column, end: Column, size: Column, share: Column | None = None) -> Column:
@@ -87,32 +93,65 @@ def json_snippet(x: Column) -> Column:
 
 
 def space_after_references(x: Column) -> Column:
-    return F.regexp_replace(x, r"(?is)(</ref>|<ref[^>]*/>)(?=\S)(?!<ref)", "$1 ")
+    """A space after each reference that neither white space nor a tag follows, as at the end."""
+    return F.regexp_replace(x, f"(?d)({PLAIN_REFERENCE})(?!{SPACE}*<)(?!{SPACE})", "$1 ")
 
 
 def without_references(x: Column) -> Column:
-    return F.regexp_replace(x, r"(?is)<ref[^>/]*>.*?</ref>|<ref[^>]*/>", "")
+    return F.regexp_replace(x, REFERENCE, "")
 
 
 def has_link(x: Column) -> Column:
     return F.contains(x, F.lit("[[")) & F.contains(x, F.lit("]]"))
 
 
-def strip_markup(x: Column) -> Column:
-    """Readable text of wikitext or HTML: templates, tags and emphasis go, links leave their label."""
-    y = F.regexp_replace(x, r"(?s)<!--.*?-->|\{\{[^{}]*\}\}|<[^<>]*>|'{2,}", "")
-    y = F.regexp_replace(y, r"\[\[(?:[^\[\]|]*\|)?([^\[\]|]*)\]\]", "$1")
-    return F.regexp_replace(y, r"\[https?://\S+\s+([^\]]*)\]", "$1")
+#: How deep templates and links may stand in each other.
+DEPTH = 6
+#: Fixed: character references that are decoded, the last one last.
+ENTITIES = (("&nbsp;", "\u00a0"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&amp;", "&"))
+_MARKUP = (
+    (r"(?s)<!--.*?-->", ""),
+    *[(r"\{\{[^{}]*\}\}", "")] * DEPTH,
+    (r"<[^<>]*>|'{2,}", ""),
+    *[(r"\[\[(?:[^\[\]|]*\|)?([^\[\]]*)\]\]", "$1")] * 3,
+    (r"\[(?:https?:)?//[^\s\]]+\]", ""),
+    (r"\[(?:https?:)?//[^\s\]]+[ \t]+([^\]]*)\]", "$1"),
+)
+_HEADINGS = (r"(?m)^={1,6}[ \t]*([^=\n]+?)[ \t]*={1,6}[ \t]*$", "$1")
+_LINES = ((r"\n{3,}", "\n\n"), (r"^\n+", ""), (r"\n+$", ""))
+
+
+def strip_markup(x: Column, *, headings: bool = True) -> Column:
+    """Readable text of wikitext or HTML: templates in templates, comments, tags and emphasis go, links leave what stands behind their target, headings their title."""
+    for form, to in (*_MARKUP, *([_HEADINGS] if headings else [])):
+        x = F.regexp_replace(x, form, to)
+    for name, to in ENTITIES:
+        x = F.replace(x, F.lit(name), F.lit(to))
+    for form, to in _LINES:
+        x = F.regexp_replace(x, form, to)
+    return x
+
+
+def strip_markup_sql(x: str) -> str:
+    quote = lambda t: t.replace("'", "''")
+    for form, to in (*_MARKUP, _HEADINGS):
+        x = f"regexp_replace({x}, '{quote(form)}', '{to.replace('$', chr(92))}', 'g')"
+    for name, to in ENTITIES:
+        x = f"replace({x}, '{name}', '{to}')"
+    for form, to in _LINES:
+        x = f"regexp_replace({x}, '{form}', {'chr(10) || chr(10)' if to else chr(39) * 2}, 'g')"
+    return x
 
 
 def reference_fields(info: Column) -> Column:
-    """Map of the first template in a reference: its label under ref_label, then the fields; of equal keys the last counts."""
-    body = F.split(F.regexp_extract(info, r"(?s)\{\{(.*?)\}\}", 1), r"\|")
-    fields = F.filter(F.slice(body, 2, 1_000_000), lambda p: F.contains(p, F.lit("=")))
-    pairs = F.transform(fields, lambda p: F.struct(strip(F.split_part(p, F.lit("="), F.lit(1))).alias("k"), strip(F.regexp_replace(p, r"(?s)^[^=]*=", "")).alias("v")))
-    last = F.filter(pairs, lambda p, i: ~F.exists(F.slice(pairs, i + 2, F.size(pairs)), lambda q: q["k"] == p["k"]))
-    label = F.when(F.size(body) > 1, F.array(F.struct(F.lit("ref_label").alias("k"), strip(F.get(body, F.lit(0))).alias("v")))).otherwise(F.array().cast("array<struct<k:string,v:string>>"))
-    return F.map_from_entries(F.concat(label, F.filter(last, lambda p: p["k"] != "ref_label")))
+    """Map of the first template in a reference: its label under ref_label, then the fields; of equal keys the last counts, a template in it ends it."""
+    body = F.split(F.split_part(F.split_part(info, F.lit("{{"), F.lit(2)), F.lit("}}"), F.lit(1)), r"\|")
+    given = F.contains(info, F.lit("{{")) & F.contains(info, F.lit("}}"))
+    is_field = lambda p: F.contains(p, F.lit("="))
+    fields = F.filter(body, lambda p, i: given & ((i == 0) | is_field(p)))
+    key = lambda p: F.when(is_field(p), strip(F.split_part(p, F.lit("="), F.lit(1)))).otherwise(F.lit("ref_label"))
+    pairs = F.transform(fields, lambda p: F.struct(key(p).alias("k"), strip(F.regexp_replace(p, r"(?s)^[^=]*=", "")).alias("v")))
+    return F.map_from_entries(F.filter(pairs, lambda p, i: ~F.exists(F.slice(pairs, i + 2, F.size(pairs)), lambda q: q["k"] == p["k"])))
 
 
 def any_date(x: Column) -> Column:
@@ -131,7 +170,7 @@ def model_name(model: Column, quantization: Column) -> Column:
     return F.concat(F.substring_index(model, "/", -1), F.coalesce(F.concat(F.lit(" ("), quantization, F.lit(")")), F.lit("")))
 
 
-def token_count(x: Column) -> Column:
+def word_count(x: Column) -> Column:
     return F.size(F.filter(F.split(x, r"\s+"), lambda w: w != ""))
 
 
@@ -195,27 +234,55 @@ def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
 
 @F.pandas_udf(T.StringType())
 def uglify(key: pd.Series, text: pd.Series) -> pd.Series:
-    """Spoil a text: drop words (3 %), drop (5 %) or swap (4 %) characters, add spaces (5 %) and line breaks (2 %)."""
+    """Spoil a text's words: 3 % go, 5 % lose a character, in 4 % two change places; after 5 % stand 1 to 4 spaces more, after 2 % 1 to 2 line breaks.
+
+    What stands after a word is joined like a word, by a space. Draws come from the key's MD5.
+    """
     import hashlib
-    import random
+
+    import numpy as np
+
+    def changed(word: str, shorter: bool, swap: bool, rng: np.random.Generator) -> str:
+        letters = np.array(list(word))
+        if shorter:
+            letters = np.delete(letters, rng.integers(len(letters)))
+        if swap and len(letters) > 1:
+            two = rng.choice(len(letters), 2, replace=False)
+            letters[two] = letters[two[::-1]]
+        return "".join(letters)
 
     def spoil(k: object, x: str | None) -> str | None:
         if x is None:
             return None
-        rng = random.Random(hashlib.md5(str(k).encode()).digest())
-        words = [w for w in x.split(" ") if rng.random() >= 0.03]
-        out: list[str] = []
-        for c in " ".join(words):
-            draw = rng.random()
-            if draw < 0.05:
-                continue
-            if draw < 0.09 and out:
-                out.insert(-1, c)
-                continue
-            out.append(c)
-            if c == " ":
-                more = rng.random()
-                out += [" "] * (more < 0.05) + ["\n"] * (0.05 <= more < 0.07)
-        return "".join(out)
+        rng = np.random.default_rng(int.from_bytes(hashlib.md5(str(k).encode()).digest(), "big"))
+        words = x.split()
+        lost, shorter, swapped, spaced, broken = (rng.random((5, len(words))).T < (0.03, 0.05, 0.04, 0.05, 0.02)).T
+        spaces, breaks = rng.integers(1, 5, len(words)), rng.integers(1, 3, len(words))
+        pieces = [[changed(w, shorter[i], swapped[i], rng) if shorter[i] or swapped[i] else w] + [" " * spaces[i]] * int(spaced[i]) + ["\n" * breaks[i]] * int(broken[i]) for i, w in enumerate(words) if not lost[i]]
+        return " ".join(p for own in pieces for p in own)
 
     return pd.Series([spoil(k, x) for k, x in zip(key, text)], dtype="object")
+
+
+def bpe_count(x: Column, vocabulary: str) -> Column:
+    """Tokens of a text under a byte-pair vocabulary (a file of the ``tokenizers`` library); null for null."""
+
+    @F.pandas_udf(T.LongType())
+    def count(texts: pd.Series) -> pd.Series:
+        found = _tokenizer(vocabulary).encode_batch([t or "" for t in texts], add_special_tokens=False)
+        return pd.Series([None if t is None else len(e.ids) for t, e in zip(texts, found)], dtype="Int64")
+
+    return count(x)
+
+
+@lru_cache(maxsize=4)
+def _tokenizer(path: str):
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(path)
+
+
+def default_vocabulary() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")

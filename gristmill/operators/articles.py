@@ -119,7 +119,7 @@ def assemble(df: DataFrame, key: str, wikitext: str) -> DataFrame:
     whose place in the content without markup is found by its unique beginning and ending.
     """
     w = F.col(wikitext)
-    d = df.select(key, w.alias("_w"), sentences(without_references(w)).alias("_s"), strip_markup(without_references(w)).alias("content"))
+    d = df.select(key, w.alias("_w"), sentences(without_references(w)).alias("_s"), strip_markup(without_references(w), headings=False).alias("content"))
     refs = references(df, key, wikitext).join(d, key).withColumn("_span", span_in("_w", "_s", "anchor_index"))
     found = refs.filter("_span.start > 0 and _span.end > 0")
     place = found.select(key, "i", "values", "content", F.col("_span.start").alias("_a"), F.col("_span.end").alias("_b"), F.substring(F.col("_w"), F.col("_span.start") + 1, F.col("_span.end") - F.col("_span.start")).alias("_t"))
@@ -137,8 +137,9 @@ def useful_passages(passage_data: Column, cutoff: Column, least: int = 50) -> Co
 
 
 def useful_articles(articles: DataFrame, cutoff: Column, most: int = 9) -> DataFrame:
-    """Recent articles that are no lists, with 1 to ``most`` useful passages; only those passages stay."""
-    d = articles.filter((F.col("earliest_creation_date") >= cutoff) & (F.col("created_en") >= cutoff) & ~F.col("removed_duplicates") & ~F.contains(F.lower("title"), F.lit("list")))
+    """Recent articles that are no lists, with 1 to ``most`` useful passages; only those passages stay. An article whose age is not known is recent."""
+    recent = lambda c: F.col(c).isNull() | (F.col(c) >= cutoff)
+    d = articles.filter(recent("earliest_creation_date") & recent("created_en") & ~F.coalesce("removed_duplicates", F.lit(False)) & ~F.contains(F.lower("title"), F.lit("list")))
     return d.withColumn("passage_data", useful_passages(F.col("passage_data"), cutoff)).filter(F.size("passage_data").between(1, most))
 
 

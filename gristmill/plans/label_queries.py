@@ -186,3 +186,15 @@ def l4_mistake_label(spark, sf):
     mistakes = F.when(F.col("doc_id") % 7 != 0, F.array(F.struct(F.lit("INVENTED").alias("type"), first.alias("output_quote")), F.struct(F.lit("WRONG").alias("type"), second.alias("output_quote"))))
     d = d.select("doc_id", L.from_mistakes(F.col("text"), mistakes).alias("prediction"))
     return d.withColumn("positive", L.is_positive(F.col("prediction")))
+
+
+@query(
+    """WITH d AS (SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN NULL ELSE doc_id % 2 = 1 END AS flag, doc_id % 4 AS n FROM documents)
+SELECT doc_id, flag AS has_mistakes, n::INT AS mistakes, (coalesce(flag::INT, -1) <> n AND n > 0) AS contradictory FROM d"""
+)
+def l5_contradictory(spark, sf):
+    """Whether a judge's flag fits the list that comes with it."""
+    flag = F.when(F.col("doc_id") % 5 != 0, F.col("doc_id") % 2 == 1)
+    listed = F.array_repeat(F.lit("x"), (F.col("doc_id") % 4).cast("int"))
+    d = table(spark, sf, "documents").select("doc_id", flag.alias("has_mistakes"), listed.alias("l"))
+    return d.select("doc_id", "has_mistakes", F.size("l").alias("mistakes"), L.contradictory(F.col("has_mistakes"), F.col("l")).alias("contradictory"))

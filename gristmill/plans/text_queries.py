@@ -41,11 +41,21 @@ def s2_plain_sentences(spark, sf):
     return table(spark, sf, "documents").select("doc_id", X.sentences(F.col("text"), mask=False).alias("sentences"))
 
 
+def placed_rows(spark, sf, *more):
+    """Sentences with their starts and the response up to each one's end: worked out in the document, so its text is not copied to each row."""
+    d = table(spark, sf, "documents").select("doc_id", "source", "text", X.sentences(F.col("text")).alias("s"))
+    one = lambda x: F.struct(x.alias("sentence"), X.start_of(x, F.col("text")).alias("start"), *[f(x).alias(n) for n, f in more])
+    return d.select("doc_id", "source", F.posexplode(F.transform("s", one)).alias("sent_i", "p")).select("doc_id", "source", "sent_i", "p.*")
+
+
+def _up_to():
+    return ("cum", lambda x: X.up_to(F.col("text"), x))
+
+
 @query(f"WITH {SENTENCES} SELECT doc_id, sent_i, strpos(text, sentence) - 1 AS start, substr(text, 1, strpos(text, sentence) - 1 + length(sentence)) AS cum FROM sen")
 def s3_s4_cumulative(spark, sf):
     """Starts of sentences and the response up to each one's end; a repeated sentence has the first one's place."""
-    s, t = F.col("sentence"), F.col("text")
-    return sentence_rows(spark, sf).select("doc_id", "sent_i", X.start_of(s, t).alias("start"), X.up_to(t, s).alias("cum"))
+    return placed_rows(spark, sf, _up_to()).select("doc_id", "sent_i", "start", "cum")
 
 
 _CUM = "cum AS (SELECT doc_id, sent_i, substr(text, 1, strpos(text, sentence) - 1 + length(sentence)) AS cum FROM sen)"
@@ -53,8 +63,7 @@ _CUM = "cum AS (SELECT doc_id, sent_i, substr(text, 1, strpos(text, sentence) -
 
 @query(f"WITH {SENTENCES}, {_CUM} SELECT doc_id, sent_i, {_strip('substr(cum, (coalesce(lag(length(cum)) OVER (PARTITION BY doc_id ORDER BY sent_i), 0) + 1)::INT)')} AS sentence FROM cum")
 def s5_decumulate(spark, sf):
-    s, t = F.col("sentence"), F.col("text")
-    d = sentence_rows(spark, sf).select("doc_id", "sent_i", X.up_to(t, s).alias("cum"))
+    d = placed_rows(spark, sf, _up_to()).select("doc_id", "sent_i", "cum")
     before = F.coalesce(F.lag(F.length("cum")).over(Window.partitionBy("doc_id").orderBy("sent_i")), F.lit(0))
     return d.select("doc_id", "sent_i", X.strip(F.substring(F.col("cum"), before + 1, F.length("cum"))).alias("sentence"))
 
@@ -81,7 +90,7 @@ SELECT doc_id, sent_i, (150 + doc_id % 60 < coalesce(nxt, 1000000000) AND 150 +
 def j7_span_join(spark, sf):
     """Label spans and sentence spans as two tables joined on an interval."""
     w = Window.partitionBy("doc_id").orderBy("sent_i")
-    s = sentence_rows(spark, sf).select("doc_id", "sent_i", F.max(X.start_of(F.col("sentence"), F.col("text"))).over(w).alias("start"))
+    s = placed_rows(spark, sf).select("doc_id", "sent_i", F.max("start").over(w).alias("start"))
     s = s.withColumn("next_start", F.lead("start").over(w))
     l = table(spark, sf, "documents").select("doc_id", (150 + F.col("doc_id") % 60).alias("start"), (150 + F.col("doc_id") % 60 + F.col("doc_id") % 25).alias("end"))
     return joins.spans_to_targets(s, l, "doc_id").select("doc_id", "sent_i", "target")
@@ -122,11 +131,11 @@ def wikitext():
     c, s = F.concat, lambda x: F.lit(x)
     date = c(s("2024-0"), (F.col("doc_id") % 9 + 1).cast("string"), s("-1"), (F.col("doc_id") % 10).cast("string"))
     t = F.regexp_replace(F.col("text"), "[\\n<>{}|]", " ")
-    part = lambda i: F.substring(t, i * 40 + 1, 40)
+    part = lambda i: c(F.substring(t, i * 40 + 1, 40), s(";"))
     again = F.when(F.col("doc_id") % 5 == 0, s('<ref name="a">{{cite book|title=Other}}</ref>')).otherwise(s(""))
     return c(
         part(0), s('<ref name="b"/>'), part(1), s('<ref name="a">{{cite web|url=http://x.org/?q=1|access-date='), date, s("|date=21 March 2023|date="), date, s("}}</ref><ref>{{cite news|Title=no|archive-date=not a date}}</ref>"), part(2),
-        s('<ref name="a"/> '), part(3), s('<ref name="note">{{x}}</ref><ref name="b">{{cite map|accessdate=March 4, 2024}}</ref>'), again, F.substring(t, F.lit(161), F.length(t)), s(" [[Link|label]] ''bold'' end."),
+        s('<ref name="a"/> '), part(3), s('<ref group="x" name="c">{{cite web|date=2024-01-05|access-date=2024-02-07}}</ref><ref name="c"/>. <ref name="note">{{x}}</ref><ref name="b">{{cite map|accessdate=March 4, 2024}}</ref>'), again, F.substring(t, F.lit(161), F.length(t)), s(" [[Link|label]] ''bold'' end."),
     )
 
 
@@ -139,16 +148,22 @@ def p3_references(spark, sf):
 
 
 @query(
-    f"""WITH d AS (SELECT doc_id, {_DATE} AS d FROM documents)
-SELECT doc_id, d::TIMESTAMP AS earliest_access_date, d::TIMESTAMP AS earliest_date, NULL::TIMESTAMP AS earliest_archive_date, 1 AS n FROM d"""
+    f"""WITH d AS (SELECT doc_id, ({_DATE})::TIMESTAMP AS d, doc_id % 5 = 0 AS again FROM documents),
+r AS (SELECT doc_id, 0 AS i, 'b' AS first_name, TIMESTAMP '2024-03-04' AS access_date, NULL::TIMESTAMP AS date, 1 AS n FROM d
+UNION ALL SELECT doc_id, 1, 'a', d, d, 2 FROM d UNION ALL SELECT doc_id, 3, 'a', d, d, 1 FROM d
+UNION ALL SELECT doc_id, 4, 'c', TIMESTAMP '2024-02-07', TIMESTAMP '2024-01-05', 2 FROM d
+UNION ALL SELECT doc_id, 7, 'b', TIMESTAMP '2024-03-04', NULL::TIMESTAMP, 1 FROM d)
+SELECT doc_id, i, access_date AS earliest_access_date, date AS earliest_date, NULL::TIMESTAMP AS earliest_archive_date, n FROM r"""
 )
 def p9_passage_dates(spark, sf):
-    """Dates of the references named a, grouped by anchor; of equal fields the last counts, unreadable dates do not."""
+    """All references of a document grouped by anchor; of equal fields the last counts, unreadable dates do not."""
     d = table(spark, sf, "documents").select("doc_id", wikitext().alias("wiki"))
-    r = articles.references(d, "doc_id", "wiki").filter("name = 'a' and i = 1")
-    return articles.passages(r, ["doc_id", "anchor_index"]).select("doc_id", "earliest_access_date", "earliest_date", "earliest_archive_date", F.size("references").alias("n"))
+    p = articles.passages(articles.references(d, "doc_id", "wiki"), ["doc_id", "anchor_index"])
+    order = F.col("references")[0]["i"]
+    return p.select("doc_id", order.alias("i"), "earliest_access_date", "earliest_date", "earliest_archive_date", F.size("references").alias("n"))
 
 
+_REFERENCE = X.PLAIN_REFERENCE.replace('"', r"\x22")
 _BARE = r"regexp_replace(text, '[<>/]', ' ', 'g')"
 
 
@@ -156,15 +171,15 @@ def _bare():
     return F.regexp_replace("text", "[<>/]", " ")
 
 
-@query(f"SELECT doc_id, regexp_replace(replace({_BARE}, '. ', '.<ref name=x>{{{{a|b=c}}}}</ref> <REF name=x /> '), '<ref[^>/]*>.*?</ref>|<ref[^>]*/>', '', 'gis') AS text FROM documents")
+@query(f"SELECT doc_id, regexp_replace(replace({_BARE}, '. ', '.<ref group=y name=x>{{{{a|b=c}}}}</ref> <REF name=x /> '), '{_REFERENCE}', '', 'gis') AS text FROM documents")
 def p2_without_references(spark, sf):
-    t = F.replace(_bare(), F.lit(". "), F.lit(".<ref name=x>{{a|b=c}}</ref> <REF name=x /> "))
+    t = F.replace(_bare(), F.lit(". "), F.lit(".<ref group=y name=x>{{a|b=c}}</ref> <REF name=x /> "))
     return table(spark, sf, "documents").select("doc_id", X.without_references(t).alias("text"))
 
 
-@query(f"SELECT doc_id, replace({_BARE}, '. ', '.<ref>a</ref> x<ref name=q/> y') AS text FROM documents")
+@query(f"SELECT doc_id, replace({_BARE}, '. ', '.<ref>a</ref> x<ref name=q/><b>y</b> <ref name=q/><ref>z</ref> ') || '<ref>end</ref> ' AS text FROM documents")
 def p1_space_after_references(spark, sf):
-    t = F.replace(_bare(), F.lit(". "), F.lit(".<ref>a</ref>x<ref name=q/>y"))
+    t = F.concat(F.replace(_bare(), F.lit(". "), F.lit(".<ref>a</ref>x<ref name=q/><b>y</b> <ref name=q/><ref>z</ref> ")), F.lit("<ref>end</ref>"))
     return table(spark, sf, "documents").select("doc_id", X.space_after_references(t).alias("text"))
 
 
@@ -185,19 +200,32 @@ def p5_p6_passage_bounds(spark, sf):
 @query()
 def p7_passage_span(spark, sf):
     """The sentence that ends at an anchor, by the text left of it."""
-    d = table(spark, sf, "documents").withColumn("s", X.sentences(F.col("text"))).filter("size(s) > 2")
-    anchor = X.start_of(F.get("s", F.lit(1)), F.col("text")) + F.length(F.get("s", F.lit(1)))
+    d = table(spark, sf, "documents").withColumn("s", X.sentences(F.col("text")))
+    own = F.get("s", F.least(F.lit(1), F.size("s") - 1))  # the second, or the only one
+    anchor = F.coalesce(X.start_of(own, F.col("text")) + F.length(own), F.lit(0))
     return d.select("doc_id", articles.span_in("text", "s", anchor).alias("x")).select("doc_id", "x.start", "x.end")
 
 
-@query(r"SELECT page_id, regexp_replace(html, '<!--.*?-->|\{\{[^{}]*\}\}|<[^<>]*>|''{2,}', '', 'gs') AS text FROM pages")
+@query(f"SELECT page_id, {X.strip_markup_sql('html')} AS text FROM pages")
 def p8_strip_markup(spark, sf):
     return table(spark, sf, "pages").select("page_id", X.strip_markup(F.col("html")).alias("text"))
 
 
-@query("SELECT doc_id, contains(t, '[[') AND contains(t, ']]') AS linked FROM (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN '[[' || left(text, 9) || ']]' WHEN 1 THEN '[[' || left(text, 9) ELSE text END AS t FROM documents)")
+_BOLD = "'" * 3
+_WIKI = ["== Title ==", "{{Infobox|a={{b|{{c}}}}|d}}", " [[Link|label]] and [[File:x.jpg|thumb|of [[a]] and [[b|c]]]] at [http://x.org/a b c] and [http://x.org/d]&nbsp;&amp;&lt;<ref name=a>", "</ref>", "=== End ==="]
+
+
+@query(f"SELECT doc_id, {X.strip_markup_sql('w')} AS text FROM (SELECT doc_id, '{_WIKI[0]}' || chr(10) || '{_WIKI[1]}' || chr(10) || chr(10) || chr(10) || '{_BOLD * 2}' || replace(replace(text, '[', '('), '<', '(') || '{_BOLD * 2}{_WIKI[2]}' || left(text, 5) || '{_WIKI[3]}' || chr(10) || '{_WIKI[4]}' AS w FROM documents)")
+def p8_wikitext(spark, sf):
+    """Templates in templates, file links with links in them, headings, external links and character references."""
+    t = F.replace(F.replace(F.col("text"), F.lit("["), F.lit("(")), F.lit("<"), F.lit("("))
+    w = F.concat(F.lit(f"{_WIKI[0]}\n{_WIKI[1]}\n\n\n{_BOLD}"), t, F.lit(_BOLD + _WIKI[2]), F.left("text", F.lit(5)), F.lit(f"{_WIKI[3]}\n{_WIKI[4]}"))
+    return table(spark, sf, "documents").select("doc_id", X.strip_markup(w).alias("text"))
+
+
+@query("SELECT doc_id, contains(t, '[[') AND contains(t, ']]') AS linked FROM (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN '[[' || text || ']]' WHEN 1 THEN '[[' || text ELSE text END AS t FROM documents)")
 def p10_has_link(spark, sf):
-    t = F.expr("CASE doc_id % 3 WHEN 0 THEN '[[' || left(text, 9) || ']]' WHEN 1 THEN '[[' || left(text, 9) ELSE text END")
+    t = F.expr("CASE doc_id % 3 WHEN 0 THEN '[[' || text || ']]' WHEN 1 THEN '[[' || text ELSE text END")
     return table(spark, sf, "documents").select("doc_id", X.has_link(t).alias("linked"))
 
 
@@ -215,18 +243,19 @@ def p12_section_before(spark, sf):
 
 
 def _chunk_sql(before: str, after: str) -> str:
-    return rf"""WITH d AS (SELECT doc_id, text, (doc_id % 70)::BIGINT AS s, (doc_id % 70 + 80)::BIGINT AS e, (100 + doc_id % 3 * 150)::BIGINT AS z FROM documents), p AS (SELECT *, greatest(z - (e - s), 0) AS spare FROM d), b AS (SELECT *, {before} AS b, {after} AS a FROM p),
+    return rf"""WITH d AS (SELECT doc_id, text, (doc_id % 70)::BIGINT AS s, (doc_id % 70 + 80)::BIGINT AS e, (100 + doc_id % 3 * 150)::BIGINT AS z FROM documents), p AS (SELECT *, greatest(z - (e - s), 0) AS spare FROM (SELECT doc_id, text, least(s, length(text)) AS s, least(e, length(text)) AS e, z FROM d)), b AS (SELECT *, {before} AS b, {after} AS a FROM p),
 r AS (SELECT *, CASE WHEN spare > 0 THEN greatest(s - b, 0) ELSE s END AS f, CASE WHEN spare > 0 THEN least(e + a, length(text)) ELSE e END AS l FROM b)
-SELECT doc_id, regexp_replace(substr(text, (f + 1)::INT, (l - f)::INT), '\n+', chr(10), 'g') AS chunk FROM r WHERE length(text) >= 200"""
+SELECT doc_id, regexp_replace(substr(text, (f + 1)::INT, (l - f)::INT), '\n+', chr(10), 'g') AS chunk FROM r"""
 
 
 _SHARE = md5_sql("doc_id", "'chunk'") + " / 4294967296.0::DOUBLE"
 
 
 def _chunk(spark, sf, share):
-    d = table(spark, sf, "documents").filter("length(text) >= 200")
+    d = table(spark, sf, "documents")
+    within = lambda at: F.least(at, F.length("text"))
     s = F.col("doc_id") % 70
-    return d.select("doc_id", X.chunk(F.col("text"), s, s + 80, 100 + F.col("doc_id") % 3 * 150, share).alias("chunk"))
+    return d.select("doc_id", X.chunk(F.col("text"), within(s), within(s + 80), 100 + F.col("doc_id") % 3 * 150, share).alias("chunk"))
 
 
 @query(_chunk_sql(f"floor({_SHARE} * (spare + 1))::BIGINT", f"spare - floor({_SHARE} * (spare + 1))::BIGINT"))
@@ -314,9 +343,15 @@ def p24_comparison_prompt(spark, sf):
     return table(spark, sf, "documents").select("doc_id", X.comparison_prompt(chunks, F.lit("Why?"), F.col("lang")).alias("prompt"))
 
 
-@query(r"SELECT doc_id, len(list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> '')) AS n_tokens FROM documents")
+@query(r"SELECT doc_id, len(list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> '')) AS n_words FROM documents")
+def p25_word_count(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", X.word_count(F.col("text")).alias("n_words"))
+
+
+@query()
 def p25_token_count(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", X.token_count(F.col("text")).alias("n_tokens"))
+    """Length under a byte-pair vocabulary."""
+    return table(spark, sf, "documents").select("doc_id", X.bpe_count(F.col("text"), X.default_vocabulary()).alias("n_tokens"))
 
 
 @query("SELECT event_id, CASE event_id % 2 WHEN 0 THEN 'x/llm-7b' ELSE 'llm' END AS model, CASE event_id % 3 WHEN 0 THEN 'int4' END AS quantization, CASE event_id % 2 WHEN 0 THEN 'llm-7b' ELSE 'llm' END || coalesce(' (' || CASE event_id % 3 WHEN 0 THEN 'int4' END || ')', '') AS name FROM events")
@@ -331,7 +366,7 @@ def articles_of(spark, sf):
     ref = lambda i: F.struct(ts(f"(doc_id * 7 + {i} * 5) % 60 - 3").alias("access_date"), ts(f"(doc_id * 3 + {i}) % 50 - 2").alias("date"), F.when((F.col("doc_id") + i) % 3 == 0, ts(f"(doc_id + {i}) % 40 - 2")).alias("archive_date"))
     passage = lambda i: F.struct(F.lit(i * 100).alias("start"), (F.lit(i * 100 + 40) + F.col("doc_id") % 60).alias("end"), ((F.col("doc_id") + i) % 5 == 0).alias("contains_article"), F.array(ref(i), ref(i + 1)).alias("references"))
     return table(spark, sf, "documents").select(
-        F.col("doc_id").alias("article_id"), F.expr("CASE WHEN doc_id % 9 = 0 THEN 'A List of things' ELSE 'Title ' || doc_id END").alias("title"), ts("doc_id % 45 - 4").alias("created_en"), ts("doc_id % 40 - 2").alias("earliest_creation_date"), (F.col("doc_id") % 12 == 0).alias("removed_duplicates"),
+        F.col("doc_id").alias("article_id"), F.expr("CASE WHEN doc_id % 9 = 0 THEN 'A List of things' ELSE 'Title ' || doc_id END").alias("title"), ts("doc_id % 45 - 4").alias("created_en"), F.when(F.col("doc_id") % 8 != 3, ts("doc_id % 40 - 2")).alias("earliest_creation_date"), (F.col("doc_id") % 12 == 0).alias("removed_duplicates"),
         F.array(passage(0), passage(1), passage(2)).alias("passage_data"),
     )
 
@@ -344,7 +379,7 @@ def _fresh(i: str) -> str:
     return _FRESH.format(a=_D.format(e=f"(doc_id * 7 + ({i}) * 5) % 60 - 3"), b=_D.format(e=f"(doc_id * 3 + ({i})) % 50 - 2"), h=_D.format(e=f"(doc_id + ({i})) % 40 - 2"), m=f"(doc_id + ({i}))", c="TIMESTAMP '2024-01-02'")
 
 
-_ARTICLES = f"""art AS (SELECT doc_id AS article_id, count(*) AS passages FROM documents, range(3) r(i) WHERE {_D.format(e='doc_id % 40 - 2')} >= TIMESTAMP '2024-01-02' AND {_D.format(e='doc_id % 45 - 4')} >= TIMESTAMP '2024-01-02' AND doc_id % 12 <> 0 AND doc_id % 9 <> 0
+_ARTICLES = f"""art AS (SELECT doc_id AS article_id, count(*) AS passages FROM documents, range(3) r(i) WHERE (doc_id % 8 = 3 OR {_D.format(e='doc_id % 40 - 2')} >= TIMESTAMP '2024-01-02') AND {_D.format(e='doc_id % 45 - 4')} >= TIMESTAMP '2024-01-02' AND doc_id % 12 <> 0 AND doc_id % 9 <> 0
 AND (doc_id + i) % 5 <> 0 AND 40 + doc_id % 60 >= 50 AND {_fresh('i')} AND {_fresh('i + 1')} GROUP BY doc_id)"""
 
 

@@ -1,16 +1,20 @@
 """Operators on hand-made rows: truth tables, quirks, properties, dirty input."""
 
+import inspect
 import itertools
 import random
+import re
 
+import numpy as np
 import pytest
 from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from gristmill.functions import labels as L
 from gristmill.functions import text as X
-from gristmill.operators import articles, joins, metrics, reports, sampling
-from gristmill.operators.ranking import global_rank
+from gristmill.functions import vectors as V
+from gristmill.operators import articles, joins, metrics, models, reports, sampling
+from gristmill.operators.ranking import global_rank, rank_by_group
 
 
 def one(spark, value, column):
@@ -46,6 +50,17 @@ def test_judgement_truth_table(spark):
     assert d.limit(1).select(L.from_judgement(F.lit(True), none).alias("t")).first().t is None
 
 
+def test_judgement_checks_quotes(spark):
+    """Each section's echo, its quote in the sentence and, but for the last, its quote in the context."""
+    part = "struct<section_content:string,necessary_chunk_quote:string,section_quote:string,result:boolean,has_factual_information:boolean>"
+    good = ("The sky is blue today.", "blue sky", "sky IS", True, True)
+    rows = [((good, good, good), (False,) * 6), ((("The sky is green.",) + good[1:], good, good), (True,) + (False,) * 5), (((good[0], "nowhere") + good[2:], good, good), (False, True) + (False,) * 4), ((good, good, (good[0], "nowhere") + good[2:]), (False,) * 6), ((good, good[:2] + ("not there",) + good[3:], good[:2] + ("not there",) + good[3:]), (False, False, False, True, False, True))]
+    d = spark.createDataFrame([(i, r) for i, (r, _) in enumerate(rows)], f"i int, s struct<conflicting:{part},grounded:{part},cannot_really_answer:{part}>")
+    got = {r.i: r.p for r in d.select("i", L.judgement(F.col("s"), F.lit("The sky is blue today."), F.lit("A blue sky, all day.")).alias("p")).collect()}
+    for i, (_, want) in enumerate(rows):
+        assert tuple(got[i][f] for f in L.FAILS) == want and got[i].conflicting and got[i].has_factual_information
+
+
 @pytest.mark.parametrize("answerable,mark,target", [(True, "W", 1), (True, "IDK", 1), (True, "R", 0), (False, "W", 1), (False, "IDK", 0), (False, "R", None), (True, None, None)])
 def test_human_label(spark, answerable, mark, target):
     d = spark.createDataFrame([(answerable, mark)], "a boolean, m string")
@@ -131,6 +146,49 @@ def test_similarity_is_difflib(spark):
     assert [r.y for r in d.select(X.similarity("a", "b").alias("y")).collect()] == [0.75, 1.0, None]
 
 
+def test_space_after_references(spark):
+    cases = {"a<ref>x</ref>b": "a<ref>x</ref> b", "a<ref>x</ref> b": "a<ref>x</ref> b", "a<ref name=q/><b>": "a<ref name=q/><b>", "a<ref>x</ref>  <i>": "a<ref>x</ref>  <i>", "a<ref>x</ref>": "a<ref>x</ref> ", "<ref>x</ref><ref>y</ref>z": "<ref>x</ref><ref>y</ref> z"}
+    assert {c: one(spark, c, X.space_after_references) for c in cases} == cases
+
+
+def test_strip_markup(spark):
+    cases = {
+        "{{a|{{b}}|{{c|{{d}}}}}}x": "x", "[[A|b]] [[C]]": "b C", "[[File:a.jpg|thumb|see [[b|c]] here]].": "thumb|see c here.", "[http://x.org/a label here] [https://y.org]!": "label here !",
+        "== Head ==\ntext\n\n\n\nmore": "Head\ntext\n\nmore", "'" * 3 + "bold" + "'" * 3 + " " + "'" * 2 + "it" + "'" * 2 + " don't": "bold it don't", "a<!-- no -->b<br/>c": "abc", "5&nbsp;km &amp;lt; &quot;x&quot;": '5\u00a0km &lt; "x"', "\n\nx\n": "x",
+    }
+    assert {c: one(spark, c, X.strip_markup) for c in cases} == cases
+
+
+def test_uglify_changes_as_many_words_as_it_says(spark):
+    n = 40_000
+    words = [f"word{i:05d}" for i in range(n)]
+    got = one(spark, " ".join(words), lambda x: X.uglify(F.lit(7), x))
+    assert got == one(spark, " ".join(words), lambda x: X.uglify(F.lit(7), x)) != one(spark, " ".join(words), lambda x: X.uglify(F.lit(8), x))
+    left = [w for w in got.split() if w]
+    same = set(words) & set(left)
+    short = sum(len(w) == 8 for w in left)
+    swapped = sum(len(w) == 9 and w not in same for w in left)
+    near = lambda found, share: abs(found / n - share) < 0.006
+    assert near(n - len(left), 0.03) and near(short, 0.97 * 0.05)
+    assert near(swapped, 0.97 * 0.04 * 0.95 * 0.86)  # equal digits that change places do not show
+    assert near(len(re.findall(r"[^ \n] {3,6}(?=[^ \n])|[^ \n] {3,6}\n", got)), 0.97 * 0.05)
+    assert near(len(re.findall(r"\n+", got)), 0.97 * 0.02) and max(map(len, re.findall(r"\n+", got))) == 2
+    assert one(spark, None, lambda x: X.uglify(F.lit(7), x)) is None and one(spark, "", lambda x: X.uglify(F.lit(7), x)) == ""
+
+
+def test_bpe_count(spark):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(X.default_vocabulary())
+    for text in ("", "Some words, and 漢字.", "x" * 5000):
+        assert one(spark, text, lambda x: X.bpe_count(x, X.default_vocabulary())) == len(t.encode(text, add_special_tokens=False).ids)
+
+
+def test_softmax(spark):
+    got = spark.createDataFrame([([1.0, 3.0, -1e3, 800.0, 800.0],), ([0.0],), ([],)], "x array<double>").select(V.softmax(F.col("x")).alias("p")).collect()
+    assert got[0].p == [0, 0, 0, 0.5, 0.5] and got[1].p == [1.0] and got[2].p == []
+
+
 # --- articles ------------------------------------------------------------------------------------
 
 
@@ -139,13 +197,27 @@ def test_references(spark):
     r = articles.references(spark.createDataFrame([(1, text), (2, "none"), (3, None)], "id long, t string"), "id", "t").orderBy("i").collect()
     got = [(x.name, x.anchor_index == x.starts_at, x["values"]) for x in r]
     web, both = {"ref_label": "web", "date": "1"}, {"ref_label": "map"} if False else {}
-    assert [g[0] for g in got] == ["b", "a", None, "a", "b", "a", "zz"]
+    assert [g[0] for g in got] == ["b", "a", None, "a ", "b", "a", "zz"]  # without quotes, the blank is part of the name
     assert [g[1] for g in got] == [True, True, False, True, True, True, False]
-    assert got[1][2] == web and got[3][2] == web and got[5][2] == web and got[2][2] == {"ref_label": "news", "x": "y"} and got[6][2] == both
+    assert got[1][2] == web and got[3][2] == {} and got[5][2] == web and got[2][2] == {"ref_label": "news", "x": "y"} and got[6][2] == both
     assert all(text[x.starts_at : x.ends_at].startswith("<ref") and text[x.starts_at : x.ends_at].endswith(">") for x in r)
     assert all(x.duplicate for x in r)
 
 
+def test_references_with_several_attributes(spark):
+    text = '<ref group="n" name="b">{{web|date=1}}</ref> <ref name="x" group="g"/> <ref name = "b" /> <ref group=q>{{map}}</ref>'
+    r = articles.references(spark.createDataFrame([(1, text)], "id long, t string"), "id", "t").orderBy("i").collect()
+    assert [(x.name, x["values"].get("ref_label")) for x in r] == [("b", "web"), ("g", None), ("b", "web"), ("q", "map")]
+
+
+def test_articles_of_unknown_age_are_recent(spark):
+    cutoff = F.lit("2024-01-02 00:00:00").cast("timestamp_ntz")
+    passage = "named_struct('start', 0, 'end', 90, 'contains_article', false, 'references', array(named_struct('access_date', timestamp_ntz'2024-02-01', 'date', timestamp_ntz'2024-02-01', 'archive_date', cast(null as timestamp_ntz))))"
+    age = "CASE id WHEN 0 THEN timestamp_ntz'2024-01-01' WHEN 1 THEN timestamp_ntz'2024-01-02' END"
+    d = spark.range(4).selectExpr("id", f"{age} AS earliest_creation_date", "CASE WHEN id < 3 THEN timestamp_ntz'2024-01-05' END AS created_en", "CASE WHEN id < 3 THEN false END AS removed_duplicates", "'T' AS title", f"array({passage}) AS passage_data")
+    assert sorted(r.id for r in articles.useful_articles(d, cutoff).collect()) == [1, 2, 3]
+
+
 def plain_start(article, candidate):
     for i in range(1, len(candidate)):
         if article.count(candidate[:i]) <= 1:
@@ -298,18 +370,88 @@ def test_other_passages_of_a_group_that_holds_most_rows(spark, groups):
         assert len(set(others)) == len(others) == min(3, sum(g != of[i] for g in of.values())) and all(of[o] != of[i] for o in others)
 
 
-@pytest.mark.parametrize("name", ["v6_v9_perceptron", "v12_saved_model"])
-def test_registered_perceptrons_are_whole(spark, monkeypatch, name):
-    from gristmill.operators import models
-    from gristmill.plans import registry
+def plain_thin(rows):
+    """(group, order, text): of each group the row whose first word has been taken least."""
+    taken, out = {}, set()
+    for g in sorted({r[0] for r in rows}):
+        own = [(taken.get(t.split()[0].lower(), 0), i, t.split()[0].lower()) for h, i, t in sorted(rows) if h == g and t.split()]
+        if own:
+            _, i, w = min(own, key=lambda x: x[:2])
+            taken[w] = taken.get(w, 0) + 1
+            out.add((g, i))
+    return out
+
 
-    def asked(**given):
-        raise InterruptedError(given["layers"], given["maxIter"])
+def test_thin_against_a_plain_version(spark):
+    rng = random.Random(8)
+    rows = [(rng.randrange(40), i, " ".join(rng.choice(["who", "What", "how", "Who", "when", ""]) for _ in range(3))) for i in range(400)]
+    r = sampling.thin(spark.createDataFrame(rows, "a long, i long, t string"), "a", "t", "i").collect()
+    assert {(x.a, x.i) for x in r} == plain_thin(rows)
+
+
+def test_rank_by_group(spark):
+    rows = [(i, [None, "a", "ab", "b", "same prefix 1", "same prefix 2"][min(i * i % 11, 5)]) for i in range(500)]
+    r = rank_by_group(spark.createDataFrame(rows, "k long, g string"), "g", "k", "n").collect()
+    assert [x.k for x in sorted(r, key=lambda x: x.n)] == [k for k, _ in sorted(rows, key=lambda x: (x[1] is not None, x[1] or "", x[0]))] and {x.n for x in r} == set(range(500))
 
-    monkeypatch.setattr(models, "MultilayerPerceptronClassifier", asked)
-    with pytest.raises(InterruptedError) as e:
-        registry.queries()[name](spark, "/root/testdata/sf0.001")
-    assert e.value.args == ([64, 256, 128, 64, 2], 100)
+
+def test_clusters_have_equal_classes(spark):
+    rows = [(i, ["a", "b", None][i % 3], i % 4, int(i % 5 == 0)) for i in range(240)]
+    r = sampling.clustered_undersample(spark.createDataFrame(rows, "id long, q string, c int, y int"), ["q", "c"], "y", "id", k=4).collect()
+    of = {}
+    for x in r:
+        of.setdefault(x.cluster, [0, 0])[x.y] += 1
+        assert (x.id, x.q, x.c, x.y) in rows
+    assert len(of) == 4 and all(a == b > 0 for a, b in of.values()) and len({x.id for x in r}) == len(r)
+    assert all(len({x.cluster for x in r if (x.q, x.c) == t}) == 1 for t in {(x.q, x.c) for x in r})
+
+
+# --- models ------------------------------------------------------------------------------------------
+
+
+def test_perceptron_gradients():
+    rng = np.random.default_rng(3)
+    model = models.Perceptron.new([5, 7, 4, 1], rng)
+    x, y = rng.normal(size=(11, 5)), (rng.random(11) < 0.5).astype(float)
+    for p, g in zip(model.parameters(), model.gradients(x, y)):
+        for at in [tuple(rng.integers(n) for n in p.shape) for _ in range(4)]:
+            kept, loss = p[at], []
+            for step in (1e-5, -1e-5):
+                p[at] = kept + step
+                loss.append(models.validate(model, x, y)[0])
+            p[at] = kept
+            assert abs((loss[0] - loss[1]) / 2e-5 - g[at]) < 1e-6
+
+
+def test_perceptron_learns_stops_and_keeps_the_best():
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(600, 6))
+    y = (x[:, 0] + x[:, 1] * x[:, 2] > 0).astype(float)
+    model, ran, loss, right = models.fit(x[:400], y[:400], x[400:], y[400:], hidden=(16, 8), epochs=200, patience=20, rate=0.01, dropout=0.0)
+    assert right > 0.85 and models.validate(model, x[400:], y[400:]) == (loss, right)
+    noise = (rng.random(600) < 0.5).astype(float)
+    model, ran, loss, _ = models.fit(x[:400], noise[:400], x[400:], noise[400:], hidden=(16, 8), epochs=200, patience=5, rate=0.01)
+    assert ran < 100 and models.validate(model, x[400:], noise[400:])[0] == loss
+    again = models.Perceptron.from_bytes(model.to_bytes())
+    assert (again.score(x) == model.score(x)).all()
+    given = {k: v.default for k, v in inspect.signature(models.fit).parameters.items() if v.default is not v.empty}
+    assert given == {"hidden": (256, 128, 64), "epochs": 800, "patience": 30, "rate": 2.5e-6, "decay": 1e-5, "dropout": 0.15, "batch": 32, "seed": 432}
+
+
+def test_perceptron_runs(spark):
+    rng = random.Random(5)
+    d = spark.createDataFrame([(i, [rng.gauss(0, 1) for _ in range(3)], i % 2, "train" if i % 4 else "val") for i in range(80)] + [(99, None, 1, "train"), (100, [0.0, 0.0, 0.0], None, "test")], "k long, features array<float>, y int, split string")
+    found = models.train(d.filter("split = 'train'"), d.filter("split = 'val'"), "k", runs=3, epochs=2, hidden=(4,)).cache()
+    assert sorted(r.run for r in found.collect()) == [0, 1, 2] and len({bytes(r.model) for r in found.collect()}) == 3
+    scores = models.predict(found, d.filter("features is not null")).collect()
+    assert len(scores) == 3 * 81 and all(0 < r.score < 1 for r in scores)
+    x, y = models.sample(d, "k", 10)
+    assert x.shape == (10, 3) and len(y) == 10
+
+
+@pytest.mark.parametrize("most", [0, 1, 5, 4095, 8191])
+def test_largest_fit(most):
+    assert models.largest_fit(lambda n: n <= most) == most
 
 
 # --- metrics -----------------------------------------------------------------------------------------
