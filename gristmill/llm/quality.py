@@ -6,9 +6,10 @@ Features of a blank-separated token: its letters and digits in lower case, its s
 of characters, runs as one), and whether it repeats the token before; each family's counts
 are square-rooted and scaled to length one. The fit takes a sample of at most ``per_grade``
 labelled rows of each grade, by hash of the identifier, weighted back to the grades' shares
-among all labels; scoring reads every document whole.
+among all labels, and of those, in the same order, only as many as ``most_bytes`` of features hold; scoring reads every document whole.
 
-Cases: null and empty texts have no features and score 0; rows that repeat score alike;
+Cases: null and empty texts have no features and score 0; very long texts are read whole, block by block; rows that repeat score alike, and count once in the fit; of
+a doc_id's different texts the one with the smallest features counts; ties at the threshold are kept; an empty table gives an empty result;
 ids without a label are scored only; a label that disagrees with another counts with the
 lower quality and the higher toxicity; with labels of one grade or none, nothing is rejected;
 other columns are left alone, those with the
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLOCK, WORD_BYTES, mix64, segment_hashes
+from .common import BLOCK, WORD_BYTES, cut, mix64, segment_hashes
 
 BITS = 18
 FAMILIES = np.array([0x9E3779B97F4A7C15, 0x3C6EF372FE94F82A, 0xDAA66D2C7DDF743F], np.uint64)
@@ -153,8 +154,8 @@ def fit(at: list[np.ndarray], x: list[np.ndarray], grades: np.ndarray, weight: n
     return Ordinal(weights, par[d] + np.append(0, np.cumsum(np.exp(par[d + 1 :]))))
 
 
-def train(docs: DataFrame, labels: DataFrame, *, per_grade: int = 1000) -> Ordinal:
-    """Fit on at most ``per_grade`` labelled documents of each grade; only their features come to the driver."""
+def train(docs: DataFrame, labels: DataFrame, *, per_grade: int = 1000, most_bytes: int = 1 << 28) -> Ordinal:
+    """Fit on at most ``per_grade`` labelled documents of each grade and ``most_bytes`` of features, which alone come to the driver."""
     spark = docs.sparkSession
     one = labels.filter("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("q"), F.max(F.coalesce("toxic", F.lit(0))).alias("t"))
     graded = one.select("doc_id", F.when(F.col("q") <= 0, 0).when(F.col("t") > 0, 1).otherwise(2).alias("grade"))
@@ -171,8 +172,14 @@ def train(docs: DataFrame, labels: DataFrame, *, per_grade: int = 1000) -> Ordin
             got = [features(t.as_py()) for t in b.column(2)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([a.astype("<i4").tobytes() for a, _ in got], pa.binary()), pa.array([x.astype("<f4").tobytes() for _, x in got], pa.binary())], names=["doc_id", "grade", "at", "x"])
 
-    rows = docs.join(F.broadcast(sample), "doc_id").select("doc_id", "grade", "text").mapInArrow(featurise, schema).collect()
-    rows = list({r.doc_id: r for r in sorted(rows, key=lambda r: (r.doc_id, r.x))}.values())
+    made = docs.join(F.broadcast(sample), "doc_id").select("doc_id", "grade", "text").mapInArrow(featurise, schema)
+    found = cut(made.groupBy("doc_id").agg(F.min(F.struct("x", "at", "grade")).alias("r")).select("doc_id", "r.*"), "quality-features")  # a row a document of the sample
+    held, bytes_ = [], 0
+    for r in found.select("doc_id", (F.octet_length("x") + F.octet_length("at")).alias("n")).orderBy(F.xxhash64("doc_id"), "doc_id").collect():
+        bytes_ += r.n
+        if bytes_ <= most_bytes:
+            held.append(r.doc_id)
+    rows = sorted(found.filter(F.col("doc_id").isin(held)).collect(), key=lambda r: r.doc_id)
     if len({r.grade for r in rows}) < 2:
         return empty
     grades = np.array([r.grade for r in rows])

@@ -61,6 +61,57 @@ def test_quality_edges(spark):
     assert quality.rate(docs.limit(0), model).count() == 0
 
 
+def test_quality_gradient_reaches_the_optimum():
+    """The fitted parameters are a minimum of the penalised likelihood, written out plainly: no small step in any direction lowers it."""
+    rng = np.random.default_rng(9)
+    n, d = 120, 6
+    x = rng.random((n, d)) + 0.1
+    grades = np.digitize(x @ rng.normal(size=d) + rng.logistic(size=n) * 0.3, [0.0, 0.8])
+    weight = rng.random(n) + 0.5
+    at = [np.arange(d) * 3 for _ in range(n)]
+    model = quality.fit(at, list(x), grades, weight, steps=3000, rate=0.02, ridge=0.01)
+
+    def loss(w, t):
+        total = 0.0
+        for xi, g, wi in zip(x, grades, weight / weight.sum()):
+            tail = [1.0] + [1 / (1 + math.exp(tk - xi @ w)) for tk in t] + [0.0]
+            total -= wi * math.log(tail[g] - tail[g + 1])
+        return total + 0.005 * (w @ w)
+
+    w, t = model.weights[np.arange(d) * 3].astype(float), model.thresholds
+    best = loss(w, t)
+    for i in range(d + 2):
+        for step in (-0.02, 0.02):
+            moved = np.append(w, t)
+            moved[i] += step
+            assert loss(moved[:d], moved[d:]) > best - 1e-6
+    for text_at, xi in zip(at[:5], x):
+        s = float(xi @ w)
+        assert np.allclose(model.tails([s])[0], [1 / (1 + math.exp(tk - s)) for tk in t], atol=1e-5)
+
+
+def test_quality_scores_against_a_plain_version():
+    """Features by plain counting, bucket by bucket."""
+    rng = np.random.default_rng(1)
+    model = quality.Ordinal(rng.normal(size=1 << quality.BITS).astype(np.float32), np.array([0.0, 1.0]))
+    for text in ("One two, two THREE 33 -- 4x4 one", "a", "", None, "word " * 300_000):
+        at, x = quality.features(text)
+        assert math.isclose(model.score(text), sum(float(model.weights[i]) * float(v) for i, v in zip(at, x)), rel_tol=1e-4, abs_tol=1e-6)
+        if text:
+            tokens_of = text.split()
+            again = sum(a.strip(",-").lower() == b.strip(",-").lower() != "" for a, b in zip(tokens_of, tokens_of[1:]))
+            assert math.isclose(float((x.astype(float) ** 2).sum()), 3.0, rel_tol=1e-3)  # each family's shares add up to 1
+            shares = sorted(round(float(v) ** 2 * len(tokens_of)) for v in x)
+            assert sum(shares) == 3 * len(tokens_of) and again in shares + [0, len(tokens_of)]
+
+
+def test_quality_fit_is_bounded(spark):
+    docs = spark.createDataFrame([(i % 6, f"some words {i % 6} " * (i % 6 + 1)) for i in range(600)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(6)], "doc_id long, quality int, toxic int")
+    assert quality.train(docs, labels).weights.any()
+    assert not quality.train(docs, labels, most_bytes=10).weights.any()
+
+
 def test_quality_features_of_blocks():
     text = "The BIG dog!! 123 dog dog " * 60_000
     a, x = quality.features(text)
@@ -203,6 +254,23 @@ def test_hnsw_recall_and_ties(spark):
     assert hnsw.nearest(d.limit(0), d.limit(0)).count() == 0
 
 
+def test_hnsw_recall_over_shards_that_are_grown(spark):
+    """Vectors of sf0.1 in four shards, most of each inserted by search, against all pairs; and in double precision."""
+    rows = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    got = hnsw.nearest(rows, rows.filter("vec_id % 50 = 0"), k=5, seed=128, spread=4).collect()
+    ids, v = (np.array(x) for x in zip(*[(r.vec_id, r.embedding) for r in rows.collect()]))
+    unit = v / np.linalg.norm(v, axis=1, keepdims=True)
+    hits, asked = 0, [i for i in ids if i % 50 == 0]
+    for i in asked:
+        score = unit @ unit[ids == i][0]
+        want = sorted((-s, j) for s, j in zip(score, ids) if j != i)[:5]
+        hits += len({j for _, j in want} & {r.vec_id for r in got if r.query_id == i})
+    assert len(got) == 5 * len(asked) and hits >= 0.97 * len(got), hits / len(got)
+    wide = spark.createDataFrame([(i, [1.0, 1e-12 * i, 0.0]) for i in range(8)], "vec_id long, embedding array<double>")
+    r = {x.rank: x.vec_id for x in hnsw.nearest(wide, wide.filter("vec_id = 0"), k=3).collect()}
+    assert set(r.values()) <= set(range(1, 8)) and len(r) == 3
+
+
 # --- 4: near duplicates ------------------------------------------------------------------------
 
 
