@@ -1,7 +1,13 @@
 """A corpus from raw documents: quality, exact copies, near copies, mix, packing.
 
 Each stage takes (spark, docs, sf_dir) and returns a table that is written as Parquet and read
-again as the next stage's docs. All but the last return the columns of documents.
+again as the next stage's docs. All but the last return the columns of documents, and other columns of docs,
+whatever their names, play no part.
+
+Cases: null and empty texts are rated like any other, equal to each other, no near copies of anything, of size 0 in the mix, and one
+piece of one token; very long texts are read whole in every stage; of rows that tie, the stages keep the smallest doc_id, a row without one
+only where none has one; rows that repeat with their doc_id are one document from the exact stage on; rows the mix draws twice are packed twice; an empty table gives an empty
+one in every stage; without labels of two grades nothing is rejected.
 """
 
 from __future__ import annotations
@@ -15,7 +21,7 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents whose probability of a sound grade is below one half."""
+    """Rejects documents whose probability of a sound grade is below one half. Toxic documents of sound quality stay."""
     model = quality.train(docs, table(spark, sf_dir, "labels"))
     return quality.rate(docs, model).filter("kept").select(*COLUMNS)
 
