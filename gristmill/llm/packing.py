@@ -8,8 +8,8 @@ each bin. Pieces then find their place by their rank among pieces of their lengt
 two levels so that no length is one task. One packing of all documents, the same in every run.
 
 Cases: null text counts as empty; an empty text is one piece of one token; documents longer than
-``size`` are cut into pieces of ``size`` with the shorter piece first; rows that repeat are packed
-each on its own; an empty table gives an empty result; other columns play no part.
+``size`` are cut into pieces of ``size`` with the shorter piece first, very long ones into as many as it takes; of pieces of one length which goes where
+does not matter; rows that repeat, with their doc_id or without one, are packed each on its own; an empty table gives an empty result; other columns play no part.
 """
 
 from __future__ import annotations

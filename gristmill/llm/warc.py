@@ -7,8 +7,8 @@ original records; ``parse`` reads records from bytes alone and checks each block
 revisits what they refer to. Of records with equal payloads of at least ``least`` bytes, the one with the smallest
 page_id is a response and the others are revisits of it, without a block of their own; smaller ones are all responses.
 
-A payload is moved twice: once to be written, folded in each task first, so one that a third of all rows share stays small, and once to meet the header of its response. Which
-page keeps it, and what revisits refer to, is settled on slim tables. A small payload that many responses share meets
+A payload is moved twice: once to be written, folded in each task first, so one that a third of all rows share stays small, and once to
+meet the header of its response. Which page keeps it, and what revisits refer to, is settled on slim tables. A small payload that many responses share meets
 them in parts of ``rows_a_part``, so no payload is one task.
 
 Cases: null html is an empty payload; null url leaves the target out; line breaks in a url are

@@ -318,6 +318,68 @@ def test_near_dedup_against_all_pairs(spark):
     assert got == brute_classes(texts)
 
 
+def weighted_classes(texts, level):
+    """All pairs by the operator's own measure, weights by plain counting over its frequencies."""
+    sets = {i: near_dedup.weigh(t)[1:] for i, t in texts.items()}
+    of = {i: i for i in texts}
+    weight = {i: dict(zip(s.tolist(), (n * level[near_dedup.bucket(s)]).tolist())) for i, (s, n) in sets.items()}
+    for a, b in itertools.combinations(sorted(texts), 2):
+        x, y = weight[a], weight[b]
+        both = sum(min(x[k], y[k]) for k in x.keys() & y.keys())
+        if x and y and both >= 0.8 * (sum(x.values()) + sum(y.values()) - both):
+            lo, hi = sorted((of[a], of[b]))
+            of = {i: lo if c == hi else c for i, c in of.items()}
+    return of
+
+
+def test_near_dedup_where_frequencies_decide(spark):
+    """Short texts that have little but a passage that hundreds of others have are apart, though nine tenths of their shingles are the same; near copies of a large group stay together."""
+    rng = random.Random(31)
+    passage, base = words(rng, 100), words(rng, 150)
+    texts = {i: passage + " " + words(rng, 800) for i in range(400)}
+    texts |= {1000 + i: passage + " " + words(rng, 6) for i in range(6)}
+    texts |= {2000 + i: edited(rng, base, rng.randint(0, 3)) for i in range(300)}
+    docs = docs_of(spark, [(i, t, "s") for i, t in texts.items()])
+    level = near_dedup.document_frequencies(docs)
+    passage_levels, base_levels = (level[near_dedup.bucket(near_dedup.weigh(t)[1])] for t in (passage, base))
+    assert passage_levels.max() <= 5 and np.median(base_levels) == near_dedup.LEVELS
+    got = {r.doc_id: r.class_id for r in near_dedup.classes(docs).collect()}
+    assert got == weighted_classes(texts, level)
+    assert len({got[i] for i in range(1000, 1006)}) == 6 and len({c for i, c in got.items() if i >= 2000}) == 1
+    plain = brute_classes({i: t for i, t in texts.items() if i >= 1000})
+    assert len({plain[i] for i in range(1000, 1006)}) == 1
+
+
+def test_effective_document_counts():
+    """n documents of different families count as n, copies of one as one."""
+    rng = np.random.default_rng(2)
+    n, all_docs = 4000, 1 << 14
+    apart = np.array([near_dedup.signs(k) for k in rng.integers(0, 1 << 63, n, dtype=np.uint64)], np.int64)
+    copies = np.repeat(near_dedup.signs(np.uint64(77))[None].astype(np.int64), n, axis=0)
+    level = near_dedup.levels(np.array([-1, 5, 6]), np.array([all_docs, n, n]), np.vstack([np.zeros((1, near_dedup.SKETCHES)), apart.sum(axis=0), copies.sum(axis=0)]).astype(np.int64))
+    assert level[6] == near_dedup.LEVELS and abs(int(level[5]) - 2) <= 1 and level[7] == near_dedup.LEVELS
+
+
+def test_near_dedup_screens_no_pair_at_the_threshold():
+    rng = np.random.default_rng(12)
+    least = near_dedup.least_agreement(0.8)
+    for _ in range(200):
+        a = np.unique(rng.integers(0, 1 << 63, 450, dtype=np.uint64))
+        b = np.sort(np.concatenate([a[:400], np.unique(rng.integers(0, 1 << 63, 50, dtype=np.uint64))]))  # 400 of 500
+        one, two = (near_dedup.signature(x, np.full(len(x), 8)) >> np.uint64(48) for x in (a, b))
+        assert near_dedup.agreeing(one, two) >= least
+
+
+def test_near_dedup_repeated_identifiers(spark):
+    """Rows of one doc_id are one document, kept or dropped together."""
+    rng = random.Random(6)
+    t = words(rng, 200)
+    rows = [(1, t, "s"), (2, edited(rng, t, 1), "s"), (2, edited(rng, t, 1), "s"), (3, words(rng, 50), "s"), (3, words(rng, 50), "s")]
+    r = near_dedup.classes(docs_of(spark, rows)).collect()
+    assert sorted((x.doc_id, x.class_id, x.kept) for x in r) == [(1, 1, True), (2, 1, False), (2, 1, False), (3, 3, True), (3, 3, True)]
+    assert sorted(x.doc_id for x in near_dedup.keep_one(docs_of(spark, rows), ["doc_id"]).collect()) == [1, 3, 3]
+
+
 def test_near_dedup_edges(spark):
     r = near_dedup.classes(docs_of(spark, EDGES)).collect()
     assert len(r) == len(EDGES)
