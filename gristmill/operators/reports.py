@@ -47,11 +47,30 @@ def imbalance_score(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def describe(df: DataFrame, column: str, *by: str) -> DataFrame:
-    """Count, mean, sample deviation, minimum, exact quartiles, maximum."""
-    q = lambda p: F.round(F.percentile(column, F.lit(p)), 9)
-    return df.groupBy(*by).agg(
-        F.count(column).alias("n"), F.round(F.avg(column), 6).alias("mean"), F.round(F.stddev_samp(column), 6).alias("std"), F.min(column).cast("double").alias("min"), q(0.25).alias("q25"), q(0.5).alias("q50"), q(0.75).alias("q75"), F.max(column).cast("double").alias("max")
-    )
+    """Count, mean, sample deviation, minimum, exact quartiles, maximum.
+
+    Quartiles come from running counts of the distinct values, in two levels, so no group's values are held in one place.
+    """
+    given = df.filter(F.col(column).isNotNull())
+    per = given.groupBy(*by, F.col(column).cast("double").alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
+    cum = running_sums(per, F.col("_v"), ["_v"], {"_to": F.col("_n")}, by=by)
+    stats = df.groupBy(*by).agg(F.count(column).alias("n"), F.round(F.avg(column), 6).alias("mean"), F.round(F.stddev_samp(column), 6).alias("std"), F.min(column).cast("double").alias("min"), F.max(column).cast("double").alias("max"))
+    total = stats.select(*[F.col(c).alias(f"_{c}") for c in by], F.col("n").alias("_all"))
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by] or F.lit(True)
+    cum = cum.join(total, same) if by else cum.crossJoin(F.broadcast(total))  # a row a group; one row
+
+    def quantile(p: float) -> Column:
+        at = (F.col("_all") - 1) * F.lit(p)
+        holds = lambda k: F.max(F.when((F.col("_to") - F.col("_n") <= k) & (k < F.col("_to")), F.col("_v")))
+        low, high = holds(F.floor(at)), holds(F.ceil(at))
+        return F.round(low + (high - low) * F.max(at - F.floor(at)), 9)
+
+    quarters = cum.groupBy(*by).agg(quantile(0.25).alias("q25"), quantile(0.5).alias("q50"), quantile(0.75).alias("q75"))
+    out = ["n", "mean", "std", "min", "q25", "q50", "q75", "max"]
+    if not by:
+        return stats.crossJoin(F.broadcast(quarters)).select(*out)  # one row each
+    quarters = quarters.select(*[F.col(c).alias(f"_{c}") for c in by], "q25", "q50", "q75")
+    return stats.join(quarters, same, "left").select(*by, *out)
 
 
 def balanced_threshold(short: DataFrame, long: DataFrame, length: str) -> DataFrame:

@@ -190,7 +190,17 @@ def io13_articles(spark, sf):
     return articles.assemble(d, "doc_id", "wiki").select("doc_id", "start", "end", "contains_article", "earliest_access_date", "earliest_date", F.size("references").alias("n"))
 
 
-@query()
+def _least_sql(part: str) -> str:
+    """The least proper length at which a part of the passage stands once at most in the text."""
+    return f"list_filter(range(1, length(passage)), lambda i: length(text) - length(replace(text, {part}, '')) <= length({part}))[1]"
+
+
+@query(
+    f"""WITH d AS (SELECT doc_id, text, substr(text, 30, 60) AS passage FROM documents),
+n AS (SELECT *, {_least_sql("substr(passage, 1, i::INT)")} AS a, {_least_sql("substr(passage, (length(passage) - i + 1)::INT)")} AS b FROM d)
+SELECT doc_id, CASE WHEN a IS NOT NULL THEN nullif(strpos(text, substr(passage, 1, a::INT)), 0) - 1 END::INT AS start,
+CASE WHEN b IS NOT NULL THEN nullif(strpos(text, substr(passage, (length(passage) - b + 1)::INT)), 0) - 1 + b END::INT AS "end" FROM n"""
+)
 def p5_p6_passage_bounds(spark, sf):
     """Where the shortest beginning and ending of a passage that are unique in the document stand."""
     d = table(spark, sf, "documents").select("doc_id", "text", F.substring("text", 30, 60).alias("passage"))
