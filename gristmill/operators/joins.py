@@ -71,7 +71,7 @@ def _filled_up(short: DataFrame, rows: DataFrame, key: str, group: str, k: int,
     one is drawn from each: all are different, and at most k - 1 of them can be in o already.
     """
     sizes = rows.groupBy(group).agg(F.count(F.lit(1)).alias("_n")).withColumn("_name", F.col(group).cast("string"))
-    starts = running_sums(sizes, text_number(F.col("_name")), [F.col("_name").asc_nulls_first(), group], {"_end": F.col("_n")})
+    starts = running_sums(sizes, text_number(sizes, "_name"), [F.col("_name").asc_nulls_first(), group], {"_end": F.col("_n")})
     starts = starts.select(F.col(group).alias("_g"), "_n", (F.col("_end") - F.col("_n")).alias("_start"))
     within = running_sums(rows.select(key, group), F.col(key), [F.col(key).asc_nulls_first()], {"_place": F.lit(1)}, by=[group])
     placed = within.join(starts, F.col(group).eqNullSafe(F.col("_g"))).select((F.col("_start") + F.col("_place") - 1).alias("_at"), F.col(key).alias("other"))

@@ -53,7 +53,7 @@ def trim_parity(df: DataFrame, key: str, *more: str) -> DataFrame:
 def group_split(df: DataFrame, group: str, train: float = 0.7, val: float = 0.85) -> DataFrame:
     """``split`` so that no group straddles two: borders are the groups at floor(n * share) in string order of the group."""
     counts = df.groupBy(group).agg(F.count(F.lit(1)).alias("_n")).withColumn("_key", F.col(group).cast("string"))
-    cum = running_sums(counts, text_number(F.col("_key")), [F.col("_key").asc_nulls_first(), group], {"_end": F.col("_n")})
+    cum = running_sums(counts, text_number(counts, "_key"), [F.col("_key").asc_nulls_first(), group], {"_end": F.col("_n")})
     cum = cum.withColumn("_start", F.col("_end") - F.col("_n"))
     total = df.agg(F.count(F.lit(1)).alias("_all"))
     holds = lambda share: F.max(F.when((F.col("_start") <= F.floor(F.col("_all") * F.lit(share))) & (F.floor(F.col("_all") * F.lit(share)) < F.col("_end")), F.col("_start")))

@@ -14,7 +14,7 @@ from gristmill.functions import labels as L
 from gristmill.functions import text as X
 from gristmill.functions import vectors as V
 from gristmill.operators import articles, joins, metrics, models, reports, sampling
-from gristmill.operators.ranking import global_rank, rank_by_group
+from gristmill.operators.ranking import global_rank, rank_by_group, running_sums
 
 
 def one(spark, value, column):
@@ -389,6 +389,17 @@ def test_thin_against_a_plain_version(spark):
     assert {(x.a, x.i) for x in r} == plain_thin(rows)
 
 
+def test_running_sums_whatever_the_ranges(spark):
+    rng = random.Random(3)
+    rows = [(rng.choice([None, -5, 0, 1, 2, 3, 1000, rng.randrange(50)]), i, i % 3) for i in range(300)]
+    d = spark.createDataFrame(rows, "k long, i long, g int")
+    for parts in (1, 2, 3, 7, 8, 256):
+        r = running_sums(d, F.col("k"), [F.col("k").asc_nulls_first(), "i"], {"s": F.col("i")}, by=["g"], parts=parts).collect()
+        for g in range(3):
+            want = list(itertools.accumulate(i for _, i, _ in sorted((x for x in rows if x[2] == g), key=lambda x: (x[0] is not None, x[0] or 0, x[1]))))
+            assert sorted(x.s for x in r if x.g == g) == sorted(want)
+
+
 def test_rank_by_group(spark):
     rows = [(i, [None, "a", "ab", "b", "same prefix 1", "same prefix 2"][min(i * i % 11, 5)]) for i in range(500)]
     r = rank_by_group(spark.createDataFrame(rows, "k long, g string"), "g", "k", "n").collect()
