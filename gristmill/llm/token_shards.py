@@ -168,9 +168,20 @@ def write(docs: DataFrame, path: str, *, key: str = "order-1", length: int = 204
         placed = placed.repartitionById(-(-shards // wide), "part").sortWithinPartitions("slot", "offset").select("slot", "offset", "doc_ids", "ids")
         placed.mapInArrow(store, INDEX).write.parquet(found)
     drop(laid)
+    _sweep(path)
     return spark.read.schema(INDEX).parquet(found)
 
 
+def _sweep(path: str) -> None:
+    """Delete what attempts that failed have left."""
+    from pyarrow import fs
+
+    files, folder = _store(path)
+    for f in files.get_file_info(fs.FileSelector(folder, allow_not_found=True)):
+        if f.base_name.startswith(".shard-"):
+            files.delete_file(f.path)
+
+
 def _parts(parts: list[list], total: int, key: str, small) -> pa.RecordBatch:
     slots = permute(np.array([p[0] for p in parts]), total, key).tolist()
     return _batch([slots, [p[1] for p in parts], [p[2] for p in parts], [small.compress(bytes(p[3])) for p in parts]], PARTS)

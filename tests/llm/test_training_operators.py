@@ -708,9 +708,12 @@ def test_token_shards(spark, tmp_path):
     for k, split in enumerate(("8k", "128m")):
         spark.conf.set("spark.sql.files.maxPartitionBytes", split)
         path = (tmp_path / f"shards{k}").as_uri()
+        (tmp_path / f"shards{k}").mkdir()
+        (tmp_path / f"shards{k}" / ".shard-00000000.bin-x").touch()  # as an attempt that failed leaves it
         index = token_shards.write(d, path, length=32, per_shard=500, most_parts=[20_000, 7][k])
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
         r = sorted(token_shards.check(index, path, 32).collect(), key=lambda x: x.slot)
+        assert all(f.name.startswith("shard-") or f.name.endswith(".crc") for f in (tmp_path / f"shards{k}").iterdir())
         assert [x.slot for x in r] == list(range(n)) and all(x.ids_crc32 == x.read_crc32 for x in r)
         records = list(token_shards.read(path))
         assert (np.array(records) == want).all()
