@@ -83,6 +83,7 @@ def draw(docs: DataFrame, columns: list[str], **options) -> DataFrame:
     """The mix itself: these columns of each row as often as it is drawn."""
     own = located(docs.select(*dict.fromkeys([*columns, "doc_id", "source", "text"])))
     copies = cut(settle(sized(own), **options).filter("copies > 0").select(*AT, F.col("copies").cast("int").alias("_copies")), "mix-copies")
+    copies = copies.hint("merge")  # a row a document: at no size broadcast
     return own.join(copies, AT).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*columns)
 
 
