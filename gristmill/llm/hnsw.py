@@ -263,6 +263,8 @@ def index(rows: DataFrame, *, k: int = 5, shard_rows: int = 1 << 16, seed: int =
     d = cut(distinct_vectors(usable(rows), most).withColumn("dim", (F.octet_length("vector") / width).cast("int")), "vectors")
     n = F.count(F.lit(1))
     dims = d.groupBy("dim").agg(F.greatest(F.ceil(n / shard_rows), F.least(F.lit(spread), F.ceil(n / seed))).cast("int").alias("shards"))
+    dims = cut(dims, "shards")
+    tasks = _tasks(dims.agg(F.sum("shards")).first()[0])
     d = d.join(dims, "dim").withColumn("shard", F.pmod(F.xxhash64("vector"), F.col("shards")).cast("int"))
 
     def graph(part: pd.DataFrame) -> pd.DataFrame:
@@ -274,7 +276,12 @@ def index(rows: DataFrame, *, k: int = 5, shard_rows: int = 1 << 16, seed: int =
             ids[i, : len(own)] = own
         return pd.DataFrame([build(dim, int(part["shard"].iloc[0]), width, vectors, ids, seed)], columns=[c.split()[0] for c in INDEX.split(", ")])
 
-    return d.select("dim", "shard", "vector", "ids").groupBy("dim", "shard").applyInPandas(graph, INDEX)
+    return d.select("dim", "shard", "vector", "ids").repartition(tasks, "dim", "shard").groupBy("dim", "shard").applyInPandas(graph, INDEX)
+
+
+def _tasks(groups: int | None) -> int:
+    """Partitions for groups that are small but take long, so that few share one; Spark would put them together by their bytes."""
+    return min(2 * (groups or 1), 20_000)
 
 
 def hash_bytes(v: bytes) -> int:
@@ -310,7 +317,8 @@ def search(graphs: DataFrame, queries: DataFrame, *, k: int = 5, ef: int = 96, b
         return pd.concat(out) if len(out) > 1 else out[0]
 
     keys = ["dim", "shard", "part"]
-    met = spread.groupBy(*keys).cogroup(packed.groupBy(*keys)).applyInPandas(meet, FOUND)
+    tasks = _tasks(graphs.select("dim", "shard").count() * parts)
+    met = spread.repartition(tasks, *keys).groupBy(*keys).cogroup(packed.repartition(tasks, *keys).groupBy(*keys)).applyInPandas(meet, FOUND)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return met.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
