@@ -172,7 +172,7 @@ def train(docs: DataFrame, labels: DataFrame, *, per_grade: int = 1000, most_byt
             got = [features(t.as_py()) for t in b.column(2)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([a.astype("<i4").tobytes() for a, _ in got], pa.binary()), pa.array([x.astype("<f4").tobytes() for _, x in got], pa.binary())], names=["doc_id", "grade", "at", "x"])
 
-    made = docs.join(F.broadcast(sample), "doc_id").select("doc_id", "grade", "text").mapInArrow(featurise, schema)
+    made = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("doc_id", "grade", "text").mapInArrow(featurise, schema)
     found = cut(made.groupBy("doc_id").agg(F.min(F.struct("x", "at", "grade")).alias("r")).select("doc_id", "r.*"), "quality-features")  # a row a document of the sample
     held, bytes_ = [], 0
     for r in found.select("doc_id", (F.octet_length("x") + F.octet_length("at")).alias("n")).orderBy(F.xxhash64("doc_id"), "doc_id").collect():

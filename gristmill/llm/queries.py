@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, hnsw, html_text, licences, mixing, near_dedup, packing, quality, token_shards, warc
+from . import exact_dedup, fill_middle, hnsw, html_text, licences, merkle, mixing, near_dedup, packing, quality, token_shards, warc
 from .common import table
 
 
@@ -55,13 +55,25 @@ def op10_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_shards.materialise(table(spark, sf_dir, "documents"))
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fill_middle.transform(table(spark, sf_dir, "documents"))
+    restored = fill_middle.restore(F.col("output"), F.col("form"))
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(restored, 256).alias("restored_sha256"))
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_classifier, op2_html_text, op3_hnsw, op4_near_dedup, op5_mixing, op6_licences, op7_best_fit_packing, op8_exact_dedup, op9_warc, op10_token_shards)}
+    return {f.__name__: f for f in (op1_quality_classifier, op2_html_text, op3_hnsw, op4_near_dedup, op5_mixing, op6_licences, op7_best_fit_packing, op8_exact_dedup, op9_warc, op10_token_shards, op11_fill_in_middle, op12_merkle_manifest)}
 
 
 def oracle_sql() -> dict[str, str]:
     return {
         "op5_mixing": mixing.mix_sql(),
+        "op11_fill_in_middle": fill_middle.transform_sql(),
+        "op12_merkle_manifest": merkle.manifest_sql(),
         "op6_licences": licences.scan_sql(),
         "op9_warc": r"""
 WITH d AS (SELECT page_id, octet_length(encode(coalesce(html, '')))::BIGINT AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),

@@ -16,12 +16,12 @@ from gristmill.llm import exact_dedup, hnsw, html_text, licences, mixing, near_d
 from gristmill.llm.common import word_hashes
 from gristmill.llm.labelled_pages import PAGES
 
-DOCS = "doc_id long, text string, lang string, source string, n_chars long, kept boolean, digest string, size int, score string, _rank int, uid int"
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, kept boolean, digest string, size int, score string, _rank int, uid int, grade string, at int, x double, p_ge_1 int, _text string, copies string, _at_row string, n int, form string, leaf int, root int, spans int, output int, _words int, _held int, position int"
 
 
 def docs_of(spark, rows):
     """(doc_id, text, source) rows with extra columns whose names clash with the operators' own."""
-    return spark.createDataFrame([(i, t, "en", s, len(t or ""), True, "x", 7, "s", 3, 1) for i, t, s in rows], DOCS)
+    return spark.createDataFrame([(i, t, "en", s, len(t or ""), True, "x", 7, "s", 3, 1, "g", 1, 0.5, 2, "t", "c", "r", 4, "f", 5, 6, 7, 8, 9, 10, 11) for i, t, s in rows], DOCS)
 
 
 def words(rng, n):
