@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, fill_middle, hnsw, html_text, licences, merkle, mixing, near_dedup, packing, quality, token_shards, warc
+from . import exact_dedup, fill_middle, hnsw, html_text, licences, merkle, mixing, near_dedup, packing, quality, secrets, token_shards, warc
 from .common import table
 
 
@@ -65,8 +65,12 @@ def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.manifest(table(spark, sf_dir, "documents"))
 
 
+def op13_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_classifier, op2_html_text, op3_hnsw, op4_near_dedup, op5_mixing, op6_licences, op7_best_fit_packing, op8_exact_dedup, op9_warc, op10_token_shards, op11_fill_in_middle, op12_merkle_manifest)}
+    return {f.__name__: f for f in (op1_quality_classifier, op2_html_text, op3_hnsw, op4_near_dedup, op5_mixing, op6_licences, op7_best_fit_packing, op8_exact_dedup, op9_warc, op10_token_shards, op11_fill_in_middle, op12_merkle_manifest, op13_secret_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -74,6 +78,7 @@ def oracle_sql() -> dict[str, str]:
         "op5_mixing": mixing.mix_sql(),
         "op11_fill_in_middle": fill_middle.transform_sql(),
         "op12_merkle_manifest": merkle.manifest_sql(),
+        "op13_secret_scan": secrets.scan_sql(),
         "op6_licences": licences.scan_sql(),
         "op9_warc": r"""
 WITH d AS (SELECT page_id, octet_length(encode(coalesce(html, '')))::BIGINT AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
