@@ -33,6 +33,7 @@ FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: The siblings left and right of the node that leads to a leaf, level by level; digests follow each other in 32 bytes each.
 PATH = "array<struct<left:binary,right:binary>>"
+ANSWER = "doc_id long, leaf string, subroot string, root string, proof_sha256 string, folded_root string, verified boolean"
 
 
 def leaf(fields: Sequence[Column]) -> Column:
@@ -158,12 +159,15 @@ def manifest(docs: DataFrame, *, fields: Sequence[str] = FIELDS, group: str = "s
     key = F.coalesce(F.concat(F.lit("="), F.col(group)), F.lit("-"))  # null first, then by bytes
     rows = docs.select(key.alias("key"), F.col(order).alias("doc_id"), leaf([F.col(f) for f in fields]).alias("digest"), F.when(tampered(F.col(order)), leaf(low)).alias("altered"))
     rows = cut(numbered(cut(rows, "merkle-leaves"), ["doc_id", "digest"]), "merkle-places")
-    rounds, subroots = climb(rows, rows.agg(F.max("m")).first()[0] or 0, height)
+    most = rows.agg(F.max("m")).first()[0]
+    if most is None:
+        return docs.sparkSession.createDataFrame([], ANSWER)
+    rounds, subroots = climb(rows, most, height)
 
     named = numbered(subroots.select(F.lit("").alias("key"), F.col("key").alias("name"), "digest"), ["name"])
     named = cut(named, "merkle-groups")
-    over, top = climb(named, named.agg(F.max("m")).first()[0] or 0, height)
-    root = next((bytes(r.digest) for r in top.collect()), b"")  # a row
+    over, top = climb(named, named.agg(F.max("m")).first()[0], height)
+    root = bytes(top.first().digest)  # the only row
     begin = docs.sparkSession.createDataFrame([("", 0, [], None)], f"key string, block long, path {PATH}, subroot binary")
     kind = pa.list_(pa.struct([("left", pa.binary()), ("right", pa.binary())]))
 
@@ -180,7 +184,7 @@ def manifest(docs: DataFrame, *, fields: Sequence[str] = FIELDS, group: str = "s
 
     groups = descend(over, begin, height)
     paths = cut(_down(over[0], groups, height, f"key string, block long, path {PATH}, subroot binary", of_group), "merkle-paths")
-    return _down(rounds[0], descend(rounds, paths, height), height, "doc_id long, leaf string, subroot string, root string, proof_sha256 string, folded_root string, verified boolean", of_leaf)
+    return _down(rounds[0], descend(rounds, paths, height), height, ANSWER, of_leaf)
 
 
 def manifest_sql(levels: int = 6) -> str:
