@@ -13,18 +13,18 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def running_totals(numbers: Column, block: int = 256) -> Column:
-    """Totals up to and with each number, as longs.
+def _running(numbers: Column, zero: int, join: Callable[[Column, Column], Column], block: int) -> Column:
+    """``join`` of all numbers up to and with each one, as longs; ``zero`` joins to any number without changing it.
 
-    An array that grows is copied at each step, so totals are taken within blocks and the blocks' own totals added: time grows with the
+    An array that grows is copied at each step, so this is done within blocks and then with the blocks' own results: time grows with the
     length, but for a square of length / block.
     """
-    begin = F.array(F.lit(0).cast("long"))
+    begin = F.array(F.lit(zero).cast("long"))
     last = lambda acc: F.element_at(acc, -1)
-    add = lambda acc, x: F.array_append(acc, last(acc) + x)
+    add = lambda acc, x: F.array_append(acc, join(last(acc), x))
 
     def of(blocks: Column) -> Column:
-        total = lambda b: F.aggregate(b, F.lit(0).cast("long"), lambda s, x: s + x)
+        total = lambda b: F.aggregate(b, F.lit(zero).cast("long"), join)
         before = F.slice(F.aggregate(blocks, begin, lambda acc, b: add(acc, total(b))), F.lit(1), F.size(blocks))
         own = lambda b, start: F.slice(F.aggregate(b, F.array(start), add), F.lit(2), F.size(b))
         return F.flatten(F.zip_with(blocks, before, own))
@@ -36,6 +36,16 @@ def running_totals(numbers: Column, block: int = 256) -> Column:
     return let(F.transform(numbers, lambda x: x.cast("long")), cut)
 
 
+def running_totals(numbers: Column, block: int = 256) -> Column:
+    """Totals up to and with each number."""
+    return _running(numbers, 0, lambda a, b: a + b, block)
+
+
+def running_greatest(numbers: Column, block: int = 256) -> Column:
+    """The greatest number up to and with each one."""
+    return _running(numbers, -(1 << 63), lambda a, b: F.greatest(a, b), block)
+
+
 def matches(text: Column, pattern: str) -> Column:
     """The pattern's matches, leftmost and without overlap: array of (start, end, found, before) with places in code points from 0, the
     end exclusive, and the text between the match before and this one. The pattern must not match nothing."""

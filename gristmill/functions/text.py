@@ -36,29 +36,6 @@ def is_in(part: Column, whole: Column) -> Column:
     return F.contains(simplify(whole), simplify(part))
 
 
-def sentences(x: Column, *, mask: bool = True) -> Column:
-    """Trimmed sentences without empty ones: lines, split after . ! ? and closing quotes; a digit's full stop never ends one."""
-    y = F.regexp_replace(x, r"([0-9])\.", "$1" + MASK) if mask else x
-    y = F.regexp_replace(y, rf"([.!?]+[\"')”’]*){SPACE}+", "$1\n")
-    return F.filter(F.transform(F.split(y, "\n"), lambda s: F.replace(strip(s), F.lit(MASK), F.lit("."))), lambda s: s != "")
-
-
-def start_of(sentence: Column, response: Column) -> Column:
-    """Code points before the first occurrence of the sentence."""
-    return F.instr(response, sentence) - 1
-
-
-def up_to(response: Column, sentence: Column) -> Column:
-    """The response up to the end of the sentence's first occurrence."""
-    return F.substring(response, F.lit(1), start_of(sentence, response) + F.length(sentence))
-
-
-def valid_sentence(x: Column) -> Column:
-    """At least 20 characters, with no bracket or colon at either end."""
-    ends = [F.lit(c) for c in ":[](){}"]
-    return (F.length(x) >= 20) & ~F.left(x, F.lit(1)).isin(*ends) & ~F.right(x, F.lit(1)).isin(*ends)
-
-
 def span_targets(starts: Column, labels: Column) -> Column:
     """0/1 for each sentence: a label marks all from the one its start is in to the one its end is in.
 

@@ -7,7 +7,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.text import REFERENCE, any_date, has_link, reference_fields, sentences, strip, strip_markup, without_references
+from ..functions.sentences import sentences
+from ..functions.text import REFERENCE, any_date, has_link, reference_fields, strip, strip_markup, without_references
 
 
 def references(df: DataFrame, key: str, text: str) -> DataFrame:

@@ -7,7 +7,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.arrays import running_greatest
 from ..functions.keys import md5_int
+from ..functions.text import span_targets
 from ..sources.io import work_folder
 from .ranking import global_rank, running_sums, text_number
 
@@ -88,8 +90,13 @@ def _filled_up(short: DataFrame, rows: DataFrame, key: str, group: str, k: int,
 
 
 def spans_to_targets(sentences: DataFrame, labels: DataFrame, key: str) -> DataFrame:
-    """target of each sentence (key, sent_i, start, next_start) from label spans (key, start, end), as an interval join within a key."""
-    s, l = sentences.alias("s"), labels.alias("l")
-    meets = (F.col(f"s.{key}") == F.col(f"l.{key}")) & (F.col("l.start") < F.coalesce("s.next_start", F.lit(1 << 62))) & (F.col("l.end") >= F.col("s.start"))
-    hit = s.join(l, meets, "left_semi").select(key, "sent_i").withColumn("target", F.lit(1))
-    return sentences.join(hit, [key, "sent_i"], "left").withColumn("target", F.coalesce("target", F.lit(0)))
+    """target of each sentence (key, sent_i) from label spans (key, start, end): an interval join within a key.
+
+    ``sentences`` has a row a key with ``starts``; a start before an earlier one counts as that one. A sentence is marked where a label begins before the
+    next one's start and ends at its own start or after. As sentences stand in order, a label marks a run of them, so the spans of a key
+    go to its one row and each finds its run's ends.
+    """
+    d = labels.filter(F.col("start").isNotNull() & F.col("end").isNotNull()).groupBy(F.col(key).alias("_key")).agg(F.collect_list(F.struct(F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"))).alias("_labels"))
+    d = sentences.select(key, running_greatest(F.col("starts")).alias("_starts")).join(d, F.col(key) == F.col("_key"), "left")
+    own = F.filter(F.coalesce("_labels", F.array().cast("array<struct<start:bigint,end:bigint>>")), lambda l: l["end"] >= F.get("_starts", F.lit(0)))
+    return d.select(key, F.posexplode(span_targets(F.col("_starts"), own)).alias("sent_i", "target"))

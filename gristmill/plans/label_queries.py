@@ -150,7 +150,8 @@ def l1_judgement_target(spark, sf):
 @query()
 def l2_judgement_fields(spark, sf):
     """The judge's JSON per sentence, checked against the sentence and the chunk around it."""
-    from ..functions.text import chunk, json_snippet, start_of
+    from ..functions.sentences import start_of
+    from ..functions.text import chunk, json_snippet
     from .text_queries import sentence_rows
 
     d = sentence_rows(spark, sf)

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..functions import sentences as Y
 from ..functions import text as X
 from ..functions.keys import md5_int, md5_sql
-from ..operators import articles, joins
+from ..operators import abbreviations, articles, joins
 from ..sources.io import table
 from .registry import query
 
@@ -18,44 +19,54 @@ def _strip(x: str) -> str:
     return f"regexp_replace(regexp_replace({x}, '^{_SP}+', ''), '{_SP}+$', '')"
 
 
-def _split(m: str) -> str:
-    return rf"""list_filter(list_transform(string_split(regexp_replace({m}, '([.!?]+["'')”’]*){_SP}+', '\1' || chr(10), 'g'), chr(10)), lambda s: replace({_strip('s')}, chr(57344), '.')), lambda s: s <> '')"""
+SENTENCES = f"sen AS (SELECT doc_id, source, text, unnest(l) AS sentence, generate_subscripts(l, 1) - 1 AS sent_i FROM ({Y.sentences_sql('text', 'documents')}))"
+_LEARNED = abbreviations.learn_sql("text", "documents")
+_WITH_LISTS = "(SELECT d.*, short.l AS ab, openers.l AS op FROM documents d, short, openers)"
+_LISTS = {"abbreviations": "ab", "openers": "op"}
 
 
-_MASKED = r"regexp_replace(text, '([0-9])\.', '\1' || chr(57344), 'g')"
-SENTENCES = f"sen AS (SELECT doc_id, source, text, unnest(l) AS sentence, generate_subscripts(l, 1) - 1 AS sent_i FROM (SELECT doc_id, source, text, {_split(_MASKED)} AS l FROM documents))"
-
-
-def sentence_rows(spark, sf):
+def sentence_rows(spark, sf, model=Y.ENGLISH):
     d = table(spark, sf, "documents")
-    return d.select("doc_id", "source", "text", F.posexplode(X.sentences(F.col("text"))).alias("sent_i", "sentence"))
+    return d.select("doc_id", "source", "text", F.posexplode(Y.sentences(F.col("text"), model=model)).alias("sent_i", "sentence"))
 
 
-@query(f"WITH {SENTENCES} SELECT doc_id, sent_i, sentence FROM sen")
+@query(f"WITH {_LEARNED} SELECT doc_id, generate_subscripts(l, 1) - 1 AS sent_i, unnest(l) AS sentence FROM ({Y.sentences_sql('text', _WITH_LISTS, **_LISTS)})")
 def s1_sentences(spark, sf):
-    return sentence_rows(spark, sf).select("doc_id", "sent_i", "sentence")
+    """Sentences by the abbreviations of the corpus itself; lines end them, digits' full stops do not."""
+    return sentence_rows(spark, sf, abbreviations.learn(table(spark, sf, "documents"), "text")).select("doc_id", "sent_i", "sentence")
 
 
-@query(f"SELECT doc_id, {_split('text')} AS sentences FROM documents")
+@query(f"WITH {_LEARNED} SELECT doc_id, l AS sentences FROM ({Y.sentences_sql('text', _WITH_LISTS, mask=False, lines=False, **_LISTS)})")
 def s2_plain_sentences(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", X.sentences(F.col("text"), mask=False).alias("sentences"))
+    """Sentences that may go over lines, by the abbreviations of the corpus itself."""
+    d = table(spark, sf, "documents")
+    return d.select("doc_id", Y.sentences(F.col("text"), mask=False, lines=False, model=abbreviations.learn(d, "text")).alias("sentences"))
+
+
+@query(f"WITH {_LEARNED} SELECT word, n, n_stop, round(ratio, 6) + 0.0 AS ratio, round(score, 6) + 0.0 AS score, coalesce(list_contains((SELECT l FROM short), word), false) AS abbreviation FROM scored")
+def s1_abbreviations(spark, sf):
+    """Word types with and without a final full stop, and the likelihood ratio that tells abbreviations."""
+    d = abbreviations.abbreviation_scores(abbreviations.word_counts(table(spark, sf, "documents"), "text"))
+    known = F.col("word").isin(sorted(Y.KNOWN))
+    return d.select("word", "n", "n_stop", F.round("ratio", 6).alias("ratio"), F.round("score", 6).alias("score"), (known | F.coalesce("listed", F.lit(False))).alias("abbreviation"))
 
 
-def placed_rows(spark, sf, *more):
-    """Sentences with their starts and the response up to each one's end: worked out in the document, so its text is not copied to each row."""
-    d = table(spark, sf, "documents").select("doc_id", "source", "text", X.sentences(F.col("text")).alias("s"))
-    one = lambda x: F.struct(x.alias("sentence"), X.start_of(x, F.col("text")).alias("start"), *[f(x).alias(n) for n, f in more])
-    return d.select("doc_id", "source", F.posexplode(F.transform("s", one)).alias("sent_i", "p")).select("doc_id", "source", "sent_i", "p.*")
+def document_sentences(spark, sf):
+    """Sentences of each document and their places: worked out in its row, so its text is not copied to each sentence."""
+    d = table(spark, sf, "documents").select("doc_id", "source", "text", Y.sentences(F.col("text")).alias("s"))
+    return d.withColumn("starts", Y.starts(F.col("text"), F.col("s")))
 
 
-def _up_to():
-    return ("cum", lambda x: X.up_to(F.col("text"), x))
+def _cumulative(d):
+    one = F.arrays_zip(F.col("s").alias("sentence"), F.col("starts").alias("start"))
+    d = d.select("doc_id", "text", F.posexplode(one).alias("sent_i", "p")).select("doc_id", "text", "sent_i", "p.*")
+    return d.withColumn("cum", F.substring(F.col("text"), F.lit(1), F.col("start") + F.length("sentence")))
 
 
 @query(f"WITH {SENTENCES} SELECT doc_id, sent_i, strpos(text, sentence) - 1 AS start, substr(text, 1, strpos(text, sentence) - 1 + length(sentence)) AS cum FROM sen")
 def s3_s4_cumulative(spark, sf):
     """Starts of sentences and the response up to each one's end; a repeated sentence has the first one's place."""
-    return placed_rows(spark, sf, _up_to()).select("doc_id", "sent_i", "start", "cum")
+    return _cumulative(document_sentences(spark, sf)).select("doc_id", "sent_i", "start", "cum")
 
 
 _CUM = "cum AS (SELECT doc_id, sent_i, substr(text, 1, strpos(text, sentence) - 1 + length(sentence)) AS cum FROM sen)"
@@ -63,7 +74,7 @@ _CUM = "cum AS (SELECT doc_id, sent_i, substr(text, 1, strpos(text, sentence) -
 
 @query(f"WITH {SENTENCES}, {_CUM} SELECT doc_id, sent_i, {_strip('substr(cum, (coalesce(lag(length(cum)) OVER (PARTITION BY doc_id ORDER BY sent_i), 0) + 1)::INT)')} AS sentence FROM cum")
 def s5_decumulate(spark, sf):
-    d = placed_rows(spark, sf, _up_to()).select("doc_id", "sent_i", "cum")
+    d = _cumulative(document_sentences(spark, sf)).select("doc_id", "sent_i", "cum")
     before = F.coalesce(F.lag(F.length("cum")).over(Window.partitionBy("doc_id").orderBy("sent_i")), F.lit(0))
     return d.select("doc_id", "sent_i", X.strip(F.substring(F.col("cum"), before + 1, F.length("cum"))).alias("sentence"))
 
@@ -78,8 +89,7 @@ SELECT doc_id, i AS sent_i, max((i BETWEEN lo AND hi)::INT) AS target FROM (SELE
 )
 def s6_span_targets(spark, sf):
     labels = F.array(F.struct((F.col("doc_id") % 40).alias("start"), (F.col("doc_id") % 40 + F.col("doc_id") % 90).alias("end")), F.struct((150 + F.col("doc_id") % 60).alias("start"), (150 + F.col("doc_id") % 60 + F.col("doc_id") % 25).alias("end")))
-    d = table(spark, sf, "documents").withColumn("s", X.sentences(F.col("text")))
-    d = d.withColumn("starts", F.transform("s", lambda x: X.start_of(x, F.col("text")).cast("long")))
+    d = document_sentences(spark, sf).withColumn("starts", F.col("starts").cast("array<bigint>"))
     return d.select("doc_id", F.posexplode(X.span_targets(F.col("starts"), labels)).alias("sent_i", "target"))
 
 
@@ -88,17 +98,15 @@ def s6_span_targets(spark, sf):
 SELECT doc_id, sent_i, (150 + doc_id % 60 < coalesce(nxt, 1000000000) AND 150 + doc_id % 60 + doc_id % 25 >= start)::INT AS target FROM p"""
 )
 def j7_span_join(spark, sf):
-    """Label spans and sentence spans as two tables joined on an interval."""
-    w = Window.partitionBy("doc_id").orderBy("sent_i")
-    s = placed_rows(spark, sf).select("doc_id", "sent_i", F.max("start").over(w).alias("start"))
-    s = s.withColumn("next_start", F.lead("start").over(w))
+    """Label spans joined to the sentences of their document."""
     l = table(spark, sf, "documents").select("doc_id", (150 + F.col("doc_id") % 60).alias("start"), (150 + F.col("doc_id") % 60 + F.col("doc_id") % 25).alias("end"))
-    return joins.spans_to_targets(s, l, "doc_id").select("doc_id", "sent_i", "target")
+    d = document_sentences(spark, sf).select("doc_id", F.col("starts").cast("array<bigint>").alias("starts"))
+    return joins.spans_to_targets(d, l, "doc_id").select("doc_id", "sent_i", "target")
 
 
 @query(f"WITH {SENTENCES} SELECT doc_id, sent_i FROM sen WHERE length(sentence) >= 20 AND left(sentence, 1) NOT IN (':', '[', ']', '(', ')', '{{', '}}') AND right(sentence, 1) NOT IN (':', '[', ']', '(', ')', '{{', '}}')")
 def s7_valid_sentences(spark, sf):
-    return sentence_rows(spark, sf).filter(X.valid_sentence(F.col("sentence"))).select("doc_id", "sent_i")
+    return sentence_rows(spark, sf).filter(Y.valid_sentence(F.col("sentence"))).select("doc_id", "sent_i")
 
 
 @query(
@@ -110,8 +118,8 @@ def s8_all_sentences(spark, sf):
     sources = table(spark, sf, "documents").filter("lang = 'en'").groupBy("source").agg(F.min("doc_id").alias("first_id"))
     good = joins.only_known(table(spark, sf, "documents"), table(spark, sf, "labels").filter("quality = 1"), "doc_id")
     d = joins.responses_with_sources(good, sources, "source")
-    d = d.select("doc_id", "first_id", F.posexplode(X.sentences(F.col("text"))).alias("sent_i", "sentence"))
-    return d.filter(X.valid_sentence(F.col("sentence"))).select("doc_id", "sent_i", "first_id", "sentence")
+    d = d.select("doc_id", "first_id", F.posexplode(Y.sentences(F.col("text"))).alias("sent_i", "sentence"))
+    return d.filter(Y.valid_sentence(F.col("sentence"))).select("doc_id", "sent_i", "first_id", "sentence")
 
 
 @query("SELECT conv_id, turn, role, (turn > 0)::BOOLEAN AS later, length(text) AS n FROM conversations WHERE text IS NOT NULL")
@@ -210,9 +218,9 @@ def p5_p6_passage_bounds(spark, sf):
 @query()
 def p7_passage_span(spark, sf):
     """The sentence that ends at an anchor, by the text left of it."""
-    d = table(spark, sf, "documents").withColumn("s", X.sentences(F.col("text")))
+    d = table(spark, sf, "documents").withColumn("s", Y.sentences(F.col("text")))
     own = F.get("s", F.least(F.lit(1), F.size("s") - 1))  # the second, or the only one
-    anchor = F.coalesce(X.start_of(own, F.col("text")) + F.length(own), F.lit(0))
+    anchor = F.coalesce(Y.start_of(own, F.col("text")) + F.length(own), F.lit(0))
     return d.select("doc_id", articles.span_in("text", "s", anchor).alias("x")).select("doc_id", "x.start", "x.end")
 
 

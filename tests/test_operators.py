@@ -11,9 +11,10 @@ from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from gristmill.functions import labels as L
+from gristmill.functions import sentences as Y
 from gristmill.functions import text as X
 from gristmill.functions import vectors as V
-from gristmill.operators import articles, joins, metrics, models, reports, sampling
+from gristmill.operators import abbreviations, articles, joins, metrics, models, reports, sampling
 from gristmill.operators.ranking import global_rank, rank_by_group, running_sums
 
 
@@ -88,11 +89,11 @@ def test_mistakes(spark):
     ],
 )
 def test_sentences(spark, text, want):
-    assert one(spark, text, X.sentences) == want
+    assert one(spark, text, Y.sentences) == want
 
 
 def test_sentences_of_null(spark):
-    assert one(spark, None, X.sentences) is None
+    assert one(spark, None, Y.sentences) is None
 
 
 @pytest.mark.parametrize(
@@ -105,10 +106,68 @@ def test_span_targets(spark, labels, want):
 
 
 def test_span_join_equals_expression(spark):
-    s = spark.createDataFrame([(1, 0, 0, 10), (1, 1, 10, 20), (1, 2, 20, None), (2, 0, 0, None)], "k long, sent_i int, start long, next_start long")
-    l = spark.createDataFrame([(1, 2, 10), (3, 0, 5)], 'k long, start long, `end` long')
+    s = spark.createDataFrame([(1, [0, 10, 20]), (2, [0]), (3, [5, 40, 30, 60]), (4, [10, 20])], "k long, starts array<long>")
+    l = spark.createDataFrame([(1, 2, 10), (9, 0, 5), (3, 45, 46), (4, 0, 5), (4, None, 9), (None, 1, 2)], "k long, start long, `end` long")
     got = {(r.k, r.sent_i): r.target for r in joins.spans_to_targets(s, l, "k").collect()}
-    assert got == {(1, 0): 1, (1, 1): 1, (1, 2): 0, (2, 0): 0}
+    assert got == {(1, 0): 1, (1, 1): 1, (1, 2): 0, (2, 0): 0, (3, 0): 0, (3, 1): 0, (3, 2): 1, (3, 3): 0, (4, 0): 0, (4, 1): 0}
+
+
+@pytest.mark.parametrize(
+    "text,want",
+    [
+        ("Dr. Smith met Mr. J. R. Jones at 5 p.m. in St. Louis, e.g. on Mondays. It rained.", ["Dr. Smith met Mr. J. R. Jones at 5 p.m. in St. Louis, e.g. on Mondays.", "It rained."]),
+        ("He came at 5 p.m. The shop was shut.", ["He came at 5 p.m.", "The shop was shut."]),
+        ("Acme Inc. The end", ["Acme Inc.", "The end"]),
+        ('She asked "Dr. Who?" twice. (Prof. X did not.) No', ['She asked "Dr. Who?"', "twice.", "(Prof. X did not.)", "No"]),
+        ("See vol.\nNext line", ["See vol.", "Next line"]),
+        ("Wait... Then go.", ["Wait...", "Then go."]),
+        ("Drift etc. Smith left.", ["Drift etc. Smith left."]),
+    ],
+)
+def test_sentences_after_abbreviations(spark, text, want):
+    assert one(spark, text, Y.sentences) == want
+
+
+def test_sentences_over_lines(spark):
+    split = lambda x: Y.sentences(x, mask=False, lines=False)
+    assert one(spark, "A heading\nand more. It was 2024. Then\nit rained.\nEnd", split) == ["A heading\nand more.", "It was 2024.", "Then\nit rained.", "End"]
+
+
+def test_learned_abbreviations(spark):
+    """A short word that hardly ever stands without its full stop is an abbreviation; sentence ends and rare words are not; words that begin sentences end one."""
+    nouns = ["Haus", "Baum", "Weg", "Fluss", "Berg", "Stadt"]
+    rows = [(f"Gestern kam {nouns[i % 6]} zu str. {nouns[i % 5]} und abt. {nouns[i % 4]} mit. Danach ging man mit {nouns[i % 3]}. Danach nahm der {nouns[i % 6]} den {nouns[(i + 1) % 6]} mit.",) for i in range(300)]
+    texts = spark.createDataFrame([*rows, ("Selten xq. Einmal",), (None,), ("",)], "text string")
+    model = abbreviations.learn(texts, "text")
+    assert model.abbreviations - Y.KNOWN == {"str", "abt"} and model.openers - Y.OPENERS == {"danach"}
+    got = one(spark, "Er wohnt in der str. Baum 4. Dort abt. Danach kam er.", lambda x: Y.sentences(x, model=model))
+    assert got == ["Er wohnt in der str. Baum 4. Dort abt.", "Danach kam er."]
+    assert abbreviations.learn(texts.limit(0), "text") == Y.ENGLISH
+
+
+def test_starts_of_sentences(spark, monkeypatch):
+    """The first place of each sentence, also inside another one before; the automaton and the plain search agree."""
+    texts = ["Yes. He said yes. Yes. No", "aa. a. aa. a.", "x\ny\nx", "\U0001f600 A. \U0001f600 A. B", "", None]
+    d = spark.createDataFrame([(t,) for t in texts], "t string").select("t", Y.sentences(F.col("t")).alias("s"))
+    want = [None if r.t is None else [r.t.find(s) for s in r.s] for r in d.collect()]
+    assert [r.p for r in d.select(Y.starts(F.col("t"), F.col("s")).alias("p")).collect()] == want
+    monkeypatch.setattr(Y, "DIRECT", -1)
+    assert [r.p for r in d.select(Y.starts(F.col("t"), F.col("s")).alias("p")).collect()] == want
+
+
+def test_starts_in_linear_time(spark):
+    import time
+
+    took = []
+    for n in (20_000, 80_000):
+        text = " ".join(f"This is sentence number {i * 7919 % n} of the text." for i in range(n))
+        d = spark.createDataFrame([(text,)], "t string").select("t", Y.sentences(F.col("t")).alias("s"))
+        d.select(Y.starts(F.col("t"), F.col("s"))).collect()
+        began = time.perf_counter()
+        (r,) = d.select(F.col("s"), Y.starts(F.col("t"), F.col("s")).alias("p")).collect()
+        took.append(time.perf_counter() - began)
+        assert len(r.p) == n and all(r.p[k] == text.find(r.s[k]) for k in range(0, n, n // 50))
+    assert took[1] < 9 * took[0] + 1, took
 
 
 def test_simplify_and_containment(spark):
