@@ -26,6 +26,8 @@ OPENING, CLOSING = "\"'(\\[{“‘«", "\"')\\]}”’»"
 STOP = rf"([.!?]+[\"')”’]*)({SPACE}+)"
 #: Stands for a place where a sentence may end, and for one where it does.
 CUT = "\ue001"
+#: An abbreviation with what stands around it is looked for in so many of the last characters.
+LONGEST = 24
 _LAST = rf"(?:^|[^\p{{L}}\p{{N}}.])(\p{{L}}+(?:\.\p{{L}}+)*)\.[\"')”’]*{SPACE}*$"
 _NEXT = rf"^[{OPENING}]*(\p{{Lu}}\p{{L}}*)"
 #: Initials, and letters with full stops between, are abbreviations by their form.
@@ -53,9 +55,8 @@ def sentences(x: Column, *, mask: bool = True, lines: bool = True, model: Senten
     within = lambda w, known: w.isin(sorted(known)) if known else F.lit(False)
 
     def goes_on(piece: Column, after: Column) -> Column:
-        last = F.regexp_extract(piece, _LAST, 1)
-        short = (last != "") & (F.regexp_like(last, F.lit(_FORM)) | within(F.lower(last), model.abbreviations))
-        return short & ~within(F.lower(F.regexp_extract(after, _NEXT, 1)), model.openers)
+        short = lambda last: (last != "") & (F.regexp_like(last, F.lit(_FORM)) | within(F.lower(last), model.abbreviations))
+        return let(F.regexp_extract(F.right(piece, F.lit(LONGEST)), _LAST, 1), short) & ~within(F.lower(F.regexp_extract(after, _NEXT, 1)), model.openers)
 
     end = "\n" if lines else CUT
     joined = lambda ps: F.transform(ps, lambda p, i: F.concat(p, F.when(goes_on(p, F.coalesce(F.get(ps, i + 1), F.lit(""))), F.lit("")).otherwise(F.lit(end))))
@@ -70,7 +71,7 @@ def sentences_sql(x: str, source: str, *, mask: bool = True, lines: bool = True,
     listed = lambda words: "[" + ", ".join(f"'{w}'" for w in sorted(words)) + "]"
     y = rf"regexp_replace({x}, '([0-9])\.', '\1' || chr(57344), 'g')" if mask else x
     cut, end = "chr(57345)", "chr(10)" if lines else "chr(57345)"
-    last = f"regexp_extract(p, '{quote(_LAST)}', 1)"
+    last = f"regexp_extract(right(p, {LONGEST}), '{quote(_LAST)}', 1)"
     after = f"lower(regexp_extract(coalesce(ps[i + 1], ''), '{quote(_NEXT)}', 1))"
     goes_on = f"{last} <> '' AND (regexp_matches({last}, '{_FORM}') OR list_contains({abbreviations or listed(KNOWN)}, lower({last}))) AND NOT list_contains({openers or listed(OPENERS)}, {after})"
     stripped = f"regexp_replace(regexp_replace(s, '^{SPACE}+', ''), '{SPACE}+$', '')"
@@ -79,7 +80,7 @@ FROM (SELECT *, string_split(regexp_replace({y}, '{quote(STOP)}', '\1\2' || {cut
 
 
 #: Sentences times characters up to which each sentence is looked for on its own.
-DIRECT = 1 << 24
+DIRECT = 1 << 18
 
 
 @F.pandas_udf(T.ArrayType(T.IntegerType()))
@@ -106,7 +107,7 @@ def starts(response: Column, own: Column) -> Column:
     """Code points before the first occurrence of each sentence, -1 where there is none.
 
     A sentence that stands in the text before, on its own or inside another one, has that place. Looking for each from the beginning takes
-    the square of the length, so long texts are read once by an automaton of all their sentences.
+    the square of the length, so long texts are read once by an automaton of all their sentences. Both arguments are columns of a table, not expressions.
     """
     long = F.size(own).cast("long") * F.length(response) > DIRECT
     return F.coalesce(_first_places(F.when(long, response), F.when(long, own)), F.transform(own, lambda s: F.instr(response, s) - 1))

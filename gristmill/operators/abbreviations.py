@@ -54,7 +54,7 @@ def abbreviation_scores(counts: DataFrame) -> DataFrame:
 def opener_scores(texts: DataFrame, text: str, abbreviations: frozenset[str]) -> DataFrame:
     """word, n, n_first (in capitals after a full stop that is no abbreviation's), ratio and ``listed``: it stands there more often than by chance."""
     known = sorted(abbreviations)
-    ends = lambda t: F.regexp_like(t, F.lit(TYPE)) & F.endswith(t, F.lit(".")) & ~_bare(t).isin(known) & ~F.regexp_like(t, F.lit(r"^(\p{Lu}|\p{L}(\.\p{L})+)\.$"))
+    ends = lambda t: F.endswith(t, F.lit(".")) & F.regexp_like(t, F.lit(TYPE)) & ~_bare(t).isin(known) & ~F.regexp_like(t, F.lit(r"^(\p{Lu}|\p{L}(\.\p{L})+)\.$"))
     pairs = lambda ts: F.transform(ts, lambda t, i: F.struct(t.alias("t"), F.coalesce(ends(F.get(ts, i - 1)) & F.regexp_like(t, F.lit(r"^\p{Lu}")), F.lit(False)).alias("first")))
     d = texts.select(F.explode(let(_tokens(F.col(text)), pairs)).alias("x")).select("x.*").filter(F.regexp_like("t", F.lit(TYPE)))
     counts = d.groupBy(_bare(F.col("t")).alias("word")).agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("first"), 1)).alias("n_first"))

@@ -1,6 +1,5 @@
 """Operators on hand-made rows: truth tables, quirks, properties, dirty input."""
 
-import inspect
 import itertools
 import random
 import re
@@ -481,42 +480,62 @@ def test_clusters_have_equal_classes(spark):
 
 def test_perceptron_gradients():
     rng = np.random.default_rng(3)
-    model = models.Perceptron.new([5, 7, 4, 1], rng)
+    sizes = [5, 7, 4, 1]
+    flat = models.Perceptron.new(sizes, rng).flat()
     x, y = rng.normal(size=(11, 5)), (rng.random(11) < 0.5).astype(float)
-    for p, g in zip(model.parameters(), model.gradients(x, y)):
-        for at in [tuple(rng.integers(n) for n in p.shape) for _ in range(4)]:
-            kept, loss = p[at], []
-            for step in (1e-5, -1e-5):
-                p[at] = kept + step
-                loss.append(models.validate(model, x, y)[0])
-            p[at] = kept
-            assert abs((loss[0] - loss[1]) / 2e-5 - g[at]) < 1e-6
+    g = models.Perceptron.of(sizes, flat).gradient(x, y)
+    for at in rng.integers(len(flat), size=30):
+        loss = []
+        for step in (1e-5, -1e-5):
+            moved = flat.copy()
+            moved[at] += step
+            loss.append(models.losses(models.Perceptron.of(sizes, moved), x, y)[0])
+        assert abs((loss[0] - loss[1]) / 2e-5 - g[at]) < 1e-5
 
 
 def test_perceptron_learns_stops_and_keeps_the_best():
     rng = np.random.default_rng(4)
-    x = rng.normal(size=(600, 6))
+    x, ids, training = rng.normal(size=(600, 6)), np.arange(600), np.arange(600) < 400
     y = (x[:, 0] + x[:, 1] * x[:, 2] > 0).astype(float)
-    model, ran, loss, right = models.fit(x[:400], y[:400], x[400:], y[400:], hidden=(16, 8), epochs=200, patience=20, rate=0.01, dropout=0.0)
-    assert right > 0.85 and models.validate(model, x[400:], y[400:]) == (loss, right)
+    check = lambda r, y: models.losses(models.Perceptron.of([6, 16, 8, 1], r.best), x[400:], y[400:]) / 200
+    (r,) = models.fit(x, y, ids, training, hidden=(16, 8), settings=models.Settings(epochs=200, patience=20, rate=0.01, dropout=0.0, batches=12))
+    assert r.least[1] > 0.85 and np.allclose(check(r, y)[:2], r.least)
     noise = (rng.random(600) < 0.5).astype(float)
-    model, ran, loss, _ = models.fit(x[:400], noise[:400], x[400:], noise[400:], hidden=(16, 8), epochs=200, patience=5, rate=0.01)
-    assert ran < 100 and models.validate(model, x[400:], noise[400:])[0] == loss
-    again = models.Perceptron.from_bytes(model.to_bytes())
-    assert (again.score(x) == model.score(x)).all()
-    given = {k: v.default for k, v in inspect.signature(models.fit).parameters.items() if v.default is not v.empty}
-    assert given == {"hidden": (256, 128, 64), "epochs": 800, "patience": 30, "rate": 2.5e-6, "decay": 1e-5, "dropout": 0.15, "batch": 32, "seed": 432}
-
-
-def test_perceptron_runs(spark):
+    (r,) = models.fit(x, noise, ids, training, hidden=(16, 8), settings=models.Settings(epochs=200, patience=5, rate=0.01, batches=12))
+    assert r.epochs < 100 and np.allclose(check(r, noise)[:2], r.least)
+    model = models.Perceptron.of([6, 16, 8, 1], r.best)
+    assert (models.Perceptron.from_bytes(model.to_bytes()).score(x) == model.score(x)).all()
+    assert models.Settings() == models.Settings(epochs=800, patience=30, rate=2.5e-6, decay=1e-5, dropout=0.15, batches=1, seed=432) and models.HIDDEN == (256, 128, 64)
+
+
+def test_perceptron_draws():
+    """Batches part the rows of an epoch; dropout leaves out its share, another one in each step."""
+    ids = np.arange(5000, dtype=np.int64) * 7919
+    batches = models.draws(ids, 432, 0, 3, 1) % np.uint64(10)
+    assert np.bincount(batches.astype(int), minlength=10).min() > 400 and (batches != models.draws(ids, 432, 0, 4, 1) % np.uint64(10)).mean() > 0.8
+    kept = models.kept_inputs(ids[:1000], 20, 0.15, 432, 0, 1, 2)
+    assert abs(kept.mean() - 0.85) < 0.01 and abs(kept.mean(axis=0) - 0.85).max() < 0.06
+    assert (kept != models.kept_inputs(ids[:1000], 20, 0.15, 432, 0, 2, 2)).any()
+
+
+@pytest.mark.parametrize("batches", [1, 3])
+def test_training_over_executors_equals_one_process(spark, batches):
+    """However rows are dealt, the models are those of the same training on arrays."""
     rng = random.Random(5)
-    d = spark.createDataFrame([(i, [rng.gauss(0, 1) for _ in range(3)], i % 2, "train" if i % 4 else "val") for i in range(80)] + [(99, None, 1, "train"), (100, [0.0, 0.0, 0.0], None, "test")], "k long, features array<float>, y int, split string")
-    found = models.train(d.filter("split = 'train'"), d.filter("split = 'val'"), "k", runs=3, epochs=2, hidden=(4,)).cache()
-    assert sorted(r.run for r in found.collect()) == [0, 1, 2] and len({bytes(r.model) for r in found.collect()}) == 3
-    scores = models.predict(found, d.filter("features is not null")).collect()
-    assert len(scores) == 3 * 81 and all(0 < r.score < 1 for r in scores)
-    x, y = models.sample(d, "k", 10)
-    assert x.shape == (10, 3) and len(y) == 10
+    rows = [(i, [rng.gauss(i % 2, 1) for _ in range(3)], i % 2, "train" if i % 4 else "val") for i in range(200)]
+    d = spark.createDataFrame([*rows, (900, None, 1, "train"), (901, [0.0, 0.0, 0.0], None, "test"), (902, [1.0], 1, "train"), (903, [], 0, "val")], "k long, features array<float>, y int, split string").repartition(7)
+    options = {"epochs": 4, "rate": 0.01, "batches": batches}
+    found = {r.run: r for r in models.train(d.filter("split = 'train'"), d.filter("split = 'val'"), "k", runs=2, hidden=(6, 4), **options).collect()}
+    used = sorted(d.filter("size(features) = 3 and y is not null").select("features", "y", F.xxhash64("k").alias("h"), "split").collect(), key=lambda r: r.h)
+    x, y = np.array([r.features for r in used], float), np.array([r.y for r in used], float)
+    plain = models.fit(x, y, np.array([r.h for r in used]), np.array([r.split == "train" for r in used]), hidden=(6, 4), settings=models.Settings(**options), runs=2)
+    assert sorted(found) == [0, 1]
+    for r in plain:
+        assert np.allclose(models.Perceptron.from_bytes(bytes(found[r.number].model)).flat(), r.best, atol=1e-10)
+        assert found[r.number].epochs == r.epochs and np.allclose((found[r.number].val_loss, found[r.number].val_accuracy), r.least)
+    scores = models.predict(models.train(d.filter("split = 'train'"), d.filter("k < 0"), "k", runs=2, hidden=(4,), epochs=1), d.filter("size(features) = 3")).collect()
+    assert len(scores) == 2 * 201 and all(0 < r.score < 1 for r in scores)
+    assert models.train(d.limit(0), d.limit(0), "k").collect() == []
 
 
 @pytest.mark.parametrize("most", [0, 1, 5, 4095, 8191])
