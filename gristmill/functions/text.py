@@ -9,6 +9,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .arrays import without_nested, without_nested_sql
+
 SPACE = r"[\s\p{Z}]"
 #: Stands for the full stop after a digit while sentences are split.
 MASK = "\ue000"
@@ -82,13 +84,11 @@ def has_link(x: Column) -> Column:
     return F.contains(x, F.lit("[[")) & F.contains(x, F.lit("]]"))
 
 
-#: How deep templates and links may stand in each other.
-DEPTH = 6
 #: Fixed: character references that are decoded, the last one last.
 ENTITIES = (("&nbsp;", "\u00a0"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&amp;", "&"))
+_COMMENTS = (r"(?s)<!--.*?-->", "")
+_ARGUMENTS = (r"\{\{\{[^{}]*\}\}\}", "")
 _MARKUP = (
-    (r"(?s)<!--.*?-->", ""),
-    *[(r"\{\{[^{}]*\}\}", "")] * DEPTH,
     (r"<[^<>]*>|'{2,}", ""),
     *[(r"\[\[(?:[^\[\]|]*\|)?([^\[\]]*)\]\]", "$1")] * 3,
     (r"\[(?:https?:)?//[^\s\]]+\]", ""),
@@ -99,7 +99,10 @@ _LINES = ((r"\n{3,}", "\n\n"), (r"^\n+", ""), (r"\n+$", ""))
 
 
 def strip_markup(x: Column, *, headings: bool = True) -> Column:
-    """Readable text of wikitext or HTML: templates in templates, comments, tags and emphasis go, links leave what stands behind their target, headings their title."""
+    """Readable text of wikitext or HTML: templates to any depth, comments, tags and emphasis go, links (in links, three deep) leave what stands behind their target, headings their title."""
+    for form, to in (_COMMENTS, _ARGUMENTS):
+        x = F.regexp_replace(x, form, to)
+    x = without_nested(x, "{{", "}}")
     for form, to in (*_MARKUP, *([_HEADINGS] if headings else [])):
         x = F.regexp_replace(x, form, to)
     for name, to in ENTITIES:
@@ -111,6 +114,9 @@ def strip_markup(x: Column, *, headings: bool = True) -> Column:
 
 def strip_markup_sql(x: str) -> str:
     quote = lambda t: t.replace("'", "''")
+    for form, to in (_COMMENTS, _ARGUMENTS):
+        x = f"regexp_replace({x}, '{form}', '', 'g')"
+    x = without_nested_sql(x, "{{", "}}")
     for form, to in (*_MARKUP, _HEADINGS):
         x = f"regexp_replace({x}, '{quote(form)}', '{to.replace('$', chr(92))}', 'g')"
     for name, to in ENTITIES:

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
+from ..functions.arrays import least_where, let
 from ..functions.sentences import sentences
 from ..functions.text import REFERENCE, any_date, has_link, reference_fields, strip, strip_markup, without_references
+from ..sources.io import work_folder
 
 
 def references(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -44,59 +44,47 @@ def references(df: DataFrame, key: str, text: str) -> DataFrame:
     return kept.join(defined, [key, "name"], "left").select(key, "i", "name", "starts_at", "ends_at", "anchor_index", values.alias("values"), "duplicate")
 
 
-def _unique(article: str, part) -> int | None:
-    """The least length at which the part occurs at most once; the count falls with the length, so by bisection."""
-    lo, hi = 1, part(None) - 1
-    if hi < 1 or article.count(part(hi)) > 1:
-        return None
-    while lo < hi:
-        mid = (lo + hi) // 2
-        lo, hi = (lo, mid) if article.count(part(mid)) <= 1 else (mid + 1, hi)
-    return lo
+def _places(part: Column, whole: Column) -> Column:
+    """How often a text that is not empty stands in another, without overlap."""
+    return (F.length(whole) - F.length(F.replace(whole, part))) / F.length(part)
 
 
-def passage_start(article: str, candidate: str) -> int | None:
-    """Where the shortest proper beginning of the candidate that is unique in the article stands."""
-    n = _unique(article, lambda i: len(candidate) if i is None else candidate[:i])
-    at = -1 if n is None else article.find(candidate[:n])
-    return at if at >= 0 else None
+def _tail(text: Column, n: Column) -> Column:
+    return F.substring(text, F.length(text) - n + 1, n)
 
 
-def passage_end(article: str, candidate: str) -> int | None:
-    """Where the shortest proper ending of the candidate that is unique in the article ends."""
-    n = _unique(article, lambda i: len(candidate) if i is None else candidate[-i:])
-    at = -1 if n is None else article.find(candidate[-n:])
-    return at + n if at >= 0 else None
+def start_in(article: Column, candidate: Column) -> Column:
+    """Where the shortest proper beginning of the candidate that stands in the article once at most does; null if nowhere.
 
-
-def passage_span(article: str, candidates: list[str], anchor: int) -> tuple[int | None, int | None]:
-    """Narrow the candidates by ever more text left of the anchor until one is left; an offset of 0 counts as not found."""
-    for width in range(1, anchor + 1):
-        candidates = [c for c in candidates if article[anchor - width : anchor] in c]
-        if len(candidates) == 1:
-            start = passage_start(article, candidates[0])
-            if not start:
-                return None, None
-            return start, anchor if start + len(candidates[0]) == anchor else passage_end(article, candidates[0])
-        if not candidates:
-            break
-    return None, None
+    The longer a part, the more seldom it stands there, so its length is found by bisection.
+    """
+    part = lambda c, n: F.substring(c, F.lit(1), n)
+    least = lambda c: least_where(F.lit(1), F.length(c) - 1, lambda n: _places(part(c, n), article) <= 1)
+    at = lambda c: let(least(c), lambda n: F.nullif(F.instr(article, part(c, n)), F.lit(0)) - 1)
+    return let(candidate, at)
 
 
-@F.pandas_udf(T.IntegerType())
-def start_in(article: pd.Series, candidate: pd.Series) -> pd.Series:
-    return pd.Series([None if a is None or c is None else passage_start(a, c) for a, c in zip(article, candidate)], dtype="Int32")
+def end_in(article: Column, candidate: Column) -> Column:
+    """Where the shortest proper ending of the candidate that stands in the article once at most ends; null if nowhere."""
+    least = lambda c: least_where(F.lit(1), F.length(c) - 1, lambda n: _places(_tail(c, n), article) <= 1)
+    at = lambda c: let(least(c), lambda n: F.nullif(F.instr(article, _tail(c, n)), F.lit(0)) - 1 + n)
+    return let(candidate, at)
 
 
-@F.pandas_udf(T.IntegerType())
-def end_in(article: pd.Series, candidate: pd.Series) -> pd.Series:
-    return pd.Series([None if a is None or c is None else passage_end(a, c) for a, c in zip(article, candidate)], dtype="Int32")
+def span_in(article: Column, candidates: Column, anchor: Column) -> Column:
+    """(start, end) of the candidate that an anchor belongs to: the one that holds the text left of it, as much as it takes to
+    leave one at most. An offset of 0 counts as not found. Fewer candidates hold more text, so the width is found by bisection."""
+    left = lambda w: F.substring(article, anchor - w + 1, w)
+    holding = lambda w: let(left(w), lambda t: F.filter(candidates, lambda c: F.contains(c, t)))
+    longest = F.coalesce(F.array_max(F.transform(candidates, lambda c: F.length(c))), F.lit(0))
+    width = least_where(F.lit(1), F.least(anchor, longest + 1), lambda w: F.size(holding(w)) <= 1)
+    none = F.lit(None).cast("int")
 
+    def place(own: Column) -> Column:
+        ends = lambda start: F.when(start > 0, F.struct(start.alias("start"), F.when(start + F.length(own) == anchor, anchor).otherwise(end_in(article, own)).cast("int").alias("end"))).otherwise(F.struct(none.alias("start"), none.alias("end")))
+        return let(start_in(article, own).cast("int"), ends)
 
-@F.pandas_udf(T.StructType().add("start", T.IntegerType()).add("end", T.IntegerType()))
-def span_in(article: pd.Series, candidates: pd.Series, anchor: pd.Series) -> pd.DataFrame:
-    rows = [(None, None) if a is None or c is None or k != k else passage_span(a, list(c), int(k)) for a, c, k in zip(article, candidates, anchor)]
-    return pd.DataFrame({"start": pd.Series([r[0] for r in rows], dtype="Int32"), "end": pd.Series([r[1] for r in rows], dtype="Int32")})
+    return let(let(width, lambda w: F.get(holding(w), F.lit(0))), place)
 
 
 def date_field(values: Column, name: str) -> Column:
@@ -117,18 +105,32 @@ def assemble(df: DataFrame, key: str, wikitext: str) -> DataFrame:
     """Wikitext to cited passages: (key, start, end, contains_article, earliest dates, references) in the readable content.
 
     Each reference is led to the sentence that ends at its anchor; references of one sentence make a passage,
-    whose place in the content without markup is found by its unique beginning and ending.
+    whose place in the content without markup is found by its unique beginning and ending. An article's anchors are settled in its one row:
+    its texts are read there, never copied to a reference and never part of a key. The key tells articles apart.
     """
-    w = F.col(wikitext)
-    d = df.select(key, w.alias("_w"), sentences(without_references(w)).alias("_s"), strip_markup(without_references(w), headings=False).alias("content"))
-    refs = references(df, key, wikitext).join(d, key).withColumn("_span", span_in("_w", "_s", "anchor_index"))
-    found = refs.filter("_span.start > 0 and _span.end > 0")
-    place = found.select(key, "i", "values", "content", F.col("_span.start").alias("_a"), F.col("_span.end").alias("_b"), F.substring(F.col("_w"), F.col("_span.start") + 1, F.col("_span.end") - F.col("_span.start")).alias("_t"))
-    grouped = passages(place, [key, "_a", "_b", "_t", "content"])
-    plain = without_references(F.col("_t"))
-    grouped = grouped.withColumn("contains_article", has_link(plain)).withColumn("_p", strip(strip_markup(plain)))
-    grouped = grouped.withColumn("start", start_in("content", "_p")).withColumn("end", end_in("content", "_p"))
-    return grouped.filter("start is not null and end is not null").drop("_a", "_b", "_t", "_p", "content")
+    path = work_folder(df.sparkSession, "references")
+    references(df, key, wikitext).write.parquet(path)  # read twice
+    refs = df.sparkSession.read.parquet(path)
+    anchors = refs.groupBy(F.col(key).alias("_key")).agg(F.array_sort(F.collect_set("anchor_index")).alias("_anchors"))
+    d = df.select(key, F.col(wikitext).alias("_w")).join(anchors, F.col(key) == F.col("_key"))
+    bare = without_references(F.col("_w"))
+    d = d.select(key, "_w", "_anchors", sentences(bare).alias("_s"), strip_markup(bare, headings=False).alias("_content"))
+    spans = F.transform("_anchors", lambda a: F.struct(a.alias("anchor"), span_in(F.col("_w"), F.col("_s"), a).alias("span")))
+    d = d.select(key, "_w", "_content", F.filter(spans, lambda x: (x["span"]["start"] > 0) & (x["span"]["end"] > 0)).alias("_spans"))
+
+    def placed(span: Column) -> Column:
+        """A passage's place in the content, and whether it has links."""
+        plain = without_references(F.substring(F.col("_w"), span["start"] + 1, span["end"] - span["start"]))
+        of = lambda t: F.struct(span.alias("span"), has_link(t).alias("contains_article"), let(strip(strip_markup(t)), lambda p: F.struct(start_in(F.col("_content"), p).alias("start"), end_in(F.col("_content"), p).alias("end"))).alias("at"))
+        return let(plain, of)
+
+    d = d.select(key, "_spans", F.transform(F.array_distinct(F.transform("_spans", lambda x: x["span"])), placed).alias("_placed"))
+    found = d.select(F.col(key).alias("_key"), F.explode_outer("_spans").alias("_x"), "_placed")  # the plain explode is planned with a filter that works all spans out again
+    own = F.get(F.filter("_placed", lambda p: p["span"] == F.col("_x")["span"]), F.lit(0))
+    found = found.select("_key", F.col("_x.anchor").alias("_anchor"), F.col("_x.span").alias("_span"), own.alias("_p")).filter("_anchor is not null and _p.at.start is not null and _p.at.end is not null")
+    found = found.select("_key", "_anchor", "_span", F.col("_p.at.start").alias("start"), F.col("_p.at.end").alias("end"), F.col("_p.contains_article").alias("contains_article"))
+    rows = refs.join(found, (F.col(key) == F.col("_key")) & (F.col("anchor_index") == F.col("_anchor")))
+    return passages(rows.select(key, "i", "values", "_span", "start", "end", "contains_article"), [key, "_span", "start", "end", "contains_article"]).drop("_span")
 
 
 def useful_passages(passage_data: Column, cutoff: Column, least: int = 50) -> Column:

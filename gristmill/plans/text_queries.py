@@ -212,16 +212,31 @@ CASE WHEN b IS NOT NULL THEN nullif(strpos(text, substr(passage, (length(passage
 def p5_p6_passage_bounds(spark, sf):
     """Where the shortest beginning and ending of a passage that are unique in the document stand."""
     d = table(spark, sf, "documents").select("doc_id", "text", F.substring("text", 30, 60).alias("passage"))
-    return d.select("doc_id", articles.start_in("text", "passage").alias("start"), articles.end_in("text", "passage").alias("end"))
+    return d.select("doc_id", articles.start_in(F.col("text"), F.col("passage")).alias("start"), articles.end_in(F.col("text"), F.col("passage")).alias("end"))
 
 
-@query()
+def _bounds_sql(source: str) -> str:
+    """start and end of ``passage`` in ``text`` by its shortest unique beginning and ending."""
+    return f"""SELECT *, CASE WHEN a IS NOT NULL THEN nullif(strpos(text, substr(passage, 1, a::INT)), 0) - 1 END AS p_start, CASE WHEN b IS NOT NULL THEN nullif(strpos(text, substr(passage, (length(passage) - b + 1)::INT)), 0) - 1 + b END AS p_end
+FROM (SELECT *, {_least_sql("substr(passage, 1, i::INT)")} AS a, {_least_sql("substr(passage, (length(passage) - i + 1)::INT)")} AS b FROM {source})"""
+
+
+_OWN = "l[least(2, len(l))]"
+
+
+@query(
+    f"""WITH d AS (SELECT doc_id, text, l, coalesce(strpos(text, {_OWN}) - 1 + length({_OWN}), 0) AS anchor FROM ({Y.sentences_sql("text", "documents")})),
+c AS (SELECT *, list_filter(range(1, least(anchor, list_max(list_transform(l, lambda s: length(s))) + 1) + 1), lambda w: len(list_filter(l, lambda s: contains(s, substr(text, (anchor - w + 1)::INT, w::INT)))) <= 1)[1] AS w FROM d),
+s AS (SELECT *, CASE WHEN w IS NOT NULL THEN list_filter(l, lambda s: contains(s, substr(text, (anchor - w + 1)::INT, w::INT)))[1] END AS passage FROM c),
+b AS ({_bounds_sql("s")})
+SELECT doc_id, nullif(p_start, 0)::INT AS start, CASE WHEN p_start > 0 THEN CASE WHEN p_start + length(passage) = anchor THEN anchor ELSE p_end END END::INT AS "end" FROM b"""
+)
 def p7_passage_span(spark, sf):
     """The sentence that ends at an anchor, by the text left of it."""
-    d = table(spark, sf, "documents").withColumn("s", Y.sentences(F.col("text")))
+    d = table(spark, sf, "documents").select("doc_id", "text", Y.sentences(F.col("text")).alias("s"))
     own = F.get("s", F.least(F.lit(1), F.size("s") - 1))  # the second, or the only one
-    anchor = F.coalesce(Y.start_of(own, F.col("text")) + F.length(own), F.lit(0))
-    return d.select("doc_id", articles.span_in("text", "s", anchor).alias("x")).select("doc_id", "x.start", "x.end")
+    d = d.withColumn("anchor", F.coalesce(Y.start_of(own, F.col("text")) + F.length(own), F.lit(0)))
+    return d.select("doc_id", articles.span_in(F.col("text"), F.col("s"), F.col("anchor")).alias("x")).select("doc_id", "x.start", "x.end")
 
 
 @query(f"SELECT page_id, {X.strip_markup_sql('html')} AS text FROM pages")
@@ -230,7 +245,7 @@ def p8_strip_markup(spark, sf):
 
 
 _BOLD = "'" * 3
-_WIKI = ["== Title ==", "{{Infobox|a={{b|{{c}}}}|d}}", " [[Link|label]] and [[File:x.jpg|thumb|of [[a]] and [[b|c]]]] at [http://x.org/a b c] and [http://x.org/d]&nbsp;&amp;&lt;<ref name=a>", "</ref>", "=== End ==="]
+_WIKI = ["== Title ==", "{{Infobox|a={{b|{{c}}}}|d}}" + "{{a|" * 50 + "b" + "}}" * 51 + " loose {{ {{{1}}}{{x}}", " [[Link|label]] and [[File:x.jpg|thumb|of [[a]] and [[b|c]]]] at [http://x.org/a b c] and [http://x.org/d]&nbsp;&amp;&lt;<ref name=a>", "</ref>", "=== End ==="]
 
 
 @query(f"SELECT doc_id, {X.strip_markup_sql('w')} AS text FROM (SELECT doc_id, '{_WIKI[0]}' || chr(10) || '{_WIKI[1]}' || chr(10) || chr(10) || chr(10) || '{_BOLD * 2}' || replace(replace(text, '[', '('), '<', '(') || '{_BOLD * 2}{_WIKI[2]}' || left(text, 5) || '{_WIKI[3]}' || chr(10) || '{_WIKI[4]}' AS w FROM documents)")

@@ -13,6 +13,7 @@ from gristmill.functions import labels as L
 from gristmill.functions import sentences as Y
 from gristmill.functions import text as X
 from gristmill.functions import vectors as V
+from gristmill.functions.arrays import without_nested
 from gristmill.operators import abbreviations, articles, joins, metrics, models, reports, sampling
 from gristmill.operators.ranking import global_rank, rank_by_group, running_sums
 
@@ -292,22 +293,92 @@ def plain_end(article, candidate):
     return None
 
 
-def test_passage_bounds():
+def plain_span(article, candidates, anchor):
+    for width in range(1, anchor + 1):
+        candidates = [c for c in candidates if article[anchor - width : anchor] in c]
+        if len(candidates) == 1:
+            start = plain_start(article, candidates[0])
+            if not start:
+                return None, None
+            return start, anchor if start + len(candidates[0]) == anchor else plain_end(article, candidates[0])
+        if not candidates:
+            break
+    return None, None
+
+
+def test_passage_bounds(spark):
     rng = random.Random(1)
+    rows = [(None, "a"), ("a", None)]
     for _ in range(500):
-        article = "".join(rng.choice("ab ") for _ in range(rng.randint(0, 40)))
+        article = "".join(rng.choice("ab é") for _ in range(rng.randint(0, 40)))
         a = rng.randint(0, 40)
-        candidate = article[a : a + rng.randint(0, 12)] or rng.choice(["", "x", "ab"])
-        assert articles.passage_start(article, candidate) == plain_start(article, candidate)
-        assert articles.passage_end(article, candidate) == plain_end(article, candidate)
+        rows.append((article, article[a : a + rng.randint(0, 12)] or rng.choice(["", "x", "ab"])))
+    d = spark.createDataFrame(rows, "a string, c string").select("a", "c", articles.start_in(F.col("a"), F.col("c")).alias("s"), articles.end_in(F.col("a"), F.col("c")).alias("e"))
+    for r in d.collect():
+        assert (r.s, r.e) == ((None, None) if r.a is None or r.c is None else (plain_start(r.a, r.c), plain_end(r.a, r.c))), r
 
 
-def test_passage_span():
+def test_passage_span(spark):
     article = "Intro words. One passage here. Another passage there."
     s = ["Intro words.", "One passage here.", "Another passage there."]
-    assert articles.passage_span(article, s, 30) == (13, 30)
-    assert articles.passage_span(article, s, 12) == (None, None)  # offset 0 counts as not found
-    assert articles.passage_span(article, s, 0) == (None, None)
+    rows = [(article, s, 30), (article, s, 12), (article, s, 0), (article, [], 5), (None, s, 3), (article, s, None)]
+    rng = random.Random(2)
+    for _ in range(300):
+        parts = ["".join(rng.choice("abc") for _ in range(rng.randint(1, 5))) + "." for _ in range(rng.randint(1, 6))]
+        text = " ".join(parts)
+        rows.append((text, parts, rng.randint(0, len(text))))
+    got = spark.createDataFrame(rows, "a string, s array<string>, k int").select("a", "s", "k", articles.span_in(F.col("a"), F.col("s"), F.col("k")).alias("x")).collect()
+    assert tuple(got[0].x) == (13, 30) and tuple(got[1].x) == (None, None)  # an offset of 0 counts as not found
+    for r in got:
+        want = (None, None) if r.a is None or r.k is None else plain_span(r.a, r.s, r.k)
+        assert (tuple(r.x) if r.x else (None, None)) == want, r
+
+
+def test_assemble_against_a_plain_version(spark):
+    """Whole results on documents with references: spans by the plain searches, passages by plain grouping."""
+    from gristmill.plans.text_queries import wikitext
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(60)
+    d = docs.select("doc_id", F.concat(F.lit("Lead. "), F.replace(wikitext(), F.lit("<ref"), F.lit(".<ref"))).alias("w"))
+    bare = X.without_references(F.col("w"))
+    texts = {r.doc_id: r for r in d.select("doc_id", "w", Y.sentences(bare).alias("s"), X.strip_markup(bare, headings=False).alias("content")).collect()}
+    spans = {}
+    for r in articles.references(d, "doc_id", "w").collect():
+        t = texts[r.doc_id]
+        a, b = plain_span(t.w, list(t.s), r.anchor_index)
+        if a and b and a > 0 and b > 0:
+            spans.setdefault((r.doc_id, a, b), []).append(r.i)
+    parts = spark.createDataFrame([(k, a, b, texts[k].w[a:b]) for k, a, b in spans], "k long, a int, b int, t string").withColumn("t", X.without_references(F.col("t")))
+    want = []
+    for r in parts.select("k", "a", "b", X.has_link(F.col("t")).alias("linked"), X.strip(X.strip_markup(F.col("t"))).alias("p")).collect():
+        start, end = plain_start(texts[r.k].content, r.p), plain_end(texts[r.k].content, r.p)
+        if start is not None and end is not None:
+            want.append((r.k, start, end, r.linked, sorted(spans[r.k, r.a, r.b])))
+    got = [(r.doc_id, r.start, r.end, r.contains_article, [x.i for x in r.references]) for r in articles.assemble(d, "doc_id", "w").collect()]
+    assert sorted(got) == sorted(want) and len(want) > 60
+
+
+@pytest.mark.parametrize("text,want", [("a{{b}}c", "ac"), ("{{" * 50 + "x" + "}}" * 50 + "y", "y"), ("}}a{{b}}", "}}a"), ("a {{b {{c}} d", "a {{b  d"), ("{{a}} }} {{", " }} {{"), ("{{a|{{b}}{{c}}}}x{{d}}", "x"), ("{{}}", ""), ("none", "none"), ("", ""), (None, None)])
+def test_nested_templates(spark, text, want):
+    assert one(spark, text, lambda x: without_nested(x, "{{", "}}")) == want
+
+
+def test_nested_marks_against_a_plain_stack(spark):
+    rng = random.Random(8)
+    rows = [("".join(rng.choice(["{{", "}}", "a", "b"]) for _ in range(rng.randint(0, 30))),) for _ in range(300)]
+
+    def plain(t):
+        marks = [(m.start(), m.group()) for m in re.finditer(r"\{\{|\}\}", t)]
+        stack, gone = [], set()
+        for at, m in marks:
+            if m == "{{":
+                stack.append(at)
+            elif stack:
+                gone |= set(range(stack.pop(), at + 2))
+        return "".join(c for i, c in enumerate(t) if i not in gone)
+
+    got = spark.createDataFrame(rows, "t string").select("t", without_nested(F.col("t"), "{{", "}}").alias("w")).collect()
+    assert [r.w for r in got] == [plain(r.t) for r in got]
 
 
 def test_assemble(spark):
