@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import is_in, similarity, simplify
+from .text import is_in, similar, simplify
 
 FAILS = ("conflicting_fail_content", "conflicting_fail", "grounded_fail_content", "grounded_fail", "no_clear_answer_fail_content", "no_clear_answer_fail")
 VERDICTS = ("conflicting", "grounded", "has_factual_information", "no_clear_answer")
@@ -32,7 +32,7 @@ def judgement(section: Column, sentence: Column, context: Column, threshold: flo
     """A judge's section to six checks and four verdicts; what is missing stays null."""
 
     def echoed(part: Column) -> Column:
-        return similarity(sentence, part["section_content"]) < threshold
+        return ~similar(sentence, part["section_content"], threshold)
 
     def quoted(part: Column, chunk: bool) -> Column:
         wrong = ~is_in(part["section_quote"], sentence)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.arrays import least_where, let
 from ..functions.sentences import sentences
-from ..functions.text import REFERENCE, any_date, has_link, reference_fields, strip, strip_markup, without_references
+from ..functions.text import ENTITIES, REFERENCE, any_date, has_link, reference_fields, strip, strip_markup, without_references
 from ..sources.io import work_folder
 
 
@@ -150,3 +150,33 @@ def listing(html: Column) -> Column:
     """Entries of an HTML listing: array of (href, title) of the links in list items."""
     items = F.regexp_extract_all(html, F.lit(r'(?is)<li[^>]*>\s*<a\s+[^>]*href="[^"]*"[^>]*>[^<]*</a>'), F.lit(0))
     return F.transform(items, lambda x: F.struct(F.regexp_extract(x, r'href="([^"]*)"', 1).alias("href"), F.regexp_extract(x, r">([^<]*)</a>", 1).alias("title")))
+
+
+#: Fixed: how a listing of new pages marks its entries, an entry's time and its page.
+ENTRY, TIME_LINK, PAGE_LINK, NEXT_LINK = "data-mw-revid", "mw-newpages-time", "mw-newpages-pagename", "mw-nextlink"
+#: Fixed: how the time is written.
+LISTED_AT = "HH:mm, d MMMM yyyy"
+
+
+def _link(item: Column, kind: str) -> Column:
+    """The first link of a class, with its tag; empty if there is none."""
+    return F.regexp_extract(item, rf"""(?is)<a\s(?:[^>]*\s)?class="(?:[^"]*\s)?{kind}(?:\s[^"]*)?"[^>]*>[^<]*</a>""", 0)
+
+
+def _attribute(link: Column, name: str) -> Column:
+    value = F.regexp_extract(link, rf"""(?is)^<a\s(?:[^>]*\s)?{name}="([^"]*)\"""", 1)
+    for entity, to in ENTITIES:
+        value = F.replace(value, F.lit(entity), F.lit(to))
+    return value
+
+
+def new_pages(html: Column) -> Column:
+    """Entries of a listing of new pages: array of (href, title, created). Entries without a page or a time that can be read are left out."""
+    items = F.regexp_extract_all(html, F.lit(rf"(?is)<li\s[^>]*\b{ENTRY}\b[^>]*>.*?</li>"), F.lit(0))
+    one = lambda x: let(F.struct(_link(x, PAGE_LINK).alias("page"), F.regexp_extract(_link(x, TIME_LINK), r">([^<]*)<", 1).alias("time")), lambda l: F.struct(_attribute(l["page"], "href").alias("href"), _attribute(l["page"], "title").alias("title"), F.coalesce(F.try_to_timestamp(strip(l["time"]), F.lit(LISTED_AT)).cast("timestamp_ntz"), any_date(l["time"])).alias("created")))
+    return F.filter(F.transform(items, one), lambda e: e["created"].isNotNull() & (e["href"] != ""))
+
+
+def next_page(html: Column) -> Column:
+    """The address of the listing's next page, null on the last one."""
+    return F.nullif(_attribute(_link(html, NEXT_LINK), "href"), F.lit(""))

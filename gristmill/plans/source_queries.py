@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import articles, sampling
 from ..sources import io
 from ..sources.io import table
-from ..streaming.ingest import ingest_days
+from ..streaming.ingest import ingest_days, ingest_listing
 from .registry import query
 
 
@@ -90,10 +90,39 @@ def io8_day_stream(spark, sf):
 
 @query("SELECT event_type, count(*) AS n FROM events GROUP BY event_type")
 def io11_materialised(spark, sf):
+    """Made once, and made again only if the events' files change."""
     path = io.work_folder(spark, "cache")
     make = lambda: table(spark, sf, "events").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
-    io.materialised(spark, path, make)
-    return io.materialised(spark, path, make)
+    inputs = [f"{sf}/events.parquet"]
+    io.materialised(spark, path, make, inputs)
+    return io.materialised(spark, path, make, inputs)
+
+
+def listing_pages(spark, sf):
+    """Listing pages over the events, newest entries first; some entries have no time, and each page repeats the first entries of the next one."""
+    name = F.concat(F.lit("Event &quot;"), F.col("event_id").cast("string"), F.lit("&quot;"))
+    time = F.when(F.col("event_id") % 17 != 0, F.concat(F.lit('<a href="#" class="mw-newpages-time">'), F.date_format("ts", articles.LISTED_AT), F.lit("</a>"))).otherwise(F.lit("nominated"))
+    item = F.concat(F.lit('<li data-mw-revid="1" class="x">'), time, F.lit(' <a href="/wiki/E'), F.col("event_id").cast("string"), F.lit('?a=1&amp;b=2" class="mw-newpages-pagename" title="'), name, F.lit('">'), name, F.lit("</a> (<a href='#'>hist</a>)</li>"))
+    e = table(spark, sf, "events").select(F.floor(F.col("event_id") / 50).alias("page"), "event_id", item.alias("item"))
+    both = F.array_distinct(F.array("page", F.floor((F.col("event_id") + 5) / 50)))
+    e = e.select(F.explode(both).alias("page"), "event_id", "item")
+    listed = F.transform(F.sort_array(F.collect_list(F.struct("event_id", "item")), asc=False), lambda x: x["item"])
+    return e.groupBy("page").agg(F.concat(F.lit("<html><ul>"), F.array_join(listed, "\n"), F.lit('</ul><a class="mw-nextlink" href="/next">older</a>')).alias("html"))
+
+
+_WINDOW = {"start": "2024-01-20 00:00:00", "end": "2024-01-05 00:00:00"}
+
+
+@query(f"""SELECT '/wiki/E' || event_id || '?a=1&b=2' AS href, 'Event "' || event_id || '"' AS title, date_trunc('minute', ts) AS created FROM events
+WHERE event_id % 17 <> 0 AND date_trunc('minute', ts) > TIMESTAMP '{_WINDOW["end"]}' AND date_trunc('minute', ts) <= TIMESTAMP '{_WINDOW["start"]}'""")
+def io12_new_pages(spark, sf):
+    """New pages within a window, each link once, by a stream over listing pages that arrive in two rounds and overlap."""
+    base = io.work_folder(spark, "listing")
+    pages = listing_pages(spark, sf)
+    for part in (F.col("page") % 2 == 0, F.lit(True)):
+        pages.filter(part).select("html").write.mode("append").parquet(f"{base}/in")
+        ingest_listing(spark, f"{base}/in", f"{base}/out", f"{base}/state", **_WINDOW)
+    return spark.read.parquet(f"{base}/out")
 
 
 @query(r"""SELECT page_id, regexp_extract(x, 'href="([^"]*)"', 1) AS href, regexp_extract(x, '>([^<]*)</a>', 1) AS title FROM (SELECT page_id, unnest(regexp_extract_all(html, '<li[^>]*>\s*<a\s+[^>]*href="[^"]*"[^>]*>[^<]*</a>', 0, 'is')) AS x FROM pages)""")

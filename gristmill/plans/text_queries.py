@@ -330,6 +330,22 @@ def p18_similarity(spark, sf):
     return d.select("doc_id", "sent_i", F.round("ratio", 9).alias("ratio"), (F.col("ratio") >= 0.95).alias("similar"))
 
 
+_COMMON = "list_sum(list_transform(list_distinct(string_split(a, '')), lambda c: least(length(a) - length(replace(a, c, '')), length(b) - length(replace(b, c, '')))))"
+
+
+@query(
+    f"""WITH {SENTENCES}, p AS (SELECT doc_id, sent_i, sentence AS a, CASE WHEN doc_id % 3 = 0 THEN sentence WHEN doc_id % 3 = 1 THEN replace(sentence, 'e', '') ELSE lag(sentence) OVER (PARTITION BY doc_id ORDER BY sent_i) END AS b FROM sen)
+SELECT doc_id, sent_i, CASE WHEN a = b THEN true WHEN 2.0::DOUBLE * least(length(a), length(b)) / (length(a) + length(b)) < 0.95::DOUBLE THEN false WHEN 2.0::DOUBLE * {_COMMON} / (length(a) + length(b)) < 0.95::DOUBLE THEN false END AS told FROM p WHERE b IS NOT NULL"""
+)
+def p18_told_by_bounds(spark, sf):
+    """Sentences against themselves, against themselves without a letter, and against those before: what bounds tell of the similarity; null is left to the comparison."""
+    d = sentence_rows(spark, sf)
+    before = F.lag("sentence").over(Window.partitionBy("doc_id").orderBy("sent_i"))
+    other = F.when(F.col("doc_id") % 3 == 0, F.col("sentence")).when(F.col("doc_id") % 3 == 1, F.replace("sentence", F.lit("e"))).otherwise(before)
+    d = d.select("doc_id", "sent_i", "sentence", other.alias("other")).filter("other is not null")
+    return d.select("doc_id", "sent_i", X.similar_by_bounds(F.col("sentence"), F.col("other"), 0.95).alias("told"))
+
+
 _REPLY = "CASE event_id % 3 WHEN 0 THEN 'Here it is: ```json' || props || '``` done' WHEN 1 THEN props ELSE 'no json' END"
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 import uuid
 
@@ -58,15 +59,42 @@ def runs(spark: SparkSession, path: str, schema: StructType, model: str | None =
     return d
 
 
-def materialised(spark: SparkSession, path: str, make) -> DataFrame:
-    """The table at the path, made and written first where it is absent."""
-    from pyspark.errors import AnalysisException
-
-    try:
-        return spark.read.parquet(path)
-    except AnalysisException:
-        make().write.parquet(path)
-        return spark.read.parquet(path)
+def fingerprint(spark: SparkSession, inputs: list[str]) -> str:
+    """What tells one state of the input files from another: their paths, sizes and times of change, added up over all files."""
+    if not inputs:
+        return "fixed"
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(inputs).select("path", "length", "modificationTime")  # contents are not read
+    one = F.xxhash64("path", "length", "modificationTime")
+    r = files.agg(F.count(F.lit(1)).alias("n"), F.sum("length").alias("size"), F.bit_xor(one).alias("hash"), F.sum(one.cast("decimal(38,0)")).alias("total")).first()
+    return hashlib.sha256(repr(tuple(r)).encode()).hexdigest()[:32]
+
+
+def materialised(spark: SparkSession, path: str, make, inputs: list[str] | None = None) -> DataFrame:
+    """The table at the path, made and written first where it is absent or was made from another state of the ``inputs``.
+
+    It is written aside, and moved to its place once it is whole: its folder's name holds the inputs' fingerprint and Spark's mark of success is in it. What a crashed
+    write leaves blocks nothing and goes with ``sweep``. Of several writers the first one's table stays; a table that is read is never changed.
+    """
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    at = lambda p: jvm.org.apache.hadoop.fs.Path(p)
+    fs = at(path).getFileSystem(conf)
+    own = f"{path}/{fingerprint(spark, inputs or [])}"
+    if not fs.exists(at(f"{own}/_SUCCESS")):
+        aside = f"{path}/_writing-{uuid.uuid4().hex}"
+        make().write.parquet(aside)
+        if fs.exists(at(own)) and not fs.exists(at(f"{own}/_SUCCESS")):
+            fs.delete(at(own), True)  # a store without atomic moves was interrupted
+        if fs.exists(at(own)) or not fs.rename(at(aside), at(own)):
+            fs.delete(at(aside), True)
+    return spark.read.parquet(own)
+
+
+def sweep(spark: SparkSession, path: str) -> int:
+    """Delete what crashed writers have left at a materialised table's path; none may be writing. The number of folders deleted."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    fs = jvm.org.apache.hadoop.fs.Path(path).getFileSystem(conf)
+    left = fs.globStatus(jvm.org.apache.hadoop.fs.Path(f"{path}/_writing-*")) or []
+    return sum(bool(fs.delete(x.getPath(), True)) for x in left)
 
 
 def with_responses(requests: DataFrame, responses: DataFrame, keys: list[str]) -> DataFrame:

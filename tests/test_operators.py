@@ -17,6 +17,9 @@ from gristmill.functions.arrays import without_nested
 from gristmill.operators import abbreviations, articles, joins, metrics, models, reports, sampling
 from gristmill.operators.ranking import global_rank, rank_by_group, running_sums
 
+from gristmill.sources import io
+from gristmill.streaming import ingest
+
 
 def one(spark, value, column):
     return spark.createDataFrame([(value,)], "x string").select(column(F.col("x")).alias("y")).first().y
@@ -170,6 +173,84 @@ def test_starts_in_linear_time(spark):
     assert took[1] < 9 * took[0] + 1, took
 
 
+def test_similarity_by_bounds(spark):
+    """Bounds never contradict the comparison, and leave little to it."""
+    from difflib import SequenceMatcher
+
+    rng = random.Random(6)
+    text = lambda n: "".join(rng.choice("abcdefg \u00e9") for _ in range(n))
+    rows = [("", ""), ("", "a"), ("a", ""), (None, "a"), ("a", None)]
+    for _ in range(300):
+        a = text(rng.randint(0, 60))
+        b = rng.choice([a, text(rng.randint(0, 60)), a[: rng.randint(0, 60)], "".join(rng.sample(a, len(a))), a.replace("a", "b", 1)])
+        rows.append((a, b))
+    d = spark.createDataFrame(rows, "a string, b string").select("a", "b", X.similar_by_bounds(F.col("a"), F.col("b"), 0.95).alias("told"), X.similar(F.col("a"), F.col("b"), 0.95).alias("similar"))
+    got = d.collect()
+    for r in got:
+        want = None if r.a is None or r.b is None else SequenceMatcher(None, r.a, r.b).ratio() >= 0.95
+        assert r.similar == want and r.told in (None, want), r
+    assert sum(r.told is None for r in got) < 0.5 * len(got)
+
+
+def test_judgements_compare_few_sentences(spark):
+    """Of the sentences against the section that the judge gives back, the share that is compared character by character."""
+    d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", F.posexplode(Y.sentences(F.col("text"))).alias("i", "s"))
+    told = X.similar_by_bounds(F.col("s"), F.when(F.col("doc_id") % 4 != 0, F.col("s")).otherwise(F.lit("another text")), 0.95)
+    assert d.agg(F.avg(told.isNull().cast("int"))).first()[0] < 0.01
+
+
+def test_materialised_after_a_crash_and_after_a_change(spark, tmp_path):
+    path, source, made = str(tmp_path / "cache"), str(tmp_path / "in"), []
+    spark.range(10).write.parquet(source)
+
+    def make():
+        made.append(1)
+        return spark.read.parquet(source)
+
+    def broken():
+        boom = F.udf(lambda x: 1 // (x - 7), "long")
+        return spark.range(10).select(boom("id").alias("id"))
+
+    with pytest.raises(Exception, match="ZeroDivision"):
+        io.materialised(spark, path, broken, [source])
+    assert io.materialised(spark, path, make, [source]).count() == 10 and io.materialised(spark, path, make, [source]).count() == 10 and len(made) == 1
+    spark.range(5).write.mode("append").parquet(source)
+    assert io.materialised(spark, path, make, [source]).count() == 15 and len(made) == 2
+    (tmp_path / "cache" / "_writing-dead").mkdir()
+    (tmp_path / "cache" / "_writing-dead" / "part-0").write_text("x")
+    assert io.sweep(spark, path) >= 1 and io.materialised(spark, path, make, [source]).count() == 15 and len(made) == 2
+    whole = io.fingerprint(spark, [source])
+    (next((tmp_path / "cache").glob(whole + "/_SUCCESS"))).unlink()  # a move that was interrupted
+    assert io.materialised(spark, path, make, [source]).count() == 15 and len(made) == 3
+    assert io.materialised(spark, str(tmp_path / "other"), lambda: spark.range(3)).count() == 3
+
+
+def test_listing_entries(spark):
+    item = '<li class="a" data-mw-revid="5"><a class="mw-newpages-time" href="#">%s</a> <a href="/wiki/%s" title="%s" class="x mw-newpages-pagename">t</a></li>'
+    html = "<ul>" + item % ("09:05, 3 May 2024", "A", "A &amp; B") + item % ("nonsense", "B", "B") + '<li data-mw-revid="1"><b>no link</b></li><li><a>plain</a></li>' + item % ("2024-05-02", "C", "C") + '</ul><a class="mw-nextlink" href="/n?a&amp;b">next</a>'
+    d = spark.createDataFrame([(html,), (None,), ("",)], "h string").select(articles.new_pages(F.col("h")).alias("e"), articles.next_page(F.col("h")).alias("n")).collect()
+    assert [(x.href, x.title, str(x.created)) for x in d[0].e] == [("/wiki/A", "A & B", "2024-05-03 09:05:00"), ("/wiki/C", "C", "2024-05-02 00:00:00")]
+    assert d[0].n == "/n?a&b" and not d[1].e and not d[2].e and d[2].n is None
+
+
+def test_listing_stream_adds_new_links_only(spark, tmp_path):
+    item = lambda n, day: f'<li data-mw-revid="1"><a class="mw-newpages-time">10:{n:02d}, {day} May 2024</a><a class="mw-newpages-pagename" href="/{n}" title="{n}">{n}</a></li>'
+    source, out, state = (str(tmp_path / x) for x in ("in", "out", "state"))
+    run = lambda: ingest.ingest_listing(spark, source, out, state, start="2024-05-20 00:00:00", end="2024-05-02 00:00:00", files_per_batch=1)
+    add = lambda *items: spark.createDataFrame([("<ul>" + "".join(items) + "</ul>",)], "html string").coalesce(1).write.mode("append").parquet(source)
+    links = lambda: sorted(r.href for r in spark.read.parquet(out).collect())
+    add(item(1, 19), item(2, 18), item(3, 21))  # one is after the window
+    run()
+    assert links() == ["/1", "/2"]
+    add(item(2, 18), item(4, 3), item(5, 1), item(4, 3))  # older ones come later: repeats, one before the window
+    run()
+    assert links() == ["/1", "/2", "/4"]
+    run()
+    add(item(6, 17), item(1, 19))
+    run()
+    assert links() == ["/1", "/2", "/4", "/6"]
+
+
 def test_simplify_and_containment(spark):
     assert one(spark, "A b, C!\t~d", X.simplify) == "abcd"
     d = spark.createDataFrame([("", "abc"), ("B c", "a.b-C"), ("z", "abc")], "p string, w string")
