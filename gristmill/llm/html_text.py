@@ -6,9 +6,9 @@ so words of running text are positive, and links and the tags around them negati
 One linear scan (Kadane's) finds the contiguous region with the greatest sum; in time, too, a page is linear.
 
 What is never content wherever it stands scores 0, so a long one does not cut an article in two, and is not in the text:
-scripts, comments, embedded objects, and elements whose name says so (menus, forms, ...), or that are hidden. A word of a class, id or role
-(``sidebar``, ``ad``) says so only where the page agrees: not of an element that holds most of the page's words and its heading or article, not if the name
-says ``with-`` or ``no-`` something, and of a paragraph or inline element only for adverts. Where articles (or ``main``) carry the page, by a first heading in them or a third of its words,
+scripts, comments, embedded objects, and elements whose tag says so (menus, forms, ...), or that are hidden. A class, id or role that hints at a menu, an
+advert, comments (``sidebar``, ``relatedPosts``) makes an element a candidate; whether it is left out is told by a regression over the name and what
+stands in the element (``page_names``), never of an element that holds most of the page's words and its heading or article. Where articles (or ``main``) carry the page, by a first heading in them or a third of its words,
 what stands outside of them counts as left out too, so several articles are one region. A line that begins with a copyright sign outside an article is a notice.
 
 Character references are decoded, white space in a block becomes one space, and blocks are joined by one space.
@@ -26,10 +26,14 @@ import re
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .labelled_names import labelled
+from .page_names import Candidate, Content, NameModel, candidate, facts, features, fit, slug
+
 _TOKEN = re.compile(
     r"<!--.*?(?:--!?>|\Z)"
     r"|<(?P<raw>script|style|noscript|textarea|iframe)\b(?:\"[^\"]*\"|'[^']*'|[^'\">])*+>.*?(?:</(?P=raw)\s*>|\Z)"
@@ -49,55 +53,35 @@ BLOCKS = frozenset(
 #: Elements that hold no content wherever they stand.
 EMBEDDED = frozenset("svg math object canvas template".split())
 NEVER = {**dict.fromkeys(EMBEDDED, "embedded"), "nav": "menu", "menu": "menu", "footer": "footer", "aside": "side", "form": "form", "fieldset": "form", "button": "form", "select": "form", "option": "form", "dialog": "notice", "head": "head", "title": "head"}
-#: Words of class, id and role that tell what an element is.
-HINTS = {
-    "ad": "ad ads advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion",
-    "menu": "menu nav navbar navigation breadcrumb breadcrumbs pagination pager toc toolbar skip",
-    "side": "sidebar side aside widget widgets related recommended trending complementary share sharing social tags",
-    "notice": "cookie cookies consent gdpr notice alert newsletter subscribe signup popup modal overlay paywall toast dialog",
-    "comment": "comment comments commentlist disqus reply replies respond responses reactions",
-    "form": "login search searchbox form",
-    "footer": "footer contentinfo copyright legal colophon",
-    "header": "header masthead topbar",
-}
-_HINT = {w: kind for kind, words in HINTS.items() for w in words.split()}
 _KEPT = frozenset("html body main".split())
 _CLOSES_P = BLOCKS - {"br", "button", "option", "select", "title", "head", "td", "th", "tr", "caption", "legend", "summary"}
 _SAME = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "td": {"td", "th"}, "th": {"td", "th"}, "tr": {"tr", "td", "th"}, "option": {"option"}, "p": {"p"}}
 _SCOPE = frozenset("article aside body div dl footer form header html li main nav ol section table td th ul blockquote figure".split()) | EMBEDDED
 #: Elements of running text, whose names' words tell of adverts at most.
 _RUNNING = frozenset("p h1 h2 h3 h4 h5 h6 pre blockquote li dt dd td th tr figure figcaption caption span b i em strong a u q s cite code small sub sup abbr mark time label font".split())
-#: Pieces of names that tell how a page is laid out, not what an element is.
-_LAYOUT = frozenset("with without has have no not is open opened closed enabled disabled allow allowed show hide content".split())
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Score kinds of words in running text.
+_PARAGRAPHS = frozenset(f"word:{b}" for b in ("p", "blockquote", "pre", "dd"))
 _NOTICE = re.compile(r"\s*(?:\u00a9|\(c\)\s|copyright\b)", re.I)
 
 
-def _hint(value: str) -> str:
-    """What the words of a class, id or role tell."""
-    for name in value.split():
-        words = [w for w in re.split(r"[^a-z0-9]+", name) if w]
-        if not _LAYOUT.intersection(words):
-            for w in words:
-                if w in _HINT:
-                    return _HINT[w]
-    return ""
-
-
-def _told(name: str, attrs: str, inside: bool) -> tuple[bool, str]:
-    """Whether an element is never content, and what its class, id and role tell of it. inside: it stands in an article."""
+def _told(name: str, attrs: str, inside: bool) -> tuple[bool, tuple[Candidate, ...]]:
+    """Whether an element is never content, and what its class, id and role hint at. inside: it stands in an article."""
     if name in NEVER or name == "header" and not inside:
-        return True, ""
-    hint = ""
+        return True, ()
+    found = []
     if attrs and name not in _KEPT:
         for m in _ATTR.finditer(attrs):
-            key, value = m[1].lower(), (m[2] or "").strip("\"'").lower()
-            if key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and re.search(r"display\s*:\s*none", value):
-                return True, ""
-            if key in ("class", "id", "role") and not hint:
-                hint = _hint(value)
-    if hint == "header" and inside or name in _RUNNING and hint != "ad" or name == "article" and hint not in ("ad", "comment", "side"):
-        hint = ""
-    return False, hint
+            key, value = m[1].lower(), (m[2] or "").strip("\"'")
+            if key == "hidden" or key == "aria-hidden" and value.lower() == "true" or key == "style" and re.search(r"display\s*:\s*none", value, re.I):
+                return True, ()
+            if key in ("class", "id", "role"):
+                found += [c for c in (candidate(key, x) for x in value.split()) if c]
+    if name in _RUNNING:
+        found = [c for c in found if c.kind == "ad" and c.key == "class"]
+    if name == "article":
+        found = [c for c in found if c.kind in ("ad", "comment", "side")]
+    return False, tuple(c for c in found if not (inside and c.kind == "header"))
 
 
 class Page:
@@ -108,7 +92,8 @@ class Page:
         self.texts: list[str] = []
         self.blocks: list[bool] = []  # a tag of a block
         self.at: list[int] = []  # the element
-        self.names, self.parents, self.never, self.hints, self.inside, self.above, self.first, self.last = [""], [-1], [False], [""], [False], ["root"], [0], [0]
+        self.names, self.parents, self.never, self.hints, self.inside, self.above, self.first, self.last = [""], [-1], [False], [()], [False], ["root"], [0], [0]
+        self.marked = [False]  # labelled as left out, on labelled pages
         self.stack, self.open, self.scopes = [0], {}, [0]  # open elements; where the open ones of each name stand in the stack; where those that bound others do
         self._read(page)
         self._close(1)
@@ -136,11 +121,12 @@ class Page:
 
     def _start(self, name: str, attrs: str) -> None:
         e, above = len(self.names), self.stack[-1]
-        never, hint = _told(name, attrs, self.inside[above])
+        never, hints = _told(name, attrs, self.inside[above])
         self.names.append(name)
         self.parents.append(above)
         self.never.append(never or self.never[above])
-        self.hints.append(hint)
+        self.hints.append(hints)
+        self.marked.append(self.marked[above] or "data-out" in attrs)
         self.inside.append(self.inside[above] or name in ("article", "main"))
         self.above.append("h" if re.fullmatch("h[1-6]", name) else name if name == "a" or name in BLOCKS else self.above[above])
         self.first.append(len(self.kinds))
@@ -187,14 +173,41 @@ class Page:
         if at < len(page):
             self._text(page[at:])
 
-    def settle(self) -> None:
-        """Decide by the whole page what hints and articles say, and give each piece its final kind."""
+    def contents(self) -> Iterator[tuple[int, Content]]:
+        """What stands in each element whose name hints at something."""
+        words, linked, running = [0], [0], [0]
+        for kind, text in zip(self.kinds, self.texts):
+            n = len(text.split()) if kind != OUT else 0
+            words.append(words[-1] + n)
+            linked.append(linked[-1] + n * (kind == "word:a"))
+            running.append(running[-1] + n * (kind in _PARAGRAPHS))
+        paragraphs, headings, out, slugs = [], [], [], []
+        for e in range(1, len(self.names)):
+            if self.never[e]:
+                if not self.never[self.parents[e]]:
+                    out.append(self.first[e])
+            elif self.names[e] == "p":
+                paragraphs.append(self.first[e])
+            elif self.names[e] in _HEADINGS:
+                headings.append(self.first[e])
+                slugs.append(slug(" ".join(self.texts[self.first[e] : min(self.last[e], self.first[e] + 40)])))
+        for e in range(1, len(self.names)):
+            if self.hints[e] and not self.never[e]:
+                lo, hi = self.first[e], self.last[e]
+                number = lambda places: bisect_left(places, hi) - bisect_left(places, lo)  # noqa: B023, E731
+                at = bisect_left(headings, lo)
+                first = frozenset(slugs[at : at + 1]) if at < bisect_left(headings, hi) else frozenset()
+                yield e, Content(words[hi] - words[lo], linked[hi] - linked[lo], running[hi] - running[lo], number(paragraphs), number(headings), first, number(out), self.inside[e], self.names[e])
+
+    def settle(self, model: NameModel) -> None:
+        """Decide by the whole page what names and articles say, and give each piece its final kind."""
         sums = [0]  # words that may be content before each piece
         for kind, text in zip(self.kinds, self.texts):
             sums.append(sums[-1] + (len(text.split()) if kind != OUT else 0))
         words = lambda e: sums[self.last[e]] - sums[self.first[e]]
         real = [e for e in range(1, len(self.names)) if not self.never[e]]
-        anchors = [self.first[e] for e in real if self.names[e] in ("h1", "main") or self.names[e] == "article" and not self.hints[e]]
+        told = {e for e, content in self.contents() if any(model.score(c, content) > 0 for c in self.hints[e])}
+        anchors = [self.first[e] for e in real if self.names[e] in ("h1", "main") or self.names[e] == "article" and e not in told]
 
         def holds(e: int) -> bool:
             """It holds most of the page, with its heading or article if there is one."""
@@ -203,7 +216,7 @@ class Page:
 
         out, within = list(self.never), [False] * len(self.names)
         for e in real:
-            out[e] = out[self.parents[e]] or bool(self.hints[e]) and not holds(e)
+            out[e] = out[self.parents[e]] or e in told and not holds(e)
             within[e] = within[self.parents[e]] or not out[e] and self.names[e] in ("article", "main")
         left = [0, 0]
         for kind, text, e in zip(self.kinds, self.texts, self.at):
@@ -217,10 +230,24 @@ class Page:
                 self.kinds[i] = kind + "@article"
 
 
-def segments(page: str) -> Iterator[tuple[str, str, bool]]:
+@lru_cache(1)
+def name_model() -> NameModel:
+    """The regression over names and contents, fitted on the labelled pages."""
+    return fit_names(labelled(1, 500))
+
+
+def fit_names(found: list[str]) -> NameModel:
+    rows = []
+    for html_ in found:
+        read = Page(html_)
+        rows += [(features(c, facts(c, content)), read.marked[e]) for e, content in read.contents() for c in read.hints[e]]
+    return fit(rows)
+
+
+def segments(page: str, model: NameModel | None = None) -> Iterator[tuple[str, str, bool]]:
     """Tags and stretches of text in order: (score kind, text, is a block's tag)."""
     read = Page(page)
-    read.settle()
+    read.settle(model or name_model())
     return zip(read.kinds, read.texts, read.blocks)
 
 
@@ -270,8 +297,8 @@ def best_region(scores: list[float]) -> tuple[int, int]:
     return bounds
 
 
-def extract(page: str | None, scores: dict[str, float]) -> str:
-    found = list(segments(page or ""))
+def extract(page: str | None, scores: dict[str, float], model: NameModel | None = None) -> str:
+    found = list(segments(page or "", model))
     each = []
     for kind, text, _ in found:
         score = scores.get(kind)
@@ -286,11 +313,11 @@ def main_text(pages: DataFrame) -> DataFrame:
     """page_id, url, text and n_chars of every page."""
     from .labelled_pages import PAGES
 
-    scores = learn(PAGES)
+    scores, model = learn(PAGES), name_model()
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = [extract(x.as_py(), scores) for x in b.column(2)]
+            texts = [extract(x.as_py(), scores, model) for x in b.column(2)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     return pages.select("page_id", "url", "html").mapInArrow(each, "page_id long, url string, text string, n_chars long")

@@ -7,12 +7,13 @@ import random
 import re
 import time
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from gristmill.llm import exact_dedup, hnsw, html_text, licences, mixing, near_dedup, packing, quality, token_shards, tokens, warc
+from gristmill.llm import exact_dedup, hnsw, html_text, labelled_names, licences, mixing, near_dedup, packing, quality, token_shards, tokens, warc
 from gristmill.llm.common import word_hashes
 from gristmill.llm.labelled_pages import PAGES
 
@@ -223,6 +224,53 @@ def test_html_query_rows(spark):
     assert html_text.main_text(d.limit(0)).count() == 0
 
 
+_STORY = "<p>The mill was built by the river and worked for two hundred years before the railway came to the valley.</p><p>Nobody knows who drew the plans, but the stones still stand and can be seen from the road.</p>"
+
+
+@pytest.mark.parametrize("name", "login-problems search-algorithms comments-on-the-treaty social-history form-of-government legal-status related-work navigation-at-sea the-reply tags promotion side-effects notice-period header-files copyright-law".split())
+@pytest.mark.parametrize("shape", ["<section id='%s'><h2>%s</h2>%s</section>", "<div class='section %s'><h3>%s</h3>%s</div>"])
+def test_html_sections_named_after_their_headings_are_kept(name, shape):
+    if "class" in shape and name in ("tags", "promotion"):
+        return  # a class of that one word is not made from a heading
+    section = shape % (name, name.replace("-", " ").capitalize(), "<p>Kept words are here and there is more to be said about them in this section of the page.</p>")
+    page = f"<html><body><main><h1>A title</h1>{_STORY}{section}{_STORY}</main></body></html>"
+    assert "Kept words" in html_text.extract(page, SCORES)
+
+
+@pytest.mark.parametrize("name", "relatedPosts userComments commentsSection cookieBanner adBox adsbygoogle sidenav shareButtons newsletterBox content-ad with-ads ad-slot SideBar cookie_notice".split())
+@pytest.mark.parametrize("inner", ["Out words of the thing", "<a href=x>Out words</a> <a href=y>more</a>", "<p>Out words are here for you.</p>"])
+def test_html_boilerplate_by_compound_names_is_left_out(name, inner):
+    thing = f"<div class='{name}'>{inner}</div>"
+    for page in (f"<html><body><main><h1>A title</h1>{_STORY}{thing}{_STORY}</main></body></html>", f"<html><body><main><h1>A title</h1>{_STORY}</main>{thing}</body></html>", f"<html><body><div><h1>A title</h1>{_STORY}{thing}{_STORY}</div></body></html>"):
+        text = html_text.extract(page, SCORES)
+        assert "Out words" not in text and "Nobody knows" in text
+
+
+@pytest.mark.parametrize("name,attr", [("comments", "class"), ("comments", "id"), ("ad", "class"), ("sidebar", "class"), ("newsletter", "id")])
+def test_html_long_boilerplate_is_left_out(name, attr):
+    long = "".join(f"<p>Out words of reader {i}, who has a lot to say about the mill and about the river, and about all the people that he met there in his youth.</p>" for i in range(3))
+    page = f"<html><body><article><h1>A title</h1>{_STORY * 4}</article><div {attr}='{name}'><h3>{name.capitalize()}</h3>{long}</div></body></html>"
+    assert "Out words" not in html_text.extract(page, SCORES)
+
+
+def test_html_names_on_held_out_words_and_pages():
+    """Fitted without a quarter of the names and headings, and tried on pages with these only: elements, and words of whole pages."""
+    right = total = 0
+    for part in range(4):
+        model = html_text.fit_names(labelled_names.labelled(10, 300, -1 - part))
+        kept, wanted, both = 0, 0, 0
+        for page in labelled_names.labelled(20 + part, 60, part):
+            read = html_text.Page(page)
+            for e, content in read.contents():
+                told = max(model.score(c, content) for c in read.hints[e]) > 0
+                right, total = right + (told == read.marked[e]), total + 1
+            want = Counter(" ".join(t for t, e, k in zip(read.texts, read.at, read.kinds) if not read.marked[e] and k != html_text.OUT).split())
+            got = Counter(html_text.extract(page, SCORES, model).split())
+            kept, wanted, both = kept + got.total(), wanted + want.total(), both + (got & want).total()
+        assert both / kept > 0.95 and both / wanted > 0.95, (part, both / kept, both / wanted)
+    assert right / total > 0.97, right / total
+
+
 # --- 3: nearest neighbours -------------------------------------------------------------------
 
 
