@@ -5,7 +5,7 @@ however many documents there are: a bin is filled greedily with the longest piec
 its smallest piece gives way to the two unpacked pieces that fill the widened gap best. A pattern
 repeats as often as the counts allow, so packing all bins takes a step for each pattern, not for
 each bin. Pieces then find their place by their rank among pieces of their length, counted in
-two levels so that no length is one task. One packing of all documents, the same in every run.
+two levels, in as many cells as a length needs, so that no length is one task. One packing of all documents, the same in every run.
 
 Cases: null text counts as empty; an empty text is one piece of one token; documents longer than
 ``size`` are cut into pieces of ``size`` with the shorter piece first, very long ones into as many as it takes; of pieces of one length which goes where
@@ -14,6 +14,7 @@ does not matter; rows that repeat, with their doc_id or without one, are packed
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterator
 
@@ -23,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import tokens
-from .common import cut, hash_bucket
+from .common import cut
 
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -127,14 +128,15 @@ def places(patterns: list[tuple[int, list[tuple[int, int]]]], size: int) -> dict
     return {l: np.array(x, np.int64) for l, x in rows.items()}
 
 
-def pack(cut_up: DataFrame, size: int = 2048, *, cells: int = 64) -> DataFrame:
-    """Give every piece (a table that is read twice) its sequence_id and offset."""
-    d = cut_up.withColumn("_cell", hash_bucket(F.concat_ws("-", "doc_id", "piece"), cells))
-    counted = d.groupBy("length", "_cell").agg(F.count(F.lit(1)).alias("_n"))
-    counts = np.zeros(size + 1, np.int64)
-    for r in counted.groupBy("length").agg(F.sum("_n").alias("n")).collect():  # at most ``size`` rows
+def pack(cut_up: DataFrame, size: int = 2048, *, cell_rows: int = 8192) -> DataFrame:
+    """Give every piece (a table that is read three times) its sequence_id and offset. Pieces of a length are ranked in cells of about ``cell_rows``."""
+    spark, counts = cut_up.sparkSession, np.zeros(size + 1, np.int64)
+    for r in cut_up.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect():  # at most ``size`` rows
         counts[r.length] = r.n
-    found = cut_up.sparkSession.sparkContext.broadcast(places(best_two_fit(counts, size), size))  # bounded by size * patterns
+    cells = spark.createDataFrame([(l, max(1, math.ceil(int(counts[l]) / cell_rows))) for l in map(int, np.flatnonzero(counts))], "length long, _cells long")
+    d = cut_up.join(F.broadcast(cells), "length").withColumn("_cell", F.pmod(F.xxhash64("doc_id", "piece", "start", "ids_crc32"), F.col("_cells"))).drop("_cells")
+    counted = d.groupBy("length", "_cell").agg(F.count(F.lit(1)).alias("_n"))
+    found = spark.sparkContext.broadcast(places(best_two_fit(counts, size), size))  # bounded by size * patterns
     before = Window.partitionBy("length").orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counted.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).select("length", "_cell", "_before")
     rank = F.row_number().over(Window.partitionBy("length", "_cell").orderBy("doc_id", "piece", "start"))

@@ -302,6 +302,23 @@ def test_hnsw_recall_and_ties(spark):
     assert hnsw.nearest(d.limit(0), d.limit(0)).count() == 0
 
 
+def test_hnsw_wide_vectors_in_shards_of_bounded_bytes(spark):
+    """16,384 numbers a vector: a shard is bounded by its bytes, and the shards together find what all pairs find."""
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(120, 16_384)).astype(np.float32)
+    d = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>").cache()
+    graphs = hnsw.index(d, shard_bytes=1 << 20).cache()
+    assert graphs.count() >= 6 and graphs.select(F.max(F.octet_length("vectors"))).first()[0] < 3 << 20
+    got = {}
+    for r in hnsw.search(graphs, d.filter("vec_id % 50 = 0")).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id))
+    unit = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    for i in (0, 50, 100):
+        s = unit @ unit[i]
+        s[i] = -2
+        assert [v for _, v in sorted(got[i])] == list(np.argsort(-s, kind="stable")[:5])
+
+
 def test_hnsw_recall_over_shards_that_are_grown(spark):
     """Vectors of sf0.1 in four shards, most of each inserted by search, against all pairs; and in double precision."""
     rows = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
@@ -622,6 +639,18 @@ def test_packing_pieces_and_places(spark):
     assert all(len(r.ids) == r.length and zlib.crc32(np.array(r.ids, "<u4").tobytes()) == r.ids_crc32 for r in ids)
 
 
+def test_packing_a_length_that_nearly_all_pieces_have(spark):
+    """Its ranks are counted in as many cells as it takes: no window sorts more than a few cells' rows."""
+    rows = [(i, 0, 0, 64 if i % 10 else 1 + i % 63, i) for i in range(9000)]
+    d = spark.createDataFrame(rows, packing.PIECE)
+    packed = packing.pack(d, 64, cell_rows=100)
+    out = packed.collect()
+    assert len(out) == 9000 and check_packing(out, 64) <= 8100 + 900
+    full = d.filter("length = 64").withColumn("c", F.pmod(F.xxhash64("doc_id", "piece", "start", "ids_crc32"), F.lit(81)))
+    assert full.groupBy("c").count().agg(F.max("count")).first()[0] < 200
+    assert "cells" not in packed.columns and packed.columns[:5] == d.columns
+
+
 def test_best_two_fit():
     size = 100
     rng = np.random.default_rng(9)
