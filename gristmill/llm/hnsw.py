@@ -257,12 +257,12 @@ def answer(graph: Graph, query_ids: np.ndarray, queries: np.ndarray, k: int, ef:
     return d.sort_values(["query_id", "score", "vec_id"], ascending=[True, False, True]).groupby("query_id").head(k)
 
 
-def index(rows: DataFrame, *, k: int = 5, shard_rows: int = 1 << 16, seed: int = SEED, spread: int = SPREAD) -> DataFrame:
-    """The graphs of all usable vectors, a row a shard."""
+def index(rows: DataFrame, *, k: int = 5, shard_rows: int = 1 << 16, shard_bytes: int = 1 << 28, seed: int = SEED, spread: int = SPREAD) -> DataFrame:
+    """The graphs of all usable vectors, a row a shard: of about ``shard_rows`` vectors and ``shard_bytes`` of them at most."""
     most, width = k + 1, number_width(rows)
     d = cut(distinct_vectors(usable(rows), most).withColumn("dim", (F.octet_length("vector") / width).cast("int")), "vectors")
     n = F.count(F.lit(1))
-    dims = d.groupBy("dim").agg(F.greatest(F.ceil(n / shard_rows), F.least(F.lit(spread), F.ceil(n / seed))).cast("int").alias("shards"))
+    dims = d.groupBy("dim").agg(F.greatest(F.ceil(n / shard_rows), F.ceil(n * F.col("dim") * F.lit(width) / shard_bytes), F.least(F.lit(spread), F.ceil(n / seed))).cast("int").alias("shards"))
     dims = cut(dims, "shards")
     tasks = _tasks(dims.agg(F.sum("shards")).first()[0])
     d = d.join(dims, "dim").withColumn("shard", F.pmod(F.xxhash64("vector"), F.col("shards")).cast("int"))
