@@ -9,7 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .arrays import without_nested, without_nested_sql
+from .arrays import let, without_nested, without_nested_sql
 
 SPACE = r"[\s\p{Z}]"
 #: Stands for the full stop after a digit while sentences are split.
@@ -235,36 +235,49 @@ def similar(a: Column, b: Column, threshold: float) -> Column:
     return F.coalesce(told, similarity(F.when(told.isNull(), a), F.when(told.isNull(), b)) >= threshold)
 
 
-@F.pandas_udf(T.StringType())
-def uglify(key: pd.Series, text: pd.Series) -> pd.Series:
-    """Spoil a text's words: 3 % go, 5 % lose a character, in 4 % two change places; after 5 % stand 1 to 4 spaces more, after 2 % 1 to 2 line breaks.
+#: Fixed: the shares of words that go, lose a character, and have two change places; of those that spaces and line breaks stand after.
+SPOILED = {"lost": 0.03, "shorter": 0.05, "swapped": 0.04, "spaced": 0.05, "broken": 0.02}
 
-    What stands after a word is joined like a word, by a space. Draws come from the key's MD5.
-    """
-    import hashlib
 
-    import numpy as np
+def uglify(key: Column, text: Column) -> Column:
+    """Spoil a text's words: 3 % go, 5 % lose a character, in 4 % two change places; after 5 % stand 1 to 4 spaces more, after 2 % 1 to 2 line breaks.
 
-    def changed(word: str, shorter: bool, swap: bool, rng: np.random.Generator) -> str:
-        letters = np.array(list(word))
-        if shorter:
-            letters = np.delete(letters, rng.integers(len(letters)))
-        if swap and len(letters) > 1:
-            two = rng.choice(len(letters), 2, replace=False)
-            letters[two] = letters[two[::-1]]
-        return "".join(letters)
+    What stands after a word is joined like a word, by a space. A word's draws are the eight groups of four hex digits of the MD5 of key and place.
+    """
 
-    def spoil(k: object, x: str | None) -> str | None:
-        if x is None:
-            return None
-        rng = np.random.default_rng(int.from_bytes(hashlib.md5(str(k).encode()).digest(), "big"))
-        words = x.split()
-        lost, shorter, swapped, spaced, broken = (rng.random((5, len(words))).T < (0.03, 0.05, 0.04, 0.05, 0.02)).T
-        spaces, breaks = rng.integers(1, 5, len(words)), rng.integers(1, 3, len(words))
-        pieces = [[changed(w, shorter[i], swapped[i], rng) if shorter[i] or swapped[i] else w] + [" " * spaces[i]] * int(spaced[i]) + ["\n" * breaks[i]] * int(broken[i]) for i, w in enumerate(words) if not lost[i]]
-        return " ".join(p for own in pieces for p in own)
-
-    return pd.Series([spoil(k, x) for k, x in zip(key, text)], dtype="object")
+    def spoiled(word: Column, h: Column) -> Column:
+        draw = lambda k: F.conv(F.substring(h, 4 * k + 1, 4), 16, 10).cast("int")
+        hit = {name: draw(k) < int(share * 65536) for k, (name, share) in enumerate(SPOILED.items())}
+        at = draw(5) % F.length(word)
+        shorter = F.when(hit["shorter"], F.concat(F.substring(word, F.lit(1), at), F.substring(word, at + 2, F.length(word)))).otherwise(word)
+
+        def swapped(w: Column) -> Column:
+            n = F.length(w)
+            places = let(draw(6) % n, lambda a: let((a + 1 + draw(7) % (n - 1)) % n, lambda b: F.struct(F.least(a, b).alias("lo"), F.greatest(a, b).alias("hi"))))
+            turned = lambda x: F.concat(F.substring(w, F.lit(1), x["lo"]), F.substring(w, x["hi"] + 1, F.lit(1)), F.substring(w, x["lo"] + 2, x["hi"] - x["lo"] - 1), F.substring(w, x["lo"] + 1, F.lit(1)), F.substring(w, x["hi"] + 2, n))
+            return F.when(hit["swapped"] & (n > 1), let(places, turned)).otherwise(w)
+
+        after = [F.when(hit["spaced"], F.repeat(F.lit(" "), draw(3) % 4 + 1)), F.when(hit["broken"], F.repeat(F.lit("\n"), draw(4) % 2 + 1))]
+        return F.when(hit["lost"], F.array().cast("array<string>")).otherwise(F.array_compact(F.array(let(shorter, swapped), *after)))
+
+    words = F.filter(F.split(text, SPACE + "+"), lambda w: w != "")
+    drawn = lambda i: F.md5(F.concat_ws("|", F.coalesce(key.cast("string"), F.lit("")), i.cast("string")).cast("binary"))
+    return F.array_join(F.flatten(F.transform(words, lambda w, i: let(drawn(i), lambda h: spoiled(w, h)))), " ")
+
+
+def uglify_sql(key: str, text: str) -> str:
+    """DuckDB's form."""
+    draw = lambda k: f"('0x' || substr(v.h, {4 * k + 1}, 4))::INT"
+    hit = {name: f"{draw(k)} < {int(share * 65536)}" for k, (name, share) in enumerate(SPOILED.items())}
+    bind = lambda fields, body: f"list_transform([{{{fields}}}], lambda v: {body})[1]"
+    pieces = f"""list_filter([CASE WHEN {hit["swapped"]} AND length(v.w) > 1 THEN substr(v.w, 1, v.lo) || substr(v.w, v.hi + 1, 1) || substr(v.w, v.lo + 2, v.hi - v.lo - 1) || substr(v.w, v.lo + 1, 1) || substr(v.w, v.hi + 2) ELSE v.w END,
+CASE WHEN {hit["spaced"]} THEN repeat(' ', {draw(3)} % 4 + 1) END, CASE WHEN {hit["broken"]} THEN repeat(chr(10), {draw(4)} % 2 + 1) END], lambda p: p IS NOT NULL)"""
+    places = bind("'h': v.h, 'w': v.w, 'lo': least(v.a, v.b)::INT, 'hi': greatest(v.a, v.b)::INT", pieces)
+    second = bind(f"'h': v.h, 'w': v.w, 'a': v.a, 'b': CASE WHEN length(v.w) > 1 THEN (v.a + 1 + {draw(7)} % (length(v.w) - 1)) % length(v.w) ELSE 0 END", places)
+    first = bind(f"'h': v.h, 'w': v.w, 'a': CASE WHEN length(v.w) > 0 THEN {draw(6)} % length(v.w) ELSE 0 END", second)
+    short = bind(f"'h': v.h, 'w': CASE WHEN {hit['shorter']} THEN substr(v.w, 1, ({draw(5)} % length(v.w))::INT) || substr(v.w, ({draw(5)} % length(v.w) + 2)::INT) ELSE v.w END", first)
+    word = bind(f"'w': w, 'h': md5(coalesce({key}::VARCHAR, '') || '|' || (i - 1))", f"CASE WHEN {hit['lost']} THEN [] ELSE {short} END")
+    return f"array_to_string(flatten(list_transform(list_filter(regexp_split_to_array({text}, '{SPACE}+'), lambda w: w <> ''), lambda w, i: {word})), ' ')"
 
 
 def bpe_count(x: Column, vocabulary: str) -> Column:

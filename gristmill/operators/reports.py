@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.io import work_folder
 from .ranking import running_sums
 
 
@@ -46,14 +47,23 @@ def imbalance_score(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return shares.agg(F.round(F.sum(F.col("d") * F.col("d")), 9).alias("score"))
 
 
+#: Distinct values up to which one window takes a whole group.
+FEW = 1 << 18
+
+
 def describe(df: DataFrame, column: str, *by: str) -> DataFrame:
     """Count, mean, sample deviation, minimum, exact quartiles, maximum.
 
-    Quartiles come from running counts of the distinct values, in two levels, so no group's values are held in one place.
+    Quartiles come from running counts of the distinct values, a table that is written once: in one window where these are few, else in
+    two levels, so no group's values are held in one place.
     """
-    given = df.filter(F.col(column).isNotNull())
-    per = given.groupBy(*by, F.col(column).cast("double").alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
-    cum = running_sums(per, F.col("_v"), ["_v"], {"_to": F.col("_n")}, by=by)
+    path = work_folder(df.sparkSession, "values")
+    df.filter(F.col(column).isNotNull()).groupBy(*by, F.col(column).cast("double").alias("_v")).agg(F.count(F.lit(1)).alias("_n")).write.parquet(path)
+    per = df.sparkSession.read.parquet(path)
+    if per.count() <= FEW:
+        cum = per.withColumn("_to", F.sum("_n").over(Window.partitionBy(*by).orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    else:
+        cum = running_sums(per, F.col("_v"), ["_v"], {"_to": F.col("_n")}, by=by)
     stats = df.groupBy(*by).agg(F.count(column).alias("n"), F.round(F.avg(column), 6).alias("mean"), F.round(F.stddev_samp(column), 6).alias("std"), F.min(column).cast("double").alias("min"), F.max(column).cast("double").alias("max"))
     total = stats.select(*[F.col(c).alias(f"_{c}") for c in by], F.col("n").alias("_all"))
     same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by] or F.lit(True)

@@ -213,10 +213,10 @@ def clustered_undersample(df: DataFrame, traits: list[str], target: str, key: st
     return undersample(d.select(*df.columns, "cluster"), target, [key], ["cluster"])
 
 
-def grid(spark, **values: Sequence) -> DataFrame:
-    """All combinations of a few parameter values."""
-    rows = list(itertools.product(*values.values()))
-    return spark.createDataFrame(rows, list(values))
+def settings(**values: Sequence) -> Column:
+    """All combinations of a few parameter values as an array of structs, to be put beside each row without a join."""
+    one = lambda combo: F.struct(*(F.lit(v).alias(n) for n, v in zip(values, combo)))
+    return F.array(*map(one, itertools.product(*values.values())))
 
 
 def share_of(key: Column, seed: str) -> Column:

@@ -199,10 +199,11 @@ def j8_trimmed_exists(spark, sf):
     return joins.trimmed_exists(d, known, "sentence").select("doc_id", "sent_i")
 
 
-@query("SELECT size, k, template FROM (VALUES (350), (550), (750)) a(size), (VALUES (1), (3), (5)) b(k), (VALUES ('question_first'), ('context_first'), ('reminder')) c(template)")
+@query("SELECT doc_id, source, size, k, template FROM documents, (VALUES (350), (550), (750)) a(size), (VALUES (1), (3), (5)) b(k), (VALUES ('question_first'), ('context_first'), ('reminder')) c(template)")
 def j9_parameter_grid(spark, sf):
-    g = sampling.grid(spark, size=(350, 550, 750), k=(1, 3, 5), template=("question_first", "context_first", "reminder"))
-    return g.select(F.col("size").cast("int"), F.col("k").cast("int"), "template")
+    """Every document with each of the 27 settings: the grid is an array in its row."""
+    settings = sampling.settings(size=(350, 550, 750), k=(1, 3, 5), template=("question_first", "context_first", "reminder"))
+    return table(spark, sf, "documents").select("doc_id", "source", F.inline(settings))
 
 
 @query("SELECT doc_id AS id, 'd' AS kind FROM documents UNION ALL SELECT page_id, 'p' FROM pages UNION ALL SELECT item_id, 'b' FROM benchmark")

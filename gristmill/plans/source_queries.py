@@ -144,9 +144,12 @@ def io15_io16_responses(spark, sf):
     return io.with_responses(table(spark, sf, "documents").select("doc_id"), answers, ["doc_id"])
 
 
-@query("SELECT m AS model, q AS quantization, s AS split FROM (VALUES ('alpha'), ('beta'), ('gamma')) a(m), (VALUES (NULL), ('float8'), ('int8'), ('int4')) b(q), (VALUES ('train'), ('val'), ('test')) c(s) WHERE NOT (m = 'gamma' AND q IS NULL)")
+@query(
+    """WITH g AS (SELECT m AS model, q AS quantization, s AS split FROM (VALUES ('alpha'), ('beta'), ('gamma')) a(m), (VALUES (NULL), ('float8'), ('int8'), ('int4')) b(q), (VALUES ('train'), ('val'), ('test')) c(s) WHERE NOT (m = 'gamma' AND q IS NULL)),
+d AS (SELECT source, count(*) AS documents FROM documents GROUP BY source) SELECT source, documents, model, quantization, split FROM d, g"""
+)
 def io17_io18_job_grid(spark, sf):
-    """All runs as rows of one job; the largest model has no unquantized run."""
-    g = sampling.grid(spark, model=("alpha", "beta", "gamma"), quantization=("none", "float8", "int8", "int4"), split=("train", "val", "test"))
-    g = g.withColumn("quantization", F.nullif("quantization", F.lit("none")))
-    return g.filter("not (model = 'gamma' and quantization is null)")
+    """All runs of each source as rows of one job; the largest model has no unquantized run."""
+    runs = sampling.settings(model=("alpha", "beta", "gamma"), quantization=("none", "float8", "int8", "int4"), split=("train", "val", "test"))
+    d = table(spark, sf, "documents").groupBy("source").agg(F.count(F.lit(1)).alias("documents")).select("source", "documents", F.inline(runs))
+    return d.withColumn("quantization", F.nullif("quantization", F.lit("none"))).filter("not (model = 'gamma' and quantization is null)")

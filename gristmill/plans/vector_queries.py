@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..functions import vectors as V
+from ..functions.keys import md5_int, md5_sql
 from ..operators import metrics, models
 from ..sources.io import table
 from .registry import query
@@ -114,3 +115,10 @@ def v14_repeated_runs(spark, sf):
 def v12_saved_model(spark, sf):
     """A model saved to the shared folder and loaded again: its scores."""
     return models.predict(*_trained(spark, sf, 1)).select("vec_id", F.round("score", 9).alias("score"))
+
+
+@query(f"SELECT vec_id, {md5_sql('vec_id', "'seed-432'")} AS draw, ({md5_sql('vec_id', "'seed-432'")} / 4294967296.0::DOUBLE < 0.7::DOUBLE) AS train FROM embeddings")
+def v17_seeded_draws(spark, sf):
+    """A row's draw depends on its key and the seed alone, not on order, partitions or engine."""
+    draw = md5_int("vec_id", F.lit("seed-432"))
+    return table(spark, sf, "embeddings").select("vec_id", draw.alias("draw"), (draw / F.lit(4294967296.0) < 0.7).alias("train"))

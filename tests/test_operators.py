@@ -299,6 +299,19 @@ def test_strip_markup(spark):
     assert {c: one(spark, c, X.strip_markup) for c in cases} == cases
 
 
+@pytest.mark.parametrize("few", [0, 1 << 18])
+def test_quartiles_in_one_and_in_two_levels(spark, monkeypatch, few):
+    monkeypatch.setattr(reports, "FEW", few)
+    rng = random.Random(3)
+    rows = [(g, rng.choice([None, *range(50)])) for g in ("a", "b", None) for _ in range(rng.randint(1, 200))] + [("empty", None)]
+    got = {r.g: r for r in reports.describe(spark.createDataFrame(rows, "g string, x int"), "x", "g").collect()}
+    for g in {g for g, _ in rows}:
+        own = [x for h, x in rows if h == g and x is not None]
+        assert got[g].n == len(own)
+        if own:
+            assert np.allclose([got[g].q25, got[g].q50, got[g].q75], np.quantile(own, [0.25, 0.5, 0.75]))
+
+
 def test_uglify_changes_as_many_words_as_it_says(spark):
     n = 40_000
     words = [f"word{i:05d}" for i in range(n)]
