@@ -128,7 +128,7 @@ def places(patterns: list[tuple[int, list[tuple[int, int]]]], size: int) -> dict
     return {l: np.array(x, np.int64) for l, x in rows.items()}
 
 
-def pack(cut_up: DataFrame, size: int = 2048, *, cell_rows: int = 8192) -> DataFrame:
+def pack(cut_up: DataFrame, size: int = 2048, *, cell_rows: int = 1024) -> DataFrame:
     """Give every piece (a table that is read three times) its sequence_id and offset. Pieces of a length are ranked in cells of about ``cell_rows``."""
     spark, counts = cut_up.sparkSession, np.zeros(size + 1, np.int64)
     for r in cut_up.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect():  # at most ``size`` rows
