@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import os
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -280,19 +283,42 @@ CASE WHEN {hit["spaced"]} THEN repeat(' ', {draw(3)} % 4 + 1) END, CASE WHEN {hi
     return f"array_to_string(flatten(list_transform(list_filter(regexp_split_to_array({text}, '{SPACE}+'), lambda w: w <> ''), lambda w, i: {word})), ' ')"
 
 
+#: Characters of texts whose tokens are held at once: a token takes a hundred bytes and more until it is counted.
+TOKENS_AT_ONCE = 1 << 16
+
+
+def token_counts(texts: Iterable[str | None], tokenizer) -> Iterator[int | None]:
+    """Tokens of each text, encoded in pieces of ``TOKENS_AT_ONCE`` characters or one longer text; null for null."""
+
+    def counted(piece: list[str | None]) -> list[int | None]:
+        found = tokenizer.encode_batch_fast([t or "" for t in piece], add_special_tokens=False)
+        return [None if t is None else len(e) for t, e in zip(piece, found)]
+
+    piece, held = [], 0
+    for t in texts:
+        if piece and held + len(t or "") > TOKENS_AT_ONCE:
+            yield from counted(piece)
+            piece, held = [], 0
+        piece.append(t)
+        held += len(t or "")
+    if piece:
+        yield from counted(piece)
+
+
 def bpe_count(x: Column, vocabulary: str) -> Column:
     """Tokens of a text under a byte-pair vocabulary (a file of the ``tokenizers`` library); null for null."""
 
-    @F.pandas_udf(T.LongType())
-    def count(texts: pd.Series) -> pd.Series:
-        found = _tokenizer(vocabulary).encode_batch([t or "" for t in texts], add_special_tokens=False)
-        return pd.Series([None if t is None else len(e.ids) for t, e in zip(texts, found)], dtype="Int64")
+    @F.arrow_udf(T.LongType())
+    def count(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for b in batches:
+            yield pa.array(token_counts((t.as_py() for t in b), _tokenizer(vocabulary)), pa.int64())
 
     return count(x)
 
 
 @lru_cache(maxsize=4)
 def _tokenizer(path: str):
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
     from tokenizers import Tokenizer
 
     return Tokenizer.from_file(path)

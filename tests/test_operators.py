@@ -750,3 +750,18 @@ def test_reports_on_empty_and_null_groups(spark):
     r = {x.q: (x.sentences, x.valid, x.rate) for x in reports.label_stats(d, "q").collect()}
     assert r == {None: (2, 1, 1.0), "q": (1, 1, 0.0)}
     assert reports.label_stats(d.limit(0), "q").count() == 0
+
+
+def test_token_counts_hold_few_tokens_at_once(monkeypatch):
+    """Texts are encoded in pieces of bounded size, however many a batch has."""
+    seen = []
+
+    class Words:
+        def encode_batch_fast(self, texts, add_special_tokens):
+            seen.append(sum(map(len, texts)))
+            return [t.split() for t in texts]
+
+    monkeypatch.setattr(X, "TOKENS_AT_ONCE", 100)
+    texts = ["a b c " * 5, None, "", "d " * 90, *["e f"] * 200]
+    assert list(X.token_counts(iter(texts), Words())) == [15, None, 0, 90, *[2] * 200]
+    assert max(seen) == 180 and sorted(seen)[-2] <= 100 and list(X.token_counts([], Words())) == []
