@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .arrays import let, without_nested, without_nested_sql
+from .matching import ratio
 
 SPACE = r"[\s\p{Z}]"
 #: Stands for the full stop after a digit while sentences are split.
@@ -207,15 +208,8 @@ def comparison_prompt(chunks: Column, question: Column, answer: Column) -> Colum
 
 @F.pandas_udf(T.DoubleType())
 def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Ratio of matching characters by difflib, with its own heuristics; equal texts are not compared."""
-    from difflib import SequenceMatcher
-
-    def ratio(x: str | None, y: str | None) -> float | None:
-        if x is None or y is None:
-            return None
-        return 1.0 if x == y else SequenceMatcher(None, x, y).ratio()
-
-    return pd.Series([ratio(x, y) for x, y in zip(a, b)], dtype="float64")
+    """Ratio of matching characters as difflib gives it, with its own heuristics; equal texts are not compared."""
+    return pd.Series([None if x is None or y is None else ratio(x, y) for x, y in zip(a, b)], dtype="float64")
 
 
 def ratio_bound(a: Column, b: Column) -> Column:
