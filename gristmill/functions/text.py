@@ -16,6 +16,8 @@ from .arrays import let, without_nested, without_nested_sql
 from .matching import ratio
 
 SPACE = r"[\s\p{Z}]"
+#: The characters of that class.
+SPACES = "\t\n\x0b\f\r \u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 #: Stands for the full stop after a digit while sentences are split.
 MASK = "\ue000"
 #: Fixed: a reference with content, optionally named, or a use of a named one; of several attributes the last one's value is the name.
@@ -25,7 +27,7 @@ REFERENCE = "(?is)" + PLAIN_REFERENCE
 
 def strip(x: Column) -> Column:
     """Without white space of any kind at both ends."""
-    return F.regexp_replace(x, f"^{SPACE}+|{SPACE}+$", "")
+    return F.btrim(x, F.lit(SPACES))
 
 
 def one_newline(x: Column) -> Column:

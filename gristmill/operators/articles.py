@@ -24,7 +24,7 @@ def references(df: DataFrame, key: str, text: str) -> DataFrame:
         (acc, m) -> named_struct('at', locate(m, {text}, acc.at) + length(m), 'refs', array_append(acc.refs, named_struct('m', m, 's', locate(m, {text}, acc.at) - 1))),
         acc -> acc.refs)"""
     )
-    d = df.select(key, F.posexplode(found).alias("i", "r"))
+    d = df.select(key, F.posexplode_outer(found).alias("i", "r")).filter("i is not null")  # the plain posexplode is planned with a filter that finds all references again
     full = F.endswith(F.lower(F.col("r.m")), F.lit("</ref>"))
     group = lambda n: F.regexp_extract(F.col("r.m"), REFERENCE, n)
     name = F.nullif(F.when(full, group(1)).otherwise(group(3)), F.lit(""))
@@ -44,9 +44,10 @@ def references(df: DataFrame, key: str, text: str) -> DataFrame:
     return kept.join(defined, [key, "name"], "left").select(key, "i", "name", "starts_at", "ends_at", "anchor_index", values.alias("values"), "duplicate")
 
 
-def _places(part: Column, whole: Column) -> Column:
-    """How often a text that is not empty stands in another, without overlap."""
-    return (F.length(whole) - F.length(F.replace(whole, part))) / F.length(part)
+def _once_at_most(part: Column, whole: Column) -> Column:
+    """Whether a text that is not empty stands in another once at most, without overlap."""
+    again = lambda p: let(F.instr(whole, p), lambda at: (at > 0) & (F.position(p, whole, at + F.length(p)) > 0))
+    return ~let(part, again)
 
 
 def _tail(text: Column, n: Column) -> Column:
@@ -59,14 +60,14 @@ def start_in(article: Column, candidate: Column) -> Column:
     The longer a part, the more seldom it stands there, so its length is found by bisection.
     """
     part = lambda c, n: F.substring(c, F.lit(1), n)
-    least = lambda c: least_where(F.lit(1), F.length(c) - 1, lambda n: _places(part(c, n), article) <= 1)
+    least = lambda c: least_where(F.lit(1), F.length(c) - 1, lambda n: _once_at_most(part(c, n), article))
     at = lambda c: let(least(c), lambda n: F.nullif(F.instr(article, part(c, n)), F.lit(0)) - 1)
     return let(candidate, at)
 
 
 def end_in(article: Column, candidate: Column) -> Column:
     """Where the shortest proper ending of the candidate that stands in the article once at most ends; null if nowhere."""
-    least = lambda c: least_where(F.lit(1), F.length(c) - 1, lambda n: _places(_tail(c, n), article) <= 1)
+    least = lambda c: least_where(F.lit(1), F.length(c) - 1, lambda n: _once_at_most(_tail(c, n), article))
     at = lambda c: let(least(c), lambda n: F.nullif(F.instr(article, _tail(c, n)), F.lit(0)) - 1 + n)
     return let(candidate, at)
 
@@ -113,8 +114,8 @@ def assemble(df: DataFrame, key: str, wikitext: str) -> DataFrame:
     refs = df.sparkSession.read.parquet(path)
     anchors = refs.groupBy(F.col(key).alias("_key")).agg(F.array_sort(F.collect_set("anchor_index")).alias("_anchors"))
     d = df.select(key, F.col(wikitext).alias("_w")).join(anchors, F.col(key) == F.col("_key"))
-    bare = without_references(F.col("_w"))
-    d = d.select(key, "_w", "_anchors", sentences(bare).alias("_s"), strip_markup(bare, headings=False).alias("_content"))
+    d = d.withColumn("_bare", without_references(F.col("_w")))
+    d = d.select(key, "_w", "_anchors", sentences(F.col("_bare")).alias("_s"), strip_markup(F.col("_bare"), headings=False).alias("_content"))
     spans = F.transform("_anchors", lambda a: F.struct(a.alias("anchor"), span_in(F.col("_w"), F.col("_s"), a).alias("span")))
     d = d.select(key, "_w", "_content", F.filter(spans, lambda x: (x["span"]["start"] > 0) & (x["span"]["end"] > 0)).alias("_spans"))
 
