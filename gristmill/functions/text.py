@@ -257,11 +257,12 @@ def uglify(key: Column, text: Column) -> Column:
             return F.when(hit["swapped"] & (n > 1), let(places, turned)).otherwise(w)
 
         after = [F.when(hit["spaced"], F.repeat(F.lit(" "), draw(3) % 4 + 1)), F.when(hit["broken"], F.repeat(F.lit("\n"), draw(4) % 2 + 1))]
-        return F.when(hit["lost"], F.array().cast("array<string>")).otherwise(F.array_compact(F.array(let(shorter, swapped), *after)))
+        other = hit["shorter"] | hit["swapped"] | hit["spaced"] | hit["broken"]  # five of six words stay as they are
+        return F.when(hit["lost"], F.lit(None).cast("string")).when(~other, word).otherwise(F.concat_ws(" ", let(shorter, swapped), *after))
 
     words = F.filter(F.split(text, SPACE + "+"), lambda w: w != "")
     drawn = lambda i: F.md5(F.concat_ws("|", F.coalesce(key.cast("string"), F.lit("")), i.cast("string")).cast("binary"))
-    return F.array_join(F.flatten(F.transform(words, lambda w, i: let(drawn(i), lambda h: spoiled(w, h)))), " ")
+    return F.array_join(F.transform(words, lambda w, i: let(drawn(i), lambda h: spoiled(w, h))), " ")
 
 
 def uglify_sql(key: str, text: str) -> str:
