@@ -18,9 +18,9 @@ WITH_STOP, LEAST_SCORE, LEAST_RATIO, LEAST_OPENER = 0.99, 0.3, 10.83, 30.0
 SHARE = 1e-5
 
 
-def _tokens(text: Column) -> Column:
-    """Words without what stands around them."""
-    return F.transform(F.split(text, SPACE + "+"), lambda t: F.regexp_replace(t, f"^[{OPENING}]+|[{CLOSING},;:]+$", ""))
+def _word(t: Column) -> Column:
+    """Without what stands around it."""
+    return F.regexp_replace(t, f"^[{OPENING}]+|[{CLOSING},;:]+$", "")
 
 
 def _bare(t: Column) -> Column:
@@ -33,10 +33,24 @@ def _binomial(k: Column, n: Column, p: Column) -> Column:
     return part(k, p) + part(n - k, 1 - p)
 
 
+def tokens(texts: DataFrame, text: str) -> DataFrame:
+    """t, p, n: how often a word stands after the word p, which is null where it holds no full stop, and so ends nothing.
+
+    Words are counted as they stand between white space; patterns are then matched against each different one once.
+    """
+    one = lambda ts: F.transform(ts, lambda t, i: F.struct(t.alias("t"), F.when(F.contains(F.get(ts, i - 1), F.lit(".")), F.get(ts, i - 1)).alias("p")))
+    d = texts.select(F.explode_outer(let(F.split(text, SPACE + "+"), one)).alias("x")).select("x.*")  # the plain explode is planned with a filter that splits all texts again
+    d = d.filter("t is not null").groupBy("t", "p").agg(F.count(F.lit(1)).alias("n"))
+    return d.select(_word(F.col("t")).alias("t"), _word(F.col("p")).alias("p"), "n").filter(F.regexp_like("t", F.lit(TYPE)))
+
+
 def word_counts(texts: DataFrame, text: str) -> DataFrame:
     """word, n (all its occurrences), n_stop (those before a full stop)."""
-    d = texts.select(F.explode(_tokens(F.col(text))).alias("t")).filter(F.regexp_like("t", F.lit(TYPE)))
-    return d.groupBy(_bare(F.col("t")).alias("word")).agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.endswith("t", F.lit(".")), 1)).alias("n_stop"))
+    return _word_counts(tokens(texts, text))
+
+
+def _word_counts(found: DataFrame) -> DataFrame:
+    return found.groupBy(_bare(F.col("t")).alias("word")).agg(F.sum("n").alias("n"), F.coalesce(F.sum(F.when(F.endswith("t", F.lit(".")), F.col("n"))), F.lit(0)).alias("n_stop"))
 
 
 def abbreviation_scores(counts: DataFrame) -> DataFrame:
@@ -53,14 +67,17 @@ def abbreviation_scores(counts: DataFrame) -> DataFrame:
 
 def opener_scores(texts: DataFrame, text: str, abbreviations: frozenset[str]) -> DataFrame:
     """word, n, n_first (in capitals after a full stop that is no abbreviation's), ratio and ``listed``: it stands there more often than by chance."""
+    return _opener_scores(tokens(texts, text), abbreviations)
+
+
+def _opener_scores(found: DataFrame, abbreviations: frozenset[str]) -> DataFrame:
     known = sorted(abbreviations)
     ends = lambda t: F.endswith(t, F.lit(".")) & F.regexp_like(t, F.lit(TYPE)) & ~_bare(t).isin(known) & ~F.regexp_like(t, F.lit(r"^(\p{Lu}|\p{L}(\.\p{L})+)\.$"))
-    pairs = lambda ts: F.transform(ts, lambda t, i: F.struct(t.alias("t"), F.coalesce(ends(F.get(ts, i - 1)) & F.regexp_like(t, F.lit(r"^\p{Lu}")), F.lit(False)).alias("first")))
-    d = texts.select(F.explode(let(_tokens(F.col(text)), pairs)).alias("x")).select("x.*").filter(F.regexp_like("t", F.lit(TYPE)))
-    counts = d.groupBy(_bare(F.col("t")).alias("word")).agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("first"), 1)).alias("n_first"))
-    path = work_folder(texts.sparkSession, "openers")
+    first = F.regexp_like("t", F.lit(r"^\p{Lu}")) & ends(F.col("p"))
+    counts = found.groupBy(_bare(F.col("t")).alias("word")).agg(F.sum("n").alias("n"), F.coalesce(F.sum(F.when(first, F.col("n"))), F.lit(0)).alias("n_first"))
+    path = work_folder(found.sparkSession, "openers")
     counts.write.parquet(path)
-    counts = texts.sparkSession.read.parquet(path)
+    counts = found.sparkSession.read.parquet(path)
     d = counts.crossJoin(F.broadcast(counts.agg(F.sum("n").alias("_n"), F.sum("n_first").alias("_ends"))))  # one row
     k, n, a, every = F.col("n_first"), F.col("n"), F.col("_ends"), F.col("_n")
     apart = _binomial(k, a, k / a) + _binomial(n - k, every - a, (n - k) / (every - a))
@@ -70,12 +87,13 @@ def opener_scores(texts: DataFrame, text: str, abbreviations: frozenset[str]) ->
 
 
 def learn(texts: DataFrame, text: str) -> SentenceModel:
-    """The corpus's model with the known words. Two aggregations over all words; only the lists, of 1 / SHARE words at most, come to the driver."""
+    """The corpus's model with the known words. One aggregation over all words, two over the different ones; only the lists, of 1 / SHARE words at most, come to the driver."""
     path = work_folder(texts.sparkSession, "words")
-    word_counts(texts, text).write.parquet(path)
+    tokens(texts, text).write.parquet(path)
+    found = texts.sparkSession.read.parquet(path)
     listed = lambda d: frozenset(r.word for r in d.filter("listed").select("word").collect())
-    short = KNOWN | listed(abbreviation_scores(texts.sparkSession.read.parquet(path)))
-    return SentenceModel(short, OPENERS | listed(opener_scores(texts, text, short)))
+    short = KNOWN | listed(abbreviation_scores(_word_counts(found)))
+    return SentenceModel(short, OPENERS | listed(_opener_scores(found, short)))
 
 
 def _binomial_sql(k: str, n: str, p: str) -> str:

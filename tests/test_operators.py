@@ -3,6 +3,7 @@
 import itertools
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -765,3 +766,75 @@ def test_token_counts_hold_few_tokens_at_once(monkeypatch):
     texts = ["a b c " * 5, None, "", "d " * 90, *["e f"] * 200]
     assert list(X.token_counts(iter(texts), Words())) == [15, None, 0, 90, *[2] * 200]
     assert max(seen) == 180 and sorted(seen)[-2] <= 100 and list(X.token_counts([], Words())) == []
+
+
+def plan_of(df):
+    """The optimized plan, as text."""
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_similarity_is_difflibs_ratio():
+    """Exactly difflib's number, and the texts that it would compare slowly are settled by a few long integers."""
+    from difflib import SequenceMatcher
+
+    from gristmill.functions import matching
+
+    rng = random.Random(3)
+    text = lambda k, n: "".join(rng.choice("ab. é漢xyz"[:k]) for _ in range(rng.randrange(n)))
+    for k, n in [(1, 30), (2, 40), (4, 60), (9, 80), (9, 260)] * 60:
+        a, b = text(k, n), text(k, n)
+        assert matching.ratio(a, b) == SequenceMatcher(None, a, b).ratio(), (a, b)
+    for a, b in (("", ""), ("", "a"), ("a" * 199, "a" * 198), ("a" * 300, "a" * 200), ("x" + "ab" * 90, "ab" * 99)):
+        assert matching.ratio(a, b) == SequenceMatcher(None, a, b).ratio()
+
+
+SF1 = "/root/testdata/sf0.001"
+
+
+@pytest.mark.parametrize("name", ["p18_similarity", "s5_decumulate"])
+def test_neighbours_within_the_row(spark, name):
+    """What stands before a sentence is read in its document's row: no window, so no copies of texts are shuffled."""
+    from gristmill.plans import registry
+
+    assert "Window" not in plan_of(registry.queries()[name](spark, SF1))
+
+
+def test_sentences_worked_out_once(spark):
+    """No filter before the rows are made works all sentences out a second time."""
+    from gristmill.plans.text_queries import sentence_rows
+
+    plan = plan_of(sentence_rows(spark, SF1).select("doc_id", "sentence"))
+    assert plan.count("regexp_extract") == 2
+
+
+def test_words_are_matched_once_each(spark):
+    """Patterns read the different words with their numbers, not all words: equal ones are counted first."""
+    d = spark.createDataFrame([(1, "The end. (The end.) See etc. The end, the end"), (2, None), (3, "")], "id int, text string")
+    found = Counter()
+    for r in abbreviations.tokens(d, "text").collect():
+        found[r.t, r.p] += r.n
+    assert found == {("The", None): 1, ("end.", None): 2, ("The", "end."): 1, ("See", "end."): 1, ("etc.", None): 1, ("The", "etc."): 1, ("end", None): 2, ("the", None): 1}
+    counts = {r.word: (r.n, r.n_stop) for r in abbreviations.word_counts(d, "text").collect()}
+    assert counts["end"] == (4, 2) and counts["the"] == (4, 0) and counts["etc"] == (1, 1)
+    first = {r.word: (r.n, r.n_first) for r in abbreviations.opener_scores(d, "text", frozenset({"etc"})).collect()}
+    assert first["the"] == (4, 1) and first["see"] == (1, 1) and first["end"] == (4, 0)
+
+
+def test_judged_places_found_once(spark):
+    """A sentence's place in its text is looked for once."""
+    from gristmill.plans import registry
+
+    assert plan_of(registry.queries()["l2_judgement_fields"](spark, SF1)).count("instr(text") == 1
+
+
+def test_strip_takes_the_class_of_spaces(spark):
+    """The listed characters are those of the pattern, and no other up to U+FFFF is one."""
+    chars = spark.range(1, 0xD800).union(spark.range(0xE000, 0x10000)).select(F.decode(F.unhex(F.lpad(F.hex("id"), 4, "0")), "UTF-16BE").alias("c"))
+    assert sorted(r.c for r in chars.filter(F.regexp_like("c", F.lit(f"^{X.SPACE}\\z"))).collect()) == sorted(X.SPACES)
+    assert one(spark, "　\n a  b \x0b", X.strip) == "a  b" and one(spark, "​\x1c", X.strip) == "​\x1c"
+
+
+@pytest.mark.parametrize("t", ["x", "```json{}```", "a ```json 1 ``` ```json 2 ```", "```json no end", "````json`````", "``` 1 ```json 2", None])
+def test_json_snippet_is_the_first_fenced_block(spark, t):
+    found = re.search("(?s)```json(.*?)```", t or "")
+    assert one(spark, t, X.json_snippet) == (found.group(1) if found else t)
