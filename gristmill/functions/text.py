@@ -245,8 +245,9 @@ def uglify(key: Column, text: Column) -> Column:
     """
 
     def spoiled(word: Column, h: Column) -> Column:
-        draw = lambda k: F.conv(F.substring(h, 4 * k + 1, 4), 16, 10).cast("int")
-        hit = {name: draw(k) < int(share * 65536) for k, (name, share) in enumerate(SPOILED.items())}
+        digits = lambda k: F.substring(h, 4 * k + 1, 4)
+        draw = lambda k: F.conv(digits(k), 16, 10).cast("int")
+        hit = {name: digits(k) < f"{int(share * 65536):04x}" for k, (name, share) in enumerate(SPOILED.items())}  # hex digits are in the order of their numbers
         at = draw(5) % F.length(word)
         shorter = F.when(hit["shorter"], F.concat(F.substring(word, F.lit(1), at), F.substring(word, at + 2, F.length(word)))).otherwise(word)
 
