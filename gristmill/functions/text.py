@@ -36,7 +36,7 @@ def one_newline(x: Column) -> Column:
 
 def simplify(x: Column) -> Column:
     """Lower case without white space and ASCII punctuation."""
-    return F.regexp_replace(F.lower(x), rf"{SPACE}|\p{{Punct}}", "")
+    return F.regexp_replace(F.lower(x), r"[\s\p{Z}\p{Punct}]+", "")
 
 
 def is_in(part: Column, whole: Column) -> Column:
@@ -62,7 +62,7 @@ def chunk(content: Column, start: Column, end: Column, size: Column, share: Colu
     before = size if share is None else F.floor(share * (spare + 1)).cast("int")
     after = size if share is None else spare - before
     first = F.when(spare > 0, F.greatest(start - before, F.lit(0))).otherwise(start)
-    last = F.when(spare > 0, F.least(end + after, F.length(content))).otherwise(end)
+    last = F.when(spare > 0, end + after).otherwise(end)  # a substring ends with its text
     return one_newline(F.substring(content, (first + 1).cast("int"), (last - first).cast("int")))
 
 
@@ -73,8 +73,9 @@ def section_before(content: Column, start: Column) -> Column:
 
 def json_snippet(x: Column) -> Column:
     """The first fenced JSON block, else the whole text."""
-    inner = F.regexp_extract(x, "(?s)```json(.*?)```", 1)
-    return F.when(F.regexp_like(x, F.lit("(?s)```json.*?```")), inner).otherwise(x)
+    fence, end = "```json", "```"
+    rest = lambda t: F.when(F.contains(t, F.lit(fence)), F.substring(t, F.instr(t, fence) + len(fence), F.length(t)))
+    return let(x, lambda t: let(rest(t), lambda r: F.when(F.contains(r, F.lit(end)), F.substring_index(r, end, 1)).otherwise(t)))
 
 
 def space_after_references(x: Column) -> Column:
