@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -83,9 +83,9 @@ FROM (SELECT *, string_split(regexp_replace({y}, '{quote(STOP)}', '\1\2' || {cut
 DIRECT = 1 << 18
 
 
-@F.pandas_udf(T.ArrayType(T.IntegerType()))
-def _first_places(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-    """The first place of each sentence in its text by one automaton of all of them: one pass over the text."""
+@F.arrow_udf(T.ArrayType(T.IntegerType()))
+def _first_places(parts: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+    """The first place of each sentence in its text by one automaton of all of them: one pass over the text. Only one row's strings are held as Python's."""
     import ahocorasick
 
     def places(text: str, own: list[str]) -> list[int]:
@@ -100,7 +100,8 @@ def _first_places(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.S
         return [first.get(s, -1) for s in own]
 
     for texts, lists in parts:
-        yield pd.Series([None if t is None or s is None or not len(s) else places(t, list(s)) for t, s in zip(texts, lists)], dtype="object")
+        rows = ((t.as_py(), s.as_py()) for t, s in zip(texts, lists))
+        yield pa.array((places(t, s) if t is not None and s else None for t, s in rows), pa.list_(pa.int32()))
 
 
 def starts(response: Column, own: Column) -> Column:
